@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontamination, embeddings, minhash, packing, secrets, sharding, warc
+from . import decontamination, embeddings, lm, minhash, packing, secrets, sharding, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_minhash": minhash.op1_minhash,
+        "op2_lm": lm.op2_lm,
         "op3_sharding": sharding.op3_sharding,
         "op4_secrets": secrets.op4_secrets,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_embeddings": embeddings.op7_embeddings,
         "op8_warc": warc.op8_warc,
         "op9_packing": packing.op9_packing,
