@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embeddings, lm, minhash, packing, secrets, sharding, toxicity, warc
+from . import decontamination, embeddings, lm, minhash, packing, secrets, sharding, token_counts, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_lm": lm.op2_lm,
         "op3_sharding": sharding.op3_sharding,
         "op4_secrets": secrets.op4_secrets,
+        "op5_token_counts": token_counts.op5_token_counts,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_embeddings": embeddings.op7_embeddings,
         "op8_warc": warc.op8_warc,

@@ -19,6 +19,7 @@ are scanned one by one; other columns are kept by scan() and redact().
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ def most(kind: str) -> int:
     return math.floor((math.log2(WINDOW) - THRESHOLD[kind]) * WINDOW * 1e6)
 
 
-def _pieces(text: Column, pattern: str, n_groups: int = 0, want: int | None = None) -> Column:
+def _pieces(text: Column, pattern: str, want: int | None = None) -> Column:
     """Arrays gap, match and (if wanted) group of the leftmost matches, and of the tail."""
     cut = rf"(?s)(.*?)(?:({pattern})|\z)"
     parts = [F.regexp_extract_all(text, F.lit(cut), F.lit(1)), F.regexp_extract_all(text, F.lit(cut), F.lit(2))]
@@ -54,12 +55,8 @@ def _pieces(text: Column, pattern: str, n_groups: int = 0, want: int | None = No
 
 def _with_pieces(df: DataFrame, text: str, name: str, pattern: str, want: int | None = None) -> DataFrame:
     hit = F.coalesce(F.col(text).rlike(pattern), F.lit(False))
-    none = F.array().cast("array<struct<gap:string,match:string,inner:string>>")
-    return df.withColumn(name, F.when(hit, _pieces(F.col(text), pattern, want=want).cast(none_type())).otherwise(none))
-
-
-def none_type() -> str:
-    return "array<struct<gap:string,match:string,inner:string>>"
+    kind = "array<struct<gap:string,match:string,inner:string>>"
+    return df.withColumn(name, F.when(hit, _pieces(F.col(text), pattern, want).cast(kind)).otherwise(F.array().cast(kind)))
 
 
 def _spans(pieces: str, kind: str, order: int, least: int) -> Column:
@@ -141,15 +138,22 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("base", base).withColumn("added", added).withColumns({f"n_{k}": v for k, v in n.items()}).drop("_assign", "_access", "_hex", "_run")
 
 
+def _marker(pattern: str, least: int, mark: str) -> Callable[[Column], Column]:
+    def piece(x: Column) -> Column:
+        bad = F.length(x["inner"]) >= least
+        if pattern == RUN:
+            bad = bad & _suspect(x["match"]) & (_entropy_window(x["match"])["first"] >= 0)
+        return F.concat(x["gap"], F.when(bad, F.lit(mark)).otherwise(x["match"]))
+
+    return piece
+
+
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """Replaces the secrets of scan() in the text, kind by kind; other texts stay as they are."""
     df = docs
     for pattern, want, least in ((ASSIGN, 2, 12), (ACCESS, None, 18), (HEX, None, 16), (RUN, None, WINDOW)):
         df = _with_pieces(df, text, "_p", pattern, want)
-        bad = lambda x, pattern=pattern, least=least: (F.length(x["inner"]) >= least) & (
-            (_suspect(x["match"]) & (_entropy_window(x["match"])["first"] >= 0)) if pattern == RUN else F.lit(True)
-        )
-        joined = F.array_join(F.transform("_p", lambda x, bad=bad: F.concat(x["gap"], F.when(bad(x), F.lit(mark)).otherwise(x["match"]))), "")
+        joined = F.array_join(F.transform("_p", _marker(pattern, least, mark)), "")
         df = df.withColumn(text, F.when(F.size("_p") > 0, joined).otherwise(F.col(text))).drop("_p")
     return df
 
