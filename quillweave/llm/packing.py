@@ -15,7 +15,10 @@ packed one by one; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import json
 import os
+import re
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterable, Iterator
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ranked, stored, table
+from .token_counts import byte_symbols
 
 LENGTH = 2048
 END = 0
@@ -33,6 +37,57 @@ UNIT = 16
 CACHED = 300_000  # different chunks of text that a worker keeps the ids of
 
 
+class WordPieces:
+    """Ids of chunks of printable ASCII and Latin-1 letters under a lower-casing BPE of bytes with
+    word ends, whose words are cut by SPLIT. A byte that no such chunk holds stands for the
+    word end, so that byte pairs merge by the order of the vocabulary and tiktoken can do it."""
+
+    SAFE = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+    #: Fixed values of the vocabulary file's format: its word splitting and its word end.
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    WORD_END = "</w>"
+    STEPS = ["NFC", "Replace", "Lowercase"]
+    WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff \x01]+|\x01")
+
+    @classmethod
+    def fits(cls, spec: dict) -> bool:
+        model, cut = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+        return (
+            model.get("type") == "BPE" and model.get("end_of_word_suffix") == cls.WORD_END and not model.get("continuing_subword_prefix") and not model.get("ignore_merges")
+            and [x.get("type") for x in cut] == ["Split", "ByteLevel"] and cut[0]["pattern"] == {"Regex": cls.SPLIT}
+            and [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])] == cls.STEPS
+        )
+
+    def __init__(self, spec: dict):
+        import tiktoken
+
+        symbols, vocabulary = byte_symbols(), spec["model"]["vocab"]
+        ranks: dict[bytes, int] = {}
+        self.back = []
+        joined = ("".join(m if isinstance(m, list) else m.split(" ")) for m in spec["model"]["merges"])
+        letters = [c for c, b in symbols.items() if b > 1]
+        for w in [None, None, *letters, *(c + self.WORD_END for c in letters), *joined]:
+            raw = bytes([len(ranks)]) if w is None else bytes(symbols[c] for c in w.removesuffix(self.WORD_END)) + b"\0" * w.endswith(self.WORD_END)
+            if raw not in ranks:
+                ranks[raw] = len(ranks)
+                self.back.append(0 if w is None else vocabulary[w])
+        self.back = np.array(self.back, "<u4")
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.encoding = tiktoken.Encoding("words", pat_str="[^\\x00\\x01]+\\x00|\\x01", mergeable_ranks=ranks, special_tokens={})
+
+    def takes(self, chunk: str) -> bool:
+        return bool(self.SAFE.fullmatch(chunk)) and not any(t in chunk for t in self.special)
+
+    def __call__(self, chunks: list[str]) -> Iterator[bytes]:
+        """The byte 1 ends a chunk, the byte 0 a word."""
+        marked = self.WORDS.sub(lambda m: m[0] if m[0] == "\1" else m[0] + "\0", "\1".join([*chunks, ""]).lower())
+        got = np.array(self.encoding.encode_ordinary(marked), np.int64)
+        ids, at = self.back[got], 0
+        for e in np.flatnonzero(got == 1).tolist():
+            yield ids[at:e].tobytes()
+            at = e + 1
+
+
 class ChunkTokenizer:
     """Ids of whole texts, as little-endian 32-bit bytes, by way of their chunks between
     spaces. Valid for tokenizers that drop white space and never join across it."""
@@ -42,6 +97,19 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.fast = WordPieces(spec) if WordPieces.fits(spec) else None
+
+    def learn(self, chunks: list[str]) -> None:
+        fast, slow = [], chunks
+        if self.fast:
+            fast = [c for c in chunks if self.fast.takes(c)]
+            self.known.update(zip(fast, self.fast(fast), strict=True))
+            slow = [c for c in chunks if c not in self.known] if len(fast) < len(chunks) else []
+        if slow:
+            got = self.tokenizer.encode_batch(slow, add_special_tokens=False)
+            self.known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(slow, got, strict=True))
 
     def ids(self, texts: list[str | None]) -> Iterator[bytes]:
         known = self.known
@@ -56,20 +124,25 @@ class ChunkTokenizer:
                 known.clear()
                 known[""] = b""
             new = list(set(chunks).difference(known))
-            got = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(new, got, strict=True))
+            self.learn(new)
             yield b"".join(map(known.__getitem__, chunks))
             for c in new:
                 if len(c) > 64:
                     del known[c]
 
 
+@functools.cache
+def tokenizer_of(path: str) -> ChunkTokenizer:
+    """One tokenizer, with the chunks it knows, for all tasks of a worker."""
+    return ChunkTokenizer(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END) -> DataFrame:
     """docs (doc_id, text) -> doc_id, piece, start, length, ids_crc32."""
     tail = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = ChunkTokenizer(tokenizer)
+        tok = tokenizer_of(tokenizer)
         for batch in batches:
             out: list[list[int | None]] = [[], [], [], [], []]
             for doc_id, ids in zip(batch.column(0).to_pylist(), tok.ids(batch.column(1).to_pylist()), strict=True):
