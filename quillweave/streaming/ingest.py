@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def stream(spark: SparkSession, path: str, schema, key: str = "event_id", time: str = "ts", late: str = "1 day") -> DataFrame:
     """Events of a folder of Parquet files, each key once within the watermark."""
-    return spark.readStream.schema(schema).parquet(path).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+    rows = spark.readStream.schema(schema).parquet(path)
+    return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
 def ingest(events: DataFrame, target: str, checkpoint: str) -> None:
