@@ -195,7 +195,8 @@ def test_token_counts_odd_inputs(odd_docs, no_docs):
 
 
 def test_toxicity_held_out(spark):
-    sf = "/root/testdata/sf0.01"
+    """On sf0.1, with 97 held-out documents of label 1; sf0.01 has 6, too few to measure."""
+    sf = "/root/testdata/sf0.1"
     got = toxicity.op6_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").select("score", "toxic").collect()
     good, bad = [r["score"] for r in got if r["toxic"] == 0], [r["score"] for r in got if r["toxic"] == 1]
     auc = np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good])
@@ -346,7 +347,7 @@ def test_decontamination_blocks_and_proximity(spark, monkeypatch):
     rows = {r["doc_id"]: r for r in decontamination.find(docs, bench, near=2).collect()}
     assert rows[1]["items"] == rows[None]["items"] == ["1"] and rows[2]["items"] == [] and rows[2]["near"] == ["1"] and rows[4]["items"] == ["2"] and rows[3]["n_words"] == 0
     split = list(decontamination.blocks(bench, 8, 1))
-    assert len(split) == 3
+    assert len(split) == 2  # items are not cut
     monkeypatch.setattr(decontamination, "blocks", lambda b, n: iter(split))
     again = {r["doc_id"]: sorted(r["items"]) for r in decontamination.find(docs, bench).collect()}
     assert again == {d: sorted(r["items"]) for d, r in rows.items()}
