@@ -8,7 +8,8 @@ c * log2(c), in whole millionths, so results are exact and alike on every engine
 
 A candidate is a maximal run of 20 or more base64 characters. A run of hexadecimal digits
 alone belongs to the hex class, any other to the base64 class; each class has its
-threshold. Its span reaches from the start of its first to the end of its last window
+threshold. scan() and redact() take hexadecimal digits of either case; op4_secrets and its
+SQL give the hex class lower-case runs only, and op4_secrets_any_case both. A span reaches from the start of its first to the end of its last window
 above the threshold. The allow list suppresses UUIDs, runs without a digit or without a
 letter, and runs that hold a listed well-known string.
 
@@ -29,6 +30,9 @@ from .common import table
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # maximal runs, so the same as a run of 18 or more
 HEX = r"[0-9a-f]{16,}"
+#: Runs of the hex class, and those of op4_secrets' SQL.
+HEX_RUN = "^[0-9A-Fa-f]+$"
+LOWER_HEX_RUN = "^[0-9a-f]+$"
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -81,10 +85,10 @@ def _spans(pieces: str, kind: str, order: int, least: int) -> Column:
     return F.filter(F.transform(p, place), lambda s: (F.length(s["match"]) > 0) & (s["inner"] >= least))
 
 
-def _entropy_window(run: Column) -> Column:
+def _entropy_window(run: Column, hex_run: str = HEX_RUN) -> Column:
     """Struct (first, last): where the first and the last window above the threshold start
     in the run, or -1."""
-    is_hex = run.rlike("^[0-9a-f]+$")
+    is_hex = run.rlike(hex_run)
     limit = F.when(is_hex, F.lit(most("hex"))).otherwise(F.lit(most("base64")))
     xlog = F.array(*map(F.lit, XLOG))
     at = lambda i: F.instr(F.lit(ALPHABET), F.substring(run, i + 1, F.lit(1)))
@@ -117,14 +121,14 @@ def _suspect(run: Column) -> Column:
     return out
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", hex_run: str = HEX_RUN) -> DataFrame:
     """Adds base and added: arrays of structs (start, ord, kind, end)."""
     df = docs
     for name, pattern, want in (("_assign", ASSIGN, 2), ("_access", ACCESS, None), ("_hex", HEX, None), ("_run", RUN, None)):
         df = _with_pieces(df, text, name, pattern, want)
     df = df.withColumn("_assign", _spans("_assign", "assign", 0, 12)).withColumn("_access", _spans("_access", "access", 1, 18)).withColumn("_hex", _spans("_hex", "hex", 2, 16))
     df = df.withColumn("_run", F.filter(_spans("_run", "entropy", 3, WINDOW), lambda s: _suspect(s["match"])))
-    df = df.withColumn("_run", F.transform("_run", lambda s: F.struct(s["start"].alias("start"), _entropy_window(s["match"]).alias("w"))))
+    df = df.withColumn("_run", F.transform("_run", lambda s: F.struct(s["start"].alias("start"), _entropy_window(s["match"], hex_run).alias("w"))))
     keep = lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["kind"].alias("kind"), s["end"].alias("end"))
     base = F.array_sort(F.transform(F.concat("_assign", "_access", "_hex"), keep))
     added = F.transform(
@@ -162,14 +166,18 @@ def _said(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def op4_secrets(spark: SparkSession, sf_dir: str, hex_run: str = LOWER_HEX_RUN) -> DataFrame:
+    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), hex_run=hex_run)
     return out.select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(_said(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         _said(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_entropy"),
     )
 
 
+def op4_secrets_any_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_secrets(spark, sf_dir, HEX_RUN)
+
+
 def _sql_pieces(name: str, pattern: str, kind: str, order: int, least: int, want: int = 2) -> str:
     cut = rf"(?s)(.*?)(?:({pattern})|\z)".replace("'", "''")
     return f"""
@@ -213,3 +221,4 @@ SELECT d.doc_id, coalesce(na, 0)::BIGINT AS n_assign, coalesce(nk, 0)::BIGINT AS
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(ne, 0)::BIGINT AS n_entropy
 FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id"""
 )
+ANY_CASE_ORACLE = ORACLE.replace(LOWER_HEX_RUN, HEX_RUN)

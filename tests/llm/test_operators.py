@@ -164,6 +164,14 @@ def test_secrets_spans_and_redaction(spark, odd_docs, no_docs):
     assert secrets.scan(odd_docs.drop("base", "_p")).count() == 13 and secrets.scan(no_docs).count() == 0
 
 
+def test_secrets_find_hex_of_either_case(spark):
+    rng = random.Random(4)
+    keys = ["".join(rng.choice(digits) for _ in range(n)) for digits in ("0123456789ABCDEF", "0123456789ABCDEFabcdef") for n in (32, 40, 64) for _ in range(20)]
+    df = spark.createDataFrame([(i, f"see {k} there") for i, k in enumerate(keys)], "doc_id long, text string")
+    assert all(len(r["added"]) == 1 for r in secrets.scan(df).collect())
+    assert {r["text"] for r in secrets.redact(df).collect()} == {"see [SECRET] there"}
+
+
 # 5. Token counts
 
 
