@@ -1,20 +1,23 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 A bounded sample of labelled documents (TOXIC and CLEAN rows, by the order of a hash, of
-the training folds) gives the vocabulary: words and word beginnings whose rate of label 1
-is highest above the sample's, in standard deviations, and at least halfway from it to 1. Document frequencies are counted
-over all documents. The sampled documents are the examples: an inverted index whose
-postings are cut into blocks of BLOCK examples with each term's greatest weight per block.
-A text's nearest examples are found block by block from the largest upper bound on, and
-the search ends when no bound exceeds the K-th similarity, so they are exact. Their votes,
+the training folds) are the examples. All their words and word beginnings are indexed, with
+document frequencies counted over all documents, and every text's whole vector is compared
+with all of them: all postings of its terms are summed. Terms that no example has match
+none and are left out of a text's length. The nearest examples are the evidence.
+
+As a further feature, a second search runs over the lexicon alone: the terms whose rate of
+label 1 is highest above the sample's, in standard deviations, and at least halfway from it
+to 1. Its inverted index has postings cut into blocks of BLOCK examples with each term's
+greatest weight per block; blocks are read from the largest upper bound on until no bound
+exceeds the K-th similarity, so this search is exact too. In both, the neighbours' votes,
 weighted by 1 / (distance + 0.1), and the best similarity are calibrated by logistic
 regression on the examples themselves (each left out of its own search), weighted so that
-the classes have the shares they have among all training labels. The nearest examples are
-the evidence.
+the classes have the shares they have among all training labels.
 
 Labels count only outside the held-out fold; labels, language, source and id are no inputs.
 
-Defined cases: a null or empty text, and one without a term of the vocabulary, gets the
+Defined cases: a null or empty text, and one without a term of an example, gets the
 score calibrated for no neighbours; repeated rows are scored one by one; an id with several
 labels has the largest; null labels don't count; with no labels of either class every score
 is the share of label 1 (0 without labels); an empty table gives no rows.
@@ -22,6 +25,7 @@ is the share of label 1 (0 without labels); an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -75,6 +79,10 @@ class Terms:
                 out[i] = out.get(i, 0) + 1
         return out
 
+    def own(self, text: str | None) -> list[int]:
+        """The different term ids of a text."""
+        return list({self.vocabulary[t] for w in set(words(text)) for t in terms(w) if t in self.vocabulary})
+
 
 class Index:
     """Block-max inverted index over unit vectors of (1 + log tf) * idf."""
@@ -133,6 +141,37 @@ class Index:
         return [1.0, 2 * v - 1, (2 * v - 1) * near[0][0], 0.0]
 
 
+class Whole(Index):
+    """Inverted index of whole vectors, given as arrays: terms and counts of all examples one after
+    another, and each example's number of terms."""
+
+    def __init__(self, idf: np.ndarray, t: np.ndarray, tf: np.ndarray, sizes: np.ndarray, labels: np.ndarray, ids: np.ndarray):
+        self.idf, self.labels, self.ids = idf, labels, ids
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        w = idf[t] * (1 + np.log(tf))
+        w /= np.sqrt(np.bincount(doc, weights=w * w, minlength=len(sizes)))[doc]
+        order = np.argsort(t, kind="stable")
+        self.docs, self.weights = doc[order].astype(np.int32), w[order]
+        self.cuts = np.searchsorted(t[order], np.arange(len(idf) + 1))
+
+    def nearest(self, tf: dict[int, int], skip: int | None = None) -> list[tuple[float, int]]:
+        t, w = self.vector(tf)
+        n = self.cuts[t + 1] - self.cuts[t]
+        at = np.arange(n.sum()) + np.repeat(self.cuts[t] - (np.cumsum(n) - n), n)
+        acc = np.bincount(self.docs[at], weights=self.weights[at] * np.repeat(w, n), minlength=len(self.ids))
+        if skip is not None:
+            acc[skip] = 0
+        least = np.partition(acc, -K)[-K] if len(acc) > K else 0
+        some = np.flatnonzero((acc >= least) & (acc > 0))
+        return sorted(zip(acc[some].tolist(), some.tolist(), strict=True), key=lambda x: (-x[0], x[1]))[:K]
+
+
+def features(lexicon: Index, whole: Whole, near: list[tuple[float, int]], tf: dict[int, int]) -> list[float]:
+    """Votes in the lexicon, whose terms have the first ids, and of the whole vector's neighbours."""
+    few = {t: c for t, c in tf.items() if t < len(lexicon.idf)}
+    return [*lexicon.vote(lexicon.nearest(few)), *whole.vote(near)[1:]]
+
+
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Weighted logistic regression with a small ridge, by Newton steps."""
     b = np.zeros(x.shape[1])
@@ -146,8 +185,8 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return b
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, int], Index, np.ndarray] | float:
-    """The vocabulary, the index and the calibration; or the share of label 1."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, int], Index, Whole, np.ndarray] | float:
+    """The vocabulary, the indexes and the calibration; or the share of label 1."""
     train = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (id_fold(F.col("doc_id"), FOLDS) != 0))
     train = train.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     shares = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -187,43 +226,50 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, int], Index, np
         return share
     rate = min(max((toxic or 0) / size, 1e-6), 1 - 1e-6)
     z = (F.col("k") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    ranked = (
-        texts.select("text", "toxic").mapInArrow(tally, "term binary, n long, k long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-        .where(F.col("n") >= LEAST_ROWS).withColumn("z", z).where((F.col("z") >= LEAST_Z) & (F.col("k") >= F.col("n") * (1 + rate) / 2))
-    )
+    counted = stored(texts.select("text", "toxic").mapInArrow(tally, "term binary, n long, k long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "terms")
+    ranked = counted.where(F.col("n") >= LEAST_ROWS).withColumn("z", z).where((F.col("z") >= LEAST_Z) & (F.col("k") >= F.col("n") * (1 + rate) / 2))
     chosen = [bytes(r["term"]) for r in ranked.orderBy(F.desc("z"), "term").limit(VOCABULARY).collect()]
-    if not chosen:
+    # the lexicon first, then all other terms of the examples
+    rest = set(counted.select("term").toArrow().column(0).to_pylist()).difference(chosen)
+    vocabulary = {t: i for i, t in enumerate([*chosen, *sorted(rest)])}
+    if not vocabulary:
         return share
-    vocabulary = {t: i for i, t in enumerate(chosen)}
+    words_sent = spark.sparkContext.broadcast(vocabulary)  # bounded by TOXIC + CLEAN examples
 
     def frequency(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, df = Terms(vocabulary), np.zeros(len(vocabulary) + 1, np.int64)
+        find, df = Terms(words_sent.value), np.zeros(len(words_sent.value) + 1, np.int64)
         for b in batches:
             for text in b.column(0).to_pylist():
-                df[list(find(text))] += 1
+                df[find.own(text)] += 1
                 df[-1] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df)), pa.int32()), pa.array(df)], ["term", "df"])
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(df[some])], ["term", "df"])
 
     df = np.zeros(len(vocabulary) + 1)
-    for r in docs.select("text").mapInArrow(frequency, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
-        df[r["term"]] = r["df"]
+    got = docs.select("text").mapInArrow(frequency, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df[got.column(0).to_numpy()] = got.column(1).to_numpy()
     idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
 
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Terms(vocabulary)
+        find = Terms(words_sent.value)
         for b in batches:
             tf = [find(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(x) for x in tf], pa.list_(pa.int32())), pa.array([list(x.values()) for x in tf], pa.list_(pa.int32()))], ["doc_id", "toxic", "t", "tf"])
 
-    rows = texts.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, t array<int>, tf array<int>").limit(2 * (TOXIC + CLEAN)).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["t"], r["tf"]))
-    ids, y = np.array([r["doc_id"] for r in rows]), np.array([r["toxic"] for r in rows])
-    tfs = [dict(zip(r["t"], r["tf"], strict=True)) for r in rows]
-    index = Index(idf, tfs, y, ids)
-    place = {k: i for i, k in enumerate(np.argsort([max(e, key=lambda t: idf[t] * (1 + np.log(e[t]))) if e else -1 for e in tfs], kind="stable").tolist())}
-    x = np.array([index.vote(index.nearest(tf, place[i])) for i, tf in enumerate(tfs)])
+    got = texts.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, t array<int>, tf array<int>").toArrow()
+    column = lambda c: [x for chunk in got.column(c).chunks for x in (chunk[k].values.to_numpy() for k in range(len(chunk)))]
+    rows = sorted(zip(got.column("doc_id").to_pylist(), got.column("toxic").to_pylist(), column("t"), column("tf"), strict=True), key=lambda r: (r[0], r[2].tobytes(), r[3].tobytes()))
+    ids, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    none = [np.zeros(0, np.int32)]
+    whole = Whole(idf, np.concatenate([r[2] for r in rows] + none), np.concatenate([r[3] for r in rows] + none), np.array([len(r[2]) for r in rows]), y, ids)
+    few = [{t: c for t, c in zip(r[2].tolist(), r[3].tolist(), strict=True) if t < len(chosen)} for r in rows]
+    index = Index(idf[: len(chosen)], few, y, ids)
+    place = {k: i for i, k in enumerate(np.argsort([max(e, key=lambda t: idf[t] * (1 + np.log(e[t]))) if e else -1 for e in few], kind="stable").tolist())}
+    x = np.array([
+        [*index.vote(index.nearest(few[i], place[i])), *whole.vote(whole.nearest(dict(zip(r[2].tolist(), r[3].tolist(), strict=True)), i))[1:]] for i, r in enumerate(rows)
+    ])
     w = np.where(y == 1, share / max((y == 1).mean(), 1e-9), (1 - share) / max((y == 0).mean(), 1e-9))
-    return vocabulary, index, logistic(x, y, w)
+    return vocabulary, index, whole, logistic(x, y, w)
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -232,22 +278,21 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     base = docs.select("*")
     if isinstance(model, float):
         return base.withColumns({"score": F.lit(model), "evidence": F.array().cast("array<long>"), "similarity": F.lit(0.0)})
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY and TOXIC + CLEAN examples
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TOXIC + CLEAN examples
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, index, weights = sent.value
+        vocabulary, index, whole, weights = sent.value
         find, known = Terms(vocabulary), {}
         for b in batches:
             p, ev, sim = [], [], []
             for text in b.column(at).to_pylist():
-                tf = find(text)
-                key = tuple(sorted(tf.items()))
+                key = hashlib.blake2b((text or "").encode(), digest_size=16).digest()
                 got = known.get(key)
                 if got is None:
-                    near = index.nearest(tf)
-                    got = (
-                        float(1 / (1 + np.exp(-np.clip(np.dot(index.vote(near), weights), -30, 30)))), [int(index.ids[i]) for _, i in near[:EVIDENCE]], near[0][0] if near else 0.0,
-                    )
+                    tf = find(text)
+                    near = whole.nearest(tf)
+                    x = features(index, whole, near, tf)
+                    got = (float(1 / (1 + np.exp(-np.clip(np.dot(x, weights), -30, 30)))), [int(whole.ids[i]) for _, i in near[:EVIDENCE]], near[0][0] if near else 0.0)
                     if len(known) < 50_000:
                         known[key] = got
                 for column, v in zip((p, ev, sim), got, strict=True):

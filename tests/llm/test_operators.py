@@ -236,6 +236,18 @@ def test_toxicity_odd_inputs(spark, odd_docs, no_docs):
     assert {r["score"] for r in toxicity.score(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_compares_whole_texts(spark):
+    """Wording of one labelled document, too rare for the lexicon, finds it."""
+    toxicity_fold = lambda d: zlib.crc32(str(d).encode()) % toxicity.FOLDS
+    train = [d for d in range(100) if toxicity_fold(d)][:20]
+    rows = [(d, f"own{d} word{d} thing{d}") for d in train] + [(1000, f"own{train[0]} thing{train[0]} unseen"), (1001, f"word{train[9]} unseen")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(d == train[0])) for d in train], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.score(docs, labels).collect()}
+    assert got[1000]["evidence"][0] == train[0] and got[1001]["evidence"][0] == train[9]
+    assert got[1000]["similarity"] > got[1001]["similarity"] > 0
+
+
 # 7. Embeddings
 
 
