@@ -152,7 +152,8 @@ def search(index: DataFrame, block: list[tuple[tuple[bytes, ...], list[str]]], n
                 for d in set((np.searchsorted(begins, at, side="right") - 1).tolist()):
                     found[d].append(w)
             if near and len(wide):
-                for d in set((np.searchsorted(begins, wide, side="right") - 1).tolist()):
+                # a start may lie before its document; the place of the rarest term doesn't
+                for d in set((np.searchsorted(begins, wide + order[0], side="right") - 1).tolist()):
                     close[d].update(items[w])
         spans: list[list[dict]] = [[] for _ in range(n)]
         if starts:

@@ -7,6 +7,9 @@ whose links are followed until one can read v's last symbol. A word is read symb
 symbol; where a node has no such child its pieces are counted and its link is followed. So
 the count takes time linear in the word, and no piece is built.
 
+Where the greedy pieces reach the last letter but can't read the word end, a word is counted
+once more by longest match among the pieces that don't end on the last letter.
+
 Counts depend on the word alone, so a worker keeps those of CACHED different words.
 
 Defined cases: a null or empty text has no words and no tokens; a word that the vocabulary
@@ -95,6 +98,27 @@ class Automaton:
         return n
 
 
+class Placeable:
+    """Longest match for words whose last letter the greedy pieces reach without a word end:
+    no piece ends on the last letter, but with the word end."""
+
+    def __init__(self, pieces: Iterable[tuple[int, ...]]):
+        self.pieces = set(pieces)
+        self.longest = max(map(len, self.pieces), default=0)
+
+    def count(self, symbols: tuple[int, ...]) -> int:
+        """Pieces of a word with its end; 1 if it can't be spelled."""
+        at, n, last = 0, 0, len(symbols) - 1
+        while at < len(symbols):
+            for to in range(min(len(symbols), at + self.longest), at, -1):
+                if to != last and symbols[at:to] in self.pieces:
+                    break
+            else:
+                return 1
+            at, n = to, n + 1
+        return n
+
+
 def byte_symbols() -> dict[str, int]:
     """The usual printable stand-ins of bytes in byte-level vocabularies, back to bytes."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -118,7 +142,8 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, n_tokens, n_bytes. Words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, known = Automaton(vocabulary(path)), {}
+        pieces = vocabulary(path)
+        automaton, placeable, known = Automaton(pieces), Placeable(pieces), {}
         for b in batches:
             n_words, n_tokens, n_bytes = [], [], []
             for text in b.column(1).to_pylist():
@@ -128,7 +153,8 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
                     known.clear()
                 long = 0
                 for x in set(w).difference(known):
-                    known[x] = automaton.count((*x, WORD_END))
+                    n = automaton.count((*x, WORD_END))
+                    known[x] = n if n > 1 else placeable.count((*x, WORD_END))
                     long += len(x) > LONGEST_CACHED
                 n_tokens.append(sum(map(known.__getitem__, w)))
                 n_words.append(len(w))

@@ -199,6 +199,19 @@ def test_token_counts_odd_inputs(odd_docs, no_docs):
     assert token_counts.count_tokens(no_docs, VOCABULARY).count() == 0
 
 
+def test_no_piece_takes_the_last_letter_without_the_word_end():
+    e = token_counts.WORD_END
+    word = lambda text, end=(): (*text.encode(), *end)
+    pieces = [word("ab"), word("abc"), word("c", (e,)), word("d")]
+    count = token_counts.Placeable(pieces).count
+    assert count(word("abc", (e,))) == 2 and count(word("dabc", (e,))) == 3 and count(word("ab", (e,))) == 1
+
+
+def test_token_counts_spell_all_words_they_can(spark):
+    docs = spark.createDataFrame([(1, "outre"), (2, "rele")], "doc_id long, text string")
+    assert all(r["n_tokens"] > 1 for r in token_counts.count_tokens(docs, VOCABULARY).collect())
+
+
 # 6. Toxicity
 
 
@@ -373,6 +386,14 @@ def test_decontamination_blocks_and_proximity(spark, monkeypatch):
     assert again == {d: sorted(r["items"]) for d, r in rows.items()}
 
 
+def test_proximity_starts_before_its_document(spark):
+    rows = [(1, "gamma alpha beta"), (2, "alpha beta"), (3, "gamma alpha beta"), (4, "alpha beta")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    got = {r["doc_id"]: r["near"] for r in decontamination.find(docs, bench, near=3).collect()}
+    assert got == {1: ["1"], 2: [], 3: ["1"], 4: []}
+
+
 def test_decontamination_odd_inputs(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, "two words")], "item_id long, text string")
     got = decontamination.find(odd_docs, bench).collect()
