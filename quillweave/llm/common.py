@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,22 +21,83 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or,
-    only where that is unset (tests), a new local folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. Where
+    that is unset, a local master (as in tests) gets a new local folder; a cluster is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quillweave-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def stored(df: DataFrame, kind: str = "t") -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts lineage, survives the loss of
-    executors, and gives the planner a true size to choose join strategies by."""
+def stored_at(df: DataFrame, kind: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillweave/{kind}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, kind: str = "t") -> DataFrame:
+    """Writes df to the shared folder and reads it again: cuts lineage, survives the loss of
+    executors, and gives the planner a true size to choose join strategies by."""
+    return stored_at(df, kind)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a stored table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def frugal(f):
+    """f over Arrow batches, which at its end hands the memory it freed back to the system, so
+    that idle workers of earlier stages don't add up."""
+
+    @functools.wraps(f)
+    def run(batches):
+        yield from f(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
+def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch, so that its texts become Python strings a few at a time."""
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
+#: Bits of the filter that keeps rows out of a shuffle; a full one only lets more rows pass.
+FILTER_BITS = 1 << 26
+_BITMAP_BITS = 32_768  # of one bitmap of bitmap_construct_agg
+
+
+def slot(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+def likely(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """rows without most of those whose key (a column of both) isn't in wanted: a semi-join by
+    a bitmap of FILTER_BITS at most, so the exact join that follows shuffles less."""
+    bits = wanted.select((slot(F.col(key)) + 1).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("b"))
+    full = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in bits.collect():  # FILTER_BITS / 32,768 rows at most
+        at = (r["k"] - 1) * (_BITMAP_BITS // 8)
+        full[at : at + _BITMAP_BITS // 8] = np.frombuffer(r["b"], np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast(full)
+
+    @frugal
+    def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = b.column(b.num_columns - 1).to_numpy()
+            yield b.select(range(b.num_columns - 1)).filter(pa.array((sent.value[s >> 3] >> (s & 7)) & 1 == 1))
+
+    return rows.withColumn("_slot", slot(F.col(key))).mapInArrow(keep, rows.schema)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -50,7 +118,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     in tables; the driver sees one count of changed edges a round.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = stored(e, "edges")
+    e, path = stored_at(e, "edges")
     before = None
     for _ in range(max_rounds):
         # large star: every larger neighbour of u joins u's smallest neighbour (or u itself)
@@ -61,9 +129,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        nxt = stored(small.where("u <> v").distinct(), "edges")
+        nxt, written = stored_at(small.where("u <> v").distinct(), "edges")
         after = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        e = nxt
+        discard(e.sparkSession, path)
+        e, path = nxt, written
         if after == before:
             break
         before = after

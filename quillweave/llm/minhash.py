@@ -4,18 +4,21 @@
    digest and a MinHash signature. Texts with equal sets are one class; classes go on.
 2. The signature's bands, as many and as long as miss a pair at the threshold with a
    probability of MISS at most, deal classes into buckets.
-3. Each bucket's hub (the class that shares most buckets) is compared with its members.
-   Where all of a bucket's members join the hub's component, it is settled. In the others
-   each member outside that component is compared with all members of other components, in
-   rectangles of at most BLOCK by BLOCK, by signatures in memory; only survivors are rows.
-   So no bucket is expanded into all its pairs, and none is capped.
-4. Comparison goes by batches of the signature: a pair is pruned once the posterior
+3. Comparison goes by batches of the signature: a pair is pruned once the posterior
    probability (uniform prior) that its similarity reaches the threshold falls below MISS.
-5. Survivors are verified on the full sets of both texts, and links joined to components.
+   Survivors are verified on the full sets of both texts.
+4. Each bucket has a hub (the class that shares most buckets). First every member is
+   compared with its hub; a hub goes once to each run of at most BLOCK of its members.
+5. What a hub has not joined is compared with the other members of its buckets in cells of
+   at most BLOCK by BLOCK classes: signatures first, and only classes with a survivor come
+   again with their texts, once a cell. A cell verifies inside and returns the edges of a
+   spanning forest of its links, so no row is ever a pair that isn't a link, no text
+   travels by pair, and no bucket is capped.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with
 nothing; a text of fewer words than a shingle is one shingle; repeated rows link; rows that
-share an id are one node; an empty table gives no rows; other columns are ignored.
+share an id are one node, so their texts' groups are one; rows without an id take part by
+their texts; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +27,12 @@ import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, stored, table
+from .common import components, frugal, likely, slices, stored, table
 
 WORDS = 5
 PERMUTATIONS = 128
@@ -38,7 +40,7 @@ MISS = 1e-6
 BATCH = 25
 BLOCK = 1024
 SEED = 20240611
-VOCABULARY = 500_000  # word hashes that a worker keeps
+VOCABULARY = 200_000  # word hashes that a worker keeps
 
 
 class Shingler:
@@ -99,6 +101,7 @@ def signatures(docs: DataFrame, threshold: float, n_words: int = WORDS) -> DataF
     """docs (doc_id, text) -> doc_id, n_shingles, h1, h2, sig (16 bits a hash), bands."""
     n_bands, rows = banding(threshold)
 
+    @frugal
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n_words)
         rng = np.random.default_rng(SEED + 1)
@@ -106,7 +109,7 @@ def signatures(docs: DataFrame, threshold: float, n_words: int = WORDS) -> DataF
         b = rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
         mix = rng.integers(1, 2**63, rows, dtype=np.uint64) | np.uint64(1)
         salt = rng.integers(1, 2**63, n_bands, dtype=np.uint64)
-        for batch in batches:
+        for batch in (b for whole in batches for b in slices(whole)):
             ids, n, d, sig, bands = batch.column(0).to_pylist(), [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle(text)
@@ -146,111 +149,246 @@ def _alive(x: np.ndarray, y: np.ndarray, steps: list[tuple[int, int]]) -> np.nda
     return live
 
 
-def prune(pairs: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
-    """pairs (a, b, sig_a, sig_b) -> surviving (a, b)."""
+def _runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows that are equal in the first `keys` columns, from batches sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        edges = [0, *cut.tolist(), b.num_rows]
+        for i, j in zip(edges, edges[1:]):
+            key = tuple(c[i] for c in cols)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(i, j - i))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
-    def test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            if t.num_rows:
-                x, y = (np.frombuffer(b"".join(t.column(i).to_pylist()), np.uint16).reshape(t.num_rows, -1) for i in (2, 3))
-                live = pa.array(_alive(x, y, steps))
-                yield pa.RecordBatch.from_arrays([t.column(0).take(live), t.column(1).take(live)], ["a", "b"])
 
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(test, "a long, b long")
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with each key's together and in order; the keys come first."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, "side")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, threshold: float, n_words: int = WORDS) -> DataFrame:
-    """pairs (a, b) -> those whose full sets reach the threshold, compared in whole hundredths."""
-    percent = round(threshold * 100)
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")
-    first = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = first.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+def _enough(inter: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int, percent: int) -> np.ndarray | bool:
+    return (inter > 0) & (100 * inter >= percent * (n + m - inter))
 
+
+def _stars(pairs: DataFrame, classes: DataFrame, texts: DataFrame | None, steps: list[tuple[int, int]], percent: int, n_words: int) -> DataFrame:
+    """pairs (node, hub, run) that survive the signatures or, with texts, the comparison of sets.
+    A run's hub stands before its members."""
+    what = classes.select("node", F.col("sig").alias("x")) if texts is None else texts.select("node", F.col("text").alias("x"))
+    members = pairs.join(what, "node").select("hub", "run", F.lit(1).alias("side"), "node", "x")
+    by_sets = texts is not None
+    hubs = pairs.select("hub", "run").distinct().join(what.withColumnRenamed("node", "hub"), "hub").select("hub", "run", F.lit(0).alias("side"), F.col("hub").alias("node"), "x")
+
+    @frugal
     def test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, hub = Shingler(n_words), (None, None)
-        for t in batches:
-            ok = []
-            for i in range(t.num_rows):
-                a, b, x, y = (t.column(c)[i].as_py() for c in range(4))
-                if hub[0] != (b, y):
-                    hub = (b, y), shingle(y)
-                s, o = shingle(x), hub[1]
-                inter = len(np.intersect1d(s, o, assume_unique=True))
-                if inter and 100 * inter >= percent * (len(s) + len(o) - inter):
-                    ok.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in ok], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    return both.mapInArrow(test, "a long, b long").distinct()
-
-
-def _rectangles(members: DataFrame, steps: list[tuple[int, int]]) -> DataFrame:
-    """members (key, node, comp, main, sig): main is the component of the bucket's hub. Pairs
-    of a node outside main and a node of another component that survive the batches."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("m"), F.count_if(F.col("comp") != F.col("main")).alias("k")).where("k > 0")
-    nb = (
-        sizes.withColumn("rows", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("cols", F.ceil(F.col("m") / BLOCK).cast("int")).drop("m", "k")
-    )
-    m = members.join(nb, "key").withColumn("r", F.pmod(F.xxhash64("node"), F.col("rows")).cast("int")).withColumn("c", F.pmod(F.xxhash64("node"), F.col("cols")).cast("int"))
-    left = m.where("comp <> main").withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cols") - 1))).withColumn("side", F.lit(0))
-    right = m.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("side", F.lit(1))
-    cells = left.union(right.select(left.columns))
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        out_a, out_b = [], []
-        l, r = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if len(l) and len(r):
-            x, y = (np.frombuffer(b"".join(d["sig"]), np.uint16).reshape(len(d), -1) for d in (l, r))
-            ln, rn, lc, rc, rm = l["node"].to_numpy(), r["node"].to_numpy(), l["comp"].to_numpy(), r["comp"].to_numpy(), (r["comp"] == r["main"]).to_numpy()
-            for i in range(len(l)):
-                # two nodes outside main are met once: at the larger
-                j = np.flatnonzero((rc != lc[i]) & (rm | (rn < ln[i])))
-                live = j[_alive(np.broadcast_to(x[i], (len(j), x.shape[1])), y[j], steps)]
-                out_a.append(np.full(len(live), ln[i]))
-                out_b.append(rn[live])
-        a, b = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in (out_a, out_b))
-        return pd.DataFrame({"a": a, "b": b})
-
-    return cells.select("key", "r", "c", "side", "node", "comp", "main", "sig").groupBy("key", "r", "c").applyInPandas(test, "a long, b long")
+        shingle, hub_sig, hub_set = Shingler(n_words), None, None
+        for whole in batches:
+            for b in slices(whole, 512 if by_sets else 4096):
+                side = b.column(2).to_numpy()
+                if not by_sets:
+                    x = _matrix(b.column(4))
+                    at = np.maximum.accumulate(np.where(side == 0, np.arange(len(x)) + 1, 0))
+                    x = np.concatenate([x[:1] if hub_sig is None else hub_sig, x])
+                    live = _alive(x[1:], x[at], steps)
+                    hub_sig = x[at[-1]][None]
+                    live = live[side[live] == 1]
+                else:
+                    live = []
+                    for i, (s, text) in enumerate(zip(side.tolist(), b.column(4).to_pylist(), strict=True)):
+                        own = shingle(text)
+                        if not s:
+                            hub_set = own
+                        elif _enough(len(np.intersect1d(own, hub_set, assume_unique=True)), len(own), len(hub_set), percent):
+                            live.append(i)
+                yield b.take(pa.array(live, pa.int64())).select([3, 0, 1])
+
+    return _dealt(members.union(hubs), "hub", "run").mapInArrow(test, "node long, hub long, run int")
+
+
+def _links(l: list[np.ndarray], r: list[np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Those of the pairs (l[i], r[j]) of sets that reach the threshold."""
+    n, m = np.array([len(x) for x in l]), np.array([len(x) for x in r])
+    codes, back, count = np.unique(np.concatenate([*l, *r]), return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    width = int(shared[-1]) + 1 if len(codes) else 0
+    if len(i) * 2e-6 + (n[i].sum() + m[j].sum()) * 2e-8 < width * len(l) * len(r) * 1e-10:
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            if _enough(len(np.intersect1d(l[a], r[b], assume_unique=True)), n[a], m[b], percent):
+                yield a, b
+        return
+    row = np.repeat(np.arange(len(l) + len(r)), np.concatenate([n, m]))
+    keep = count[back] > 1
+    row, col = row[keep], shared[back[keep]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    inter = np.zeros((len(l), len(r)), np.float32)
+    for c in range(0, width, 4096):
+        lo, hi = np.searchsorted(col, [c, c + 4096])
+        part = np.zeros((len(l) + len(r), min(4096, width - c)), np.float32)
+        part[row[lo:hi], col[lo:hi] - c] = 1
+        inter += part[: len(l)] @ part[len(l) :].T
+    own = inter[i, j].astype(np.int64)
+    good = np.flatnonzero(_enough(own, n[i], m[j], percent))
+    yield from zip(i[good].tolist(), j[good].tolist(), strict=True)
+
+
+def _cells(members: DataFrame, what: DataFrame, steps: list[tuple[int, int]], percent: int, n_words: int, verify: bool) -> DataFrame:
+    """members (hub, r, c, side, node, comp, main), sides 0 (outside the hub's component) and 1
+    (all): the classes of a cell with a survivor of the signatures, or the forest of its links."""
+    with_text = ["text"] if verify else []
+    rows = members.join(what, "node").select("hub", "r", "c", "side", "node", "comp", "main", "sig", *with_text)
+
+    @frugal
+    def test(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(n_words)
+        for t in _runs(batches, 3):
+            side = t["side"].to_numpy()
+            p, q = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not (len(p) and len(q)):
+                continue
+            x, node, comp = _matrix(t["sig"]), t["node"].to_numpy(), t["comp"].to_numpy()
+            inside = comp[q] == t["main"].to_numpy()[q]
+            left, right = [], []
+            for k, a in enumerate(p.tolist()):
+                # two classes outside main are met once: at the larger
+                j = np.flatnonzero((comp[q] != comp[a]) & (inside | (node[q] < node[a])))
+                live = j[_alive(np.broadcast_to(x[a], (len(j), x.shape[1])), x[q[j]], steps)]
+                left.append(np.full(len(live), k))
+                right.append(live)
+            i, j = np.concatenate(left), np.concatenate(right)
+            if not len(i):
+                continue
+            if not verify:
+                live = np.unique(np.concatenate([p[i], q[j]]))
+                yield from t.take(pa.array(live)).select(["hub", "r", "c", "side", "node", "comp", "main"]).to_batches()
+                continue
+            texts = t["text"]
+            some, i = np.unique(i, return_inverse=True)
+            others, j = np.unique(j, return_inverse=True)
+            sets = lambda rows: [shingle(texts[k].as_py()) for k in rows.tolist()]  # noqa: B023, E731
+            up: dict[int, int] = {}
+
+            def top(v: int) -> int:
+                while (w := up.get(v, v)) != v:  # noqa: B023
+                    up[v] = v = up.get(w, w)  # noqa: B023
+                return v
+
+            a, b = node[p[some]].tolist(), node[q[others]].tolist()
+            out = []
+            for k, m in _links(sets(p[some]), sets(q[others]), i, j, percent):
+                u, v = top(a[k]), top(b[m])
+                if u != v:
+                    up[u] = v
+                    out.append((a[k], b[m]))
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    schema = "a long, b long" if verify else "hub long, r int, c int, side int, node long, comp long, main long"
+    return _dealt(rows, "hub", "r", "c").mapInArrow(test, schema)
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, odd: DataFrame | None, n_words: int) -> DataFrame:
+    """wanted (node, doc_id) -> stored (node, text): a text of each class. Texts of ids that have
+    several sets (odd), or of no id, are told by their digest."""
+    plain = wanted.where("doc_id IS NOT NULL")
+    if odd is not None:
+        plain = plain.join(odd.select("doc_id"), "doc_id", "left_anti")
+    out = likely(docs, "doc_id", plain.select("doc_id")).join(plain, "doc_id").dropDuplicates(["doc_id"]).select("node", "text")
+    if odd is not None:
+        unclear = docs.where("doc_id IS NULL").union(docs.join(odd.select("doc_id"), "doc_id", "left_semi").select(*docs.columns))
+
+        @frugal
+        def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingle = Shingler(n_words)
+            for whole in batches:
+                for b in slices(whole):
+                    h = [int(np.frombuffer(xxhash.xxh128(shingle(t).tobytes()).digest(), np.int64)[0]) for t in b.column(1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), b.column(1)], ["node", "text"])
+
+        found = unclear.mapInArrow(digest, "node long, text string").join(wanted, "node", "left_semi")
+        out = out.union(found.select("node", "text"))
+        return stored(out.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    # rows that repeat an id have equal sets here: the first is as good as any
+    return stored(out, "texts")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, n_words: int = WORDS) -> DataFrame:
     """docs (doc_id, text) -> a row per document: doc_id, n_shingles, component_id."""
-    steps = least_matches(threshold, PERMUTATIONS // BATCH * BATCH)
+    steps, percent = least_matches(threshold, PERMUTATIONS // BATCH * BATCH), round(threshold * 100)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     signed = stored(signatures(docs, threshold, n_words), "signatures")
+    # a class is known by the first half of its digest, node; at its smallest id is its text
     classes = stored(
-        signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands")),
+        signed.where("n_shingles > 0").groupBy(F.col("h1").alias("node"), "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("sig").alias("sig"), F.first("bands").alias("bands")),
         "classes",
     )
+    odd = stored(
+        signed.groupBy("doc_id").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high OR doc_id IS NULL"), "odd"
+    )
+    odd = None if odd.isEmpty() else odd
     dealt = classes.select("node", F.explode("bands").alias("key"))
     buckets = stored(dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     members = stored(dealt.join(buckets, "key"), "members")
     weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    hubs = members.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct(F.col("weight"), -F.col("node"))).alias("hub"))
-    members = stored(members.join(hubs, "key").select("key", "node", "hub"), "members")
-    sig = classes.select("node", "sig")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        return stored(verify(stored(pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct().select(F.col("y").alias("a"), F.col("x").alias("b")), "pairs"), docs, threshold, n_words), "links")
-
-    stars = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = stars.join(sig.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-    links = linked(prune(stars, steps))
+    hubs = members.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
+    pairs = members.join(hubs, "key").where("node <> hub").select("node", "hub").distinct()
+    pairs = stored(pairs, "pairs")
+    sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("runs"))
+    pairs = pairs.join(sizes, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), F.col("runs")).cast("int").alias("run"))
+
+    def texts(nodes: DataFrame) -> DataFrame:
+        return _texts(docs, stored(classes.join(nodes.distinct(), "node", "left_semi").select("node", "doc_id"), "wanted"), odd, n_words)
+
+    live = stored(_stars(pairs, classes, None, steps, percent, n_words), "live")
+    linked = _stars(live, classes, texts(live.select("node").union(live.select("hub"))), steps, percent, n_words)
+    links = stored(linked.select(F.col("node").alias("a"), F.col("hub").alias("b")), "links")
+    if odd is not None:  # an id's several texts are one node
+        same = signed.where("n_shingles > 0").join(odd.where("doc_id IS NOT NULL"), "doc_id").groupBy("doc_id", "h1").agg(F.count("*"))
+        first = same.groupBy("doc_id").agg(F.min("h1").alias("b"))
+        links = stored(links.union(same.join(first, "doc_id").where("h1 <> b").select(F.col("h1").alias("a"), "b").distinct()), "links")
     comp = stored(components(links), "components")
 
     c = lambda name: comp.select(F.col("node").alias(name), F.col("component").alias(f"{name}_c"))
-    rest = members.join(c("node"), "node", "left").join(c("hub"), "hub", "left").select(
-        "key", "node", F.coalesce("node_c", "node").alias("comp"), F.coalesce("hub_c", "hub").alias("main")
+    rest = pairs.join(c("node"), "node", "left").join(c("hub"), "hub", "left").select(
+        "hub", "node", F.coalesce("node_c", "node").alias("comp"), F.coalesce("hub_c", "hub").alias("main")
     )
-    open_keys = stored(rest.where("comp <> main").select("key").distinct(), "open")
-    if not open_keys.isEmpty():
-        rest = stored(rest.join(open_keys, "key", "left_semi").join(sig, "node"), "rest")
-        comp = components(links.union(linked(_rectangles(rest, steps))))
-
-    nodes = classes.where("copies > 1").select("h1", "h2", "node")
-    out = signed.drop("sig", "bands").join(nodes, ["h1", "h2"], "left").withColumn("node", F.coalesce("node", "doc_id"))
-    return out.join(comp, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
+    # hubs are done with; what is open are classes outside main and the others of their hub
+    sizes = rest.groupBy("hub").agg(F.count("*").alias("m"), F.count_if(F.col("comp") != F.col("main")).alias("k")).where("k > 0 AND m > 1")
+    sizes = sizes.select("hub", F.ceil(F.col("k") / BLOCK).cast("int").alias("rows"), F.ceil(F.col("m") / BLOCK).cast("int").alias("cols"))
+    rest = stored(rest.join(sizes, "hub"), "rest")
+    if not rest.isEmpty():
+        m = rest.withColumn("r", F.pmod(F.xxhash64("node"), F.col("rows")).cast("int")).withColumn("c", F.pmod(F.xxhash64("node"), F.col("cols")).cast("int"))
+        left = m.where("comp <> main").withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cols") - 1))).withColumn("side", F.lit(0))
+        right = m.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("side", F.lit(1))
+        cells = left.union(right.select(left.columns)).select("hub", "r", "c", "side", "node", "comp", "main")
+        sig = classes.select("node", "sig")
+        near = stored(_cells(cells, sig, steps, percent, n_words, False), "near")
+        more = stored(_cells(near, sig.join(texts(near.select("node")), "node"), steps, percent, n_words, True), "links")
+        comp = stored(components(links.union(more)), "components")
+
+    smallest = comp.join(classes.select("node", "doc_id"), "node").union(classes.select("node", "doc_id").join(comp.select(F.col("component").alias("node")).distinct(), "node", "left_semi").select("node", F.col("node").alias("component"), "doc_id"))
+    smallest = smallest.groupBy("component").agg(F.min("doc_id").alias("low"))
+    of_class = classes.select("node", "h2", "doc_id", "copies").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")).join(smallest, "component", "left")
+    of_class = stored(of_class.where("copies > 1 OR low IS NOT NULL").select(F.col("node").alias("h1"), "h2", F.coalesce("low", "doc_id").alias("low")), "groups")
+    out = signed.select("doc_id", "n_shingles", "h1", "h2").join(of_class, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))
+    if odd is None:
+        return out
+    # rows of an id with several texts (one may be empty) have the smallest of their groups
+    out = stored(out, "rows")
+    low = out.join(odd.where("doc_id IS NOT NULL").select("doc_id"), "doc_id").groupBy("doc_id").agg(F.min("component_id").alias("low"))
+    return out.join(low, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("low", "component_id").alias("component_id"))
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,52 @@ def test_minhash_odd_inputs(odd_docs, no_docs):
     assert minhash.near_duplicates(no_docs).count() == 0
 
 
+def brute_components(rows, percent):
+    """rows of (doc_id, text): the smallest id that each id reaches, an id's texts being one node."""
+    sets = [(d, shingles(t)) for d, t in rows]
+    edges = [(a, b) for (a, s), (b, o) in itertools.combinations(sets, 2) if s and 100 * len(s & o) >= percent * len(s | o)]
+    return smallest({d for d, _ in rows}, edges)
+
+
+def test_minhash_ids_with_several_texts(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(30)) for k in "ab")
+    rows = [(1, a), (2, a), (2, b), (7, b), (8, ""), (8, b), (9, "")]
+    df = spark.createDataFrame([*rows, (None, a)], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(df, 0.85).collect()}
+    assert got == {(1, 1), (2, 1), (7, 1), (8, 1), (9, 9), (None, 1)}
+
+
+@pytest.mark.parametrize(("threshold", "block"), [(0.85, 40), (0.85, 1024), (0.8, 64)])
+def test_minhash_group_around_the_threshold(spark, monkeypatch, threshold, block):
+    """One group of near copies whose pairs lie on both sides of the threshold, with copies."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(160):
+        w = list(base)
+        for _ in range(rng.choice((1, 2, 2, 3))):
+            at = rng.randrange(len(w))
+            w[at] = f"n{k}x{at}"
+        rows.append((k, " ".join(w)))
+    rows += [(200 + k, rows[3][1]) for k in range(5)] + [(300 + k, " ".join(f"u{k}y{i}" for i in range(40))) for k in range(20)]
+    low = brute_components(rows, round(threshold * 100))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(df, threshold).collect()} == low
+    assert 1 < len({low[d] for d in range(160)}) < 160
+
+
+def test_minhash_links_of_many_pairs():
+    """Both ways to intersect sets give the same links."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.choice(60, 50)).astype(np.uint64) for _ in range(80)]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(40), np.arange(40)))
+    want = {(a, b) for a, b in zip(i.tolist(), j.tolist()) if 100 * len(np.intersect1d(sets[a], sets[40 + b])) >= 60 * len(np.union1d(sets[a], sets[40 + b]))}
+    assert want and set(minhash._links(sets[:40], sets[40:], i, j, 60)) == want
+    few = slice(0, 3)
+    assert set(minhash._links(sets[:40], sets[40:], i[few], j[few], 60)) == {w for w in want if w in set(zip(i[few].tolist(), j[few].tolist()))}
+
+
 def test_posterior_pruning_keeps_likely_pairs():
     steps = minhash.least_matches(0.85, 125)
     assert all(m <= n * 0.85 for n, m in steps) and steps[-1][1] > 0.5 * 125
