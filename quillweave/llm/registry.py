@@ -11,7 +11,6 @@ def queries() -> dict:
         "op2_lm": lm.op2_lm,
         "op3_sharding": sharding.op3_sharding,
         "op4_secrets": secrets.op4_secrets,
-        "op4_secrets_any_case": secrets.op4_secrets_any_case,
         "op5_token_counts": token_counts.op5_token_counts,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_embeddings": embeddings.op7_embeddings,
@@ -25,7 +24,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_sharding": sharding.ORACLE,
         "op4_secrets": secrets.ORACLE,
-        "op4_secrets_any_case": secrets.ANY_CASE_ORACLE,
         "op8_warc": warc.ORACLE,
         "op10_decontamination": decontamination.ORACLE,
     }

@@ -7,14 +7,14 @@ step adds the character that enters, drops the one that leaves and corrects the
 c * log2(c), in whole millionths, so results are exact and alike on every engine.
 
 A candidate is a maximal run of 20 or more base64 characters. A run of hexadecimal digits
-alone belongs to the hex class, any other to the base64 class; each class has its
-threshold. scan() and redact() take hexadecimal digits of either case; op4_secrets and its
-SQL give the hex class lower-case runs only, and op4_secrets_any_case both. A span reaches from the start of its first to the end of its last window
+alone, of either case, belongs to the hex class, any other to the base64 class; each class
+has its threshold. A span reaches from the start of its first to the end of its last window
 above the threshold. The allow list suppresses UUIDs, runs without a digit or without a
 letter, and runs that hold a listed well-known string.
 
 Defined cases: a null or empty text has no spans, and the digest of no bytes; repeated rows
-are scanned one by one; other columns are kept by scan() and redact().
+are scanned one by one; an empty table gives no rows. redact() keeps all other columns;
+scan() too, but for columns named as those that it adds (ADDED), which are replaced.
 """
 
 from __future__ import annotations
@@ -30,9 +30,8 @@ from .common import table
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # maximal runs, so the same as a run of 18 or more
 HEX = r"[0-9a-f]{16,}"
-#: Runs of the hex class, and those of op4_secrets' SQL.
 HEX_RUN = "^[0-9A-Fa-f]+$"
-LOWER_HEX_RUN = "^[0-9a-f]+$"
+ADDED = ("base", "added", "n_assign", "n_access", "n_hex")
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
@@ -85,10 +84,10 @@ def _spans(pieces: str, kind: str, order: int, least: int) -> Column:
     return F.filter(F.transform(p, place), lambda s: (F.length(s["match"]) > 0) & (s["inner"] >= least))
 
 
-def _entropy_window(run: Column, hex_run: str = HEX_RUN) -> Column:
+def _entropy_window(run: Column) -> Column:
     """Struct (first, last): where the first and the last window above the threshold start
     in the run, or -1."""
-    is_hex = run.rlike(hex_run)
+    is_hex = run.rlike(HEX_RUN)
     limit = F.when(is_hex, F.lit(most("hex"))).otherwise(F.lit(most("base64")))
     xlog = F.array(*map(F.lit, XLOG))
     at = lambda i: F.instr(F.lit(ALPHABET), F.substring(run, i + 1, F.lit(1)))
@@ -121,25 +120,34 @@ def _suspect(run: Column) -> Column:
     return out
 
 
-def scan(docs: DataFrame, text: str = "text", hex_run: str = HEX_RUN) -> DataFrame:
-    """Adds base and added: arrays of structs (start, ord, kind, end)."""
-    df = docs
-    for name, pattern, want in (("_assign", ASSIGN, 2), ("_access", ACCESS, None), ("_hex", HEX, None), ("_run", RUN, None)):
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def scan(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Adds base and added, arrays of structs (start, ord, kind, end), and counts of the base kinds."""
+    df = docs.drop(*ADDED)
+    assign, access, hexa, run = (_free(df, f"_{k}") for k in ("assign", "access", "hex", "run"))
+    for name, pattern, want in ((assign, ASSIGN, 2), (access, ACCESS, None), (hexa, HEX, None), (run, RUN, None)):
         df = _with_pieces(df, text, name, pattern, want)
-    df = df.withColumn("_assign", _spans("_assign", "assign", 0, 12)).withColumn("_access", _spans("_access", "access", 1, 18)).withColumn("_hex", _spans("_hex", "hex", 2, 16))
-    df = df.withColumn("_run", F.filter(_spans("_run", "entropy", 3, WINDOW), lambda s: _suspect(s["match"])))
-    df = df.withColumn("_run", F.transform("_run", lambda s: F.struct(s["start"].alias("start"), _entropy_window(s["match"], hex_run).alias("w"))))
+    df = df.withColumn(assign, _spans(assign, "assign", 0, 12)).withColumn(access, _spans(access, "access", 1, 18)).withColumn(hexa, _spans(hexa, "hex", 2, 16))
+    df = df.withColumn(run, F.filter(_spans(run, "entropy", 3, WINDOW), lambda s: _suspect(s["match"])))
+    df = df.withColumn(run, F.transform(run, lambda s: F.struct(s["start"].alias("start"), _entropy_window(s["match"]).alias("w"))))
     keep = lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["kind"].alias("kind"), s["end"].alias("end"))
-    base = F.array_sort(F.transform(F.concat("_assign", "_access", "_hex"), keep))
+    base = F.array_sort(F.transform(F.concat(assign, access, hexa), keep))
     added = F.transform(
-        F.filter("_run", lambda r: r["w"]["first"] >= 0),
+        F.filter(run, lambda r: r["w"]["first"] >= 0),
         lambda r: F.struct(
             (r["start"] + r["w"]["first"]).alias("start"), F.lit(3).alias("ord"), F.lit("entropy").alias("kind"),
             (r["start"] + r["w"]["last"] + WINDOW).alias("end"),
         ),
     )
-    n = {k: F.size(f"_{k}").cast("long") for k in ("assign", "access", "hex")}
-    return df.withColumn("base", base).withColumn("added", added).withColumns({f"n_{k}": v for k, v in n.items()}).drop("_assign", "_access", "_hex", "_run")
+    n = [F.size(k).cast("long") for k in (assign, access, hexa)]
+    return df.withColumns(dict(zip(ADDED, (base, added, *n), strict=True))).drop(assign, access, hexa, run)
 
 
 def _marker(pattern: str, least: int, mark: str) -> Callable[[Column], Column]:
@@ -154,11 +162,11 @@ def _marker(pattern: str, least: int, mark: str) -> Callable[[Column], Column]:
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """Replaces the secrets of scan() in the text, kind by kind; other texts stay as they are."""
-    df = docs
+    df, p = docs, _free(docs, "_p")
     for pattern, want, least in ((ASSIGN, 2, 12), (ACCESS, None, 18), (HEX, None, 16), (RUN, None, WINDOW)):
-        df = _with_pieces(df, text, "_p", pattern, want)
-        joined = F.array_join(F.transform("_p", _marker(pattern, least, mark)), "")
-        df = df.withColumn(text, F.when(F.size("_p") > 0, joined).otherwise(F.col(text))).drop("_p")
+        df = _with_pieces(df, text, p, pattern, want)
+        joined = F.array_join(F.transform(p, _marker(pattern, least, mark)), "")
+        df = df.withColumn(text, F.when(F.size(p) > 0, joined).otherwise(F.col(text))).drop(p)
     return df
 
 
@@ -166,18 +174,14 @@ def _said(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def op4_secrets(spark: SparkSession, sf_dir: str, hex_run: str = LOWER_HEX_RUN) -> DataFrame:
-    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), hex_run=hex_run)
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(_said(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         _said(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_entropy"),
     )
 
 
-def op4_secrets_any_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op4_secrets(spark, sf_dir, HEX_RUN)
-
-
 def _sql_pieces(name: str, pattern: str, kind: str, order: int, least: int, want: int = 2) -> str:
     cut = rf"(?s)(.*?)(?:({pattern})|\z)".replace("'", "''")
     return f"""
@@ -200,7 +204,7 @@ c AS (
   SELECT * FROM r WHERE regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT regexp_matches(m, '{UUID}')
     AND NOT ({' OR '.join(f"contains(m, '{x}')" for x in ALLOWED)})),
 w AS (
-  SELECT doc_id, start, CASE WHEN regexp_matches(m, '^[0-9a-f]+$') THEN {most('hex')} ELSE {most('base64')} END AS top,
+  SELECT doc_id, start, CASE WHEN regexp_matches(m, '{HEX_RUN}') THEN {most('hex')} ELSE {most('base64')} END AS top,
          unnest(range(length(m) - {WINDOW} + 1)) AS i, m FROM c),
 v AS (
   SELECT *, list_sum([({XLOG})[length(x) - length(replace(x, ch, '')) + 1]
@@ -221,4 +225,3 @@ SELECT d.doc_id, coalesce(na, 0)::BIGINT AS n_assign, coalesce(nk, 0)::BIGINT AS
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(ne, 0)::BIGINT AS n_entropy
 FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id"""
 )
-ANY_CASE_ORACLE = ORACLE.replace(LOWER_HEX_RUN, HEX_RUN)
