@@ -19,6 +19,7 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterable, Iterator
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 CACHED = 500_000
 LONGEST_CACHED = 200
@@ -138,13 +139,19 @@ def vocabulary(path: str) -> list[tuple[int, ...]]:
     return out
 
 
+@functools.cache
+def counters(path: str) -> tuple[Automaton, Placeable, dict[bytes, int]]:
+    """One automaton, with the counts of words it knows, for all tasks of a worker."""
+    pieces = vocabulary(path)
+    return Automaton(pieces), Placeable(pieces), {}
+
+
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, n_tokens, n_bytes. Words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = vocabulary(path)
-        automaton, placeable, known = Automaton(pieces), Placeable(pieces), {}
-        for b in batches:
+        automaton, placeable, known = counters(path)
+        for b in (x for whole in batches for x in slices(whole)):
             n_words, n_tokens, n_bytes = [], [], []
             for text in b.column(1).to_pylist():
                 raw = (text or "").encode()
