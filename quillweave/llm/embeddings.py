@@ -11,7 +11,7 @@ in the first of the leaves that both are in.
 
 With links at cosine 0.98 (distance 0.2) and 64 dimensions, the projections of a pair
 differ by about 0.025; a margin of half of that and TREES trees miss a pair at the threshold with
-a probability of some 1e-5 at depth 6.
+a probability of some 1e-5 at depth 6. The depth follows the number of vectors at every size.
 
 Defined cases: a null label or vector, an empty or zero vector, and one with null or
 non-finite components link with nothing (n_links 0, a component of its own); vectors of
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from .common import components, stored, table
 
 TREES = 5
-LEAF = 1000  # vectors of all labels in a leaf, before spill
+LEAF = 250  # vectors of all labels in a leaf, before spill
 SAMPLE = 16_384  # classes that split points are fitted on
-MAX_DEPTH = 10
+NODE_SAMPLE = 64  # of the sample that a node's own split point takes
 BLOCK = 2048
 SEED = 77
 
@@ -46,33 +46,39 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 class Forest:
-    """Directions are seeded, so only the split points of a tree's nodes are kept."""
+    """Directions are seeded, so only split points are kept. A node of the first `own` levels has
+    its own direction and the median of the sample there; further down a sample of bounded size
+    tells no node's median, and all nodes of a level share a direction and its median."""
 
     def __init__(self, sample: np.ndarray, depth: int, margin: float, trees: int = TREES):
         self.dim, self.depth, self.margin, self.trees = sample.shape[1], depth, margin, trees
-        self.cuts = np.zeros((trees, max(2**depth - 1, 1)))
-        for t in range(trees if depth else 0):
-            where = np.zeros(len(sample), np.int64)
+        self.own = min(depth, max(int(math.log2(max(len(sample), 1) / NODE_SAMPLE)), 0) if len(sample) > NODE_SAMPLE else 0)
+        self.cuts = np.zeros((trees, 2**self.own - 1 + depth - self.own))
+        for t in range(trees):
+            where, d = np.zeros(len(sample), np.int64), self.directions(t)
             for level in range(depth):
-                base = 2**level - 1
-                p = np.einsum("ij,ij->i", sample, self.directions(t)[where])
-                for node in range(base, 2 * base + 1):
-                    own = p[where == node]
-                    self.cuts[t, node] = np.median(own) if len(own) else 0.0
-                where = 2 * where + 1 + (p > self.cuts[t, where])
+                at = self._at(level, where)
+                p = np.einsum("ij,ij->i", sample, d[at])
+                for k in np.unique(at).tolist():
+                    self.cuts[t, k] = np.median(p[at == k])
+                where = 2 * where + 1 + (p > self.cuts[t, at])
+
+    def _at(self, level: int, node: np.ndarray) -> np.ndarray:
+        """Where the directions and split points of a level's nodes are."""
+        return node if level < self.own else np.full(len(node), 2**self.own - 1 + level - self.own)
 
     def directions(self, t: int) -> np.ndarray:
-        d = np.random.default_rng([SEED, t]).standard_normal((max(2**self.depth - 1, 1), self.dim))
-        return d / np.linalg.norm(d, axis=1, keepdims=True)
+        d = np.random.default_rng([SEED, t]).standard_normal((self.cuts.shape[1], self.dim))
+        return d / np.maximum(np.linalg.norm(d, axis=1, keepdims=True), 1e-300)
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf code) pairs, a row's in ascending order."""
         rows, codes = [], []
-        for t in range(self.trees if self.depth else 1):
-            r, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-            d = self.directions(t) if self.depth else None
-            for _ in range(self.depth):
-                off = np.einsum("ij,ij->i", x[r], d[node]) - self.cuts[t, node]
+        for t in range(self.trees):
+            r, node, d = np.arange(len(x)), np.zeros(len(x), np.int64), self.directions(t)
+            for level in range(self.depth):
+                at = self._at(level, node)
+                off = np.einsum("ij,ij->i", x[r], d[at]) - self.cuts[t, at]
                 left, right = off <= self.margin, off > -self.margin
                 r, node = np.concatenate([r[left], r[right]]), np.concatenate([2 * node[left] + 1, 2 * node[right] + 2])
             rows.append(r)
@@ -135,16 +141,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     sample = classes.orderBy(F.xxhash64("h1")).select("embedding", "dim").limit(SAMPLE).toPandas()
     forests = {}
     for dim, rows in sample.groupby("dim"):
-        depth = min(max(math.ceil(math.log2(max(total * len(rows) / len(sample) / LEAF, 1))), 0), MAX_DEPTH)
+        depth = max(math.ceil(math.log2(max(total * len(rows) / len(sample) / LEAF, 1))), 1)
         distance = math.sqrt(max(2 - 2 * threshold, 0))
         forests[int(dim)] = Forest(unit(np.array(rows["embedding"].tolist())), depth, 0.5 * distance / math.sqrt(dim))
-    sent = spark.sparkContext.broadcast(forests)  # TREES * 2 ** MAX_DEPTH numbers a length at most
+    sent = spark.sparkContext.broadcast(forests)  # TREES * (SAMPLE / NODE_SAMPLE + depth) numbers a length
 
     def deal(whole: bool):
         def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for dim, part in pdf.groupby("dim"):
-                    f = sent.value.get(int(dim)) or Forest(np.zeros((0, int(dim))), 0, 0.0)
+                    f = sent.value.get(int(dim)) or Forest(np.zeros((0, int(dim))), 1, math.inf)
                     r, c = f.leaves(unit(np.array(part["embedding"].tolist())))
                     out = {"label": part["label"].to_numpy()[r], "dim": int(dim), "code": c}
                     if whole:
