@@ -12,8 +12,8 @@ shifted lists, from rare to common. Windows are given to the tasks in blocks of
 WINDOW_BLOCK, one pass over the postings for each block, so no broadcast grows with the
 benchmark. Documents never span segments; a gap between documents keeps phrases apart.
 
-near > 0 also counts proximity matches: windows whose terms all lie within `near` places of
-where an exact match would have them.
+near > 0 also gives proximity matches: items with a window for which some start in the
+document has each of its terms within `near` places of where an exact match would have it.
 
 Defined cases: null or empty texts have no words and no hits; an item without words is no
 window, one of fewer than N words is one; items with equal windows all count; repeated
@@ -31,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import frugal, slices, stored, table
 
 N = 8
-SEGMENT_WORDS = 500_000
+NEAR = 2
+SEGMENT_WORDS = 250_000
 WINDOW_BLOCK = 200_000
+POSTINGS = 8192  # terms written at once
 GAP = 64  # places between documents, more than a window and its slack
 _UPPER = bytes(range(65, 91))
 _SPACES = bytes(c for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122))
@@ -51,6 +53,7 @@ def words(text: str | None) -> list[bytes]:
 def build_index(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> the stored index."""
 
+    @frugal
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -71,10 +74,11 @@ def build_index(docs: DataFrame) -> DataFrame:
             info = np.array([(-1 if i is None else i, b, s) for i, b, s in zip(ids, begins, sizes, strict=True)], np.int64)
             null = np.array([i is None for i in ids], np.int8).tobytes()
             rows = len(terms)
-            for i in range(0, rows, 50_000):
-                part = list(terms)[i : i + 50_000]
+            names = list(terms)
+            for i in range(0, rows, POSTINGS):
+                part = names[i : i + POSTINGS]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(part)), pa.array(part, pa.binary()), pa.array(n[i : i + 50_000]), pa.array(raw[i : i + 50_000], pa.binary())],
+                    [pa.array([name] * len(part)), pa.array(part, pa.binary()), pa.array(n[i : i + POSTINGS]), pa.array(raw[i : i + POSTINGS], pa.binary())],
                     ["segment", "term", "cf", "postings"],
                 )
             yield pa.RecordBatch.from_arrays(
@@ -82,7 +86,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 ["segment", "term", "cf", "postings"],
             )
 
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole)):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 w = words(text)
                 codes.append(np.fromiter((terms.setdefault(x, len(terms)) for x in w), np.int32, len(w)))
@@ -135,15 +139,20 @@ def search(index: DataFrame, block: list[tuple[tuple[bytes, ...], list[str]]], n
             if not has[need_w].all():
                 continue
             order = sorted(range(len(need_w)), key=lambda j: len(lists[need_w[j]]))
-            at = lists[need_w[order[0]]] - order[0]
-            wide = at
+            rarest = lists[need_w[order[0]]]
+            at = rarest - order[0]
+            # starts that the rarest term allows, and its place, which lies in the document
+            wide = (at[:, None] + np.arange(-near, near + 1)).ravel() if near else at
+            seat = np.repeat(rarest, 2 * near + 1)
             for j in order[1:]:
                 p = lists[need_w[j]]
-                i = np.minimum(np.searchsorted(p, at + j), len(p) - 1)
-                at = at[p[i] == at + j]
+                if len(at):
+                    i = np.minimum(np.searchsorted(p, at + j), len(p) - 1)
+                    at = at[p[i] == at + j]
                 if near and len(wide):
                     i = np.minimum(np.searchsorted(p, wide + j - near), len(p) - 1)
-                    wide = wide[(p[i] >= wide + j - near) & (p[i] <= wide + j + near)]
+                    ok = (p[i] >= wide + j - near) & (p[i] <= wide + j + near)
+                    wide, seat = wide[ok], seat[ok]
                 if not len(at) and not (near and len(wide)):
                     break
             if len(at):
@@ -152,8 +161,7 @@ def search(index: DataFrame, block: list[tuple[tuple[bytes, ...], list[str]]], n
                 for d in set((np.searchsorted(begins, at, side="right") - 1).tolist()):
                     found[d].append(w)
             if near and len(wide):
-                # a start may lie before its document; the place of the rarest term doesn't
-                for d in set((np.searchsorted(begins, wide + order[0], side="right") - 1).tolist()):
+                for d in set((np.searchsorted(begins, seat, side="right") - 1).tolist()):
                     close[d].update(items[w])
         spans: list[list[dict]] = [[] for _ in range(n)]
         if starts:
@@ -202,13 +210,18 @@ def covered(spans: Column) -> Column:
 
 def find(docs: DataFrame, benchmark: DataFrame, n: int = N, near: int = 0) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> a row per document: doc_id, n_words,
-    spans (structs a, b: from and to, in words), items, near."""
+    spans (structs a, b: from and to, in words), items, near (the items of proximity matches,
+    which exact matches are too)."""
     index = build_index(docs)
-    parts = [search(index, b, near) for b in blocks(benchmark, n)] or [search(index, [], near)]
-    if len(parts) == 1:
-        return parts[0]
-    out = parts[0]
-    for p in parts[1:]:
+    block, parts = [], []
+    for nxt in blocks(benchmark, n):  # one block's windows are sent at a time
+        if block:
+            parts.append(stored(search(index, block, near), "found"))
+        block = nxt
+    out = search(index, block, near)
+    if not parts:
+        return out
+    for p in parts:
         out = out.union(p)
     return out.groupBy("segment", "ord").agg(
         F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
@@ -218,10 +231,11 @@ def find(docs: DataFrame, benchmark: DataFrame, n: int = N, near: int = 0) -> Da
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=NEAR)
     return out.select(
         "doc_id", "n_words", covered(F.col("spans")).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("items") >= 2).alias("contaminated"),
+        F.size(F.array_except("near", "items")).cast("long").alias("n_near"),
     )
 
 
@@ -238,7 +252,20 @@ dw AS (
   FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes)),
 m AS (SELECT doc_id, i, k, item_id FROM dw JOIN bw ON dw.win = bw.win),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS p FROM m) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id),
+-- proximity: documents with all of a window's terms, then starts with each within NEAR places
+wt AS (SELECT win, unnest(win) AS term, unnest(range(len(win))) AS j, len(win) AS k FROM (SELECT DISTINCT win FROM bw)),
+dt AS (SELECT doc_id, unnest(w) AS term, unnest(range(len(w))) AS i FROM d),
+hold AS (
+  SELECT doc_id, win FROM (SELECT DISTINCT doc_id, term FROM dt) JOIN (SELECT DISTINCT win, term FROM wt) USING (term)
+  GROUP BY doc_id, win HAVING count(*) = len(list_distinct(win))),
+np AS (
+  SELECT doc_id, win FROM (
+    SELECT DISTINCT doc_id, win, k, j, unnest(range(i - j - {NEAR}, i - j + {NEAR + 1})) AS s FROM hold JOIN wt USING (win) JOIN dt USING (doc_id, term))
+  GROUP BY doc_id, win, s, k HAVING count(*) = k),
+n AS (
+  SELECT doc_id, count(*) AS n_near FROM (SELECT DISTINCT doc_id, item_id FROM np JOIN bw USING (win) EXCEPT SELECT doc_id, item_id FROM m) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
-FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id"""
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated,
+       coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN n ON d.doc_id = n.doc_id"""
