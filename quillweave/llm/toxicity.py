@@ -2,9 +2,9 @@
 
 A bounded sample of labelled documents (TOXIC and CLEAN rows, by the order of a hash, of
 the training folds) are the examples. All their words and word beginnings are indexed, with
-document frequencies counted over all documents, and every text's whole vector is compared
-with all of them: all postings of its terms are summed. Terms that no example has match
-none and are left out of a text's length. The nearest examples are the evidence.
+document frequencies counted over all documents, and every text's whole vector is searched
+in a block-max inverted index of all of them. Terms that no example has match none and are
+left out of a text's length. The nearest examples are the evidence.
 
 As a further feature, a second search runs over the lexicon alone: the terms whose rate of
 label 1 is highest above the sample's, in standard deviations, and at least halfway from it
@@ -19,32 +19,36 @@ Labels count only outside the held-out fold; labels, language, source and id are
 
 Defined cases: a null or empty text, and one without a term of an example, gets the
 score calibrated for no neighbours; repeated rows are scored one by one; an id with several
-labels has the largest; null labels don't count; with no labels of either class every score
+labels has the largest; null labels don't count; equal similarities rank by the place in the
+index, which ids order; columns of docs named like the added ones are replaced; with no labels of either class every score
 is the share of label 1 (0 without labels); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_fold, stored, table
+from .common import frugal, id_fold, slices, stored, table
 
 TOXIC = 4000
 CLEAN = 8000
-VOCABULARY = 2048
+LEXICON = 2048
 LEAST_Z = 4.0
 LEAST_ROWS = 4
 PREFIXES = (4, 5)
 K = 15
 BLOCK = 64
 FLUSH = 400_000
+TEXTS = 64  # compared at once
+WHOLE_BLOCK = 256
+DENSE = 32
 FOLDS = 5
 EVIDENCE = 3
 _UPPER = bytes(range(65, 91))
@@ -61,27 +65,46 @@ def terms(word: bytes) -> list[bytes]:
 
 
 class Terms:
-    """Term ids and counts of texts, by way of a bounded map of words."""
-
-    def __init__(self, vocabulary: dict[bytes, int]):
-        self.vocabulary, self.known = vocabulary, {}
-
-    def __call__(self, text: str | None) -> dict[int, int]:
-        w = words(text)
-        known = self.known
-        if len(known) > 400_000:
-            known.clear()
-        for x in set(w).difference(known):
-            known[x] = [self.vocabulary[t] for t in terms(x) if t in self.vocabulary]
-        out: dict[int, int] = {}
-        for ids in filter(None, map(known.__getitem__, w)):
-            for i in ids:
-                out[i] = out.get(i, 0) + 1
-        return out
-
-    def own(self, text: str | None) -> list[int]:
-        """The different term ids of a text."""
-        return list({self.vocabulary[t] for w in set(words(text)) for t in terms(w) if t in self.vocabulary})
+    """Term ids of texts, by way of a bounded map of words. vocabulary: sorted 64-bit hashes, a
+    term's id being its place; without one, ids are the hashes."""
+
+    def __init__(self, vocabulary: np.ndarray | None = None):
+        self.vocabulary, self.known, self.ids = vocabulary, {}, np.zeros((0, 1 + len(PREFIXES)), np.uint64 if vocabulary is None else np.int64)
+
+    def _of(self, new: list[bytes]) -> np.ndarray:
+        """The ids of each word's terms; a term that is none has the one before it or -1."""
+        width = 1 + len(PREFIXES)
+        h = np.array([xxhash.xxh64_intdigest(t) for w in new for t in (*terms(w), b"", b"")[:width]], np.uint64).reshape(len(new), width)
+        none = np.array([[len(w) <= n for n in (0, *PREFIXES)] for w in new], bool).reshape(h.shape)
+        if self.vocabulary is None:
+            return np.where(none, h[:, :1], h)
+        at = np.searchsorted(self.vocabulary, h).clip(max=max(len(self.vocabulary) - 1, 0))
+        found = (self.vocabulary[at] == h if len(self.vocabulary) else np.zeros(h.shape, bool)) & ~none
+        return np.where(found, at, -1)
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term, count) of the different terms of each text, in the order of both."""
+        tokens = [words(t) for t in texts]
+        if len(self.known) > 150_000:
+            self.__init__(self.vocabulary)
+        new = list(set().union(*tokens).difference(self.known))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.ids = np.concatenate([self.ids, self._of(new)])
+        code = np.fromiter((self.known[w] for t in tokens for w in t), np.int64)
+        text = np.repeat(np.arange(len(texts)), [len(t) for t in tokens])
+        pair, n = np.unique(text * np.int64(len(self.known) + 1) + code, return_counts=True)
+        text, code = pair // (len(self.known) + 1), pair % (len(self.known) + 1)
+        term, text, n = self.ids[code].ravel(), np.repeat(text, self.ids.shape[1]), np.repeat(n, self.ids.shape[1])
+        if self.vocabulary is None:
+            # short words stand in for terms they don't have, which a set doesn't mind
+            order = np.lexsort((term, text))
+            term, text, n = term[order], text[order], n[order]
+            first = np.r_[True, (term[1:] != term[:-1]) | (text[1:] != text[:-1])] if len(term) else np.zeros(0, bool)
+            return text[first], term[first], n[first]
+        some = term >= 0
+        pair, at = np.unique(text[some] * np.int64(len(self.vocabulary) + 1) + term[some], return_inverse=True)
+        n = np.bincount(at, weights=n[some], minlength=len(pair))
+        return pair // (len(self.vocabulary) + 1), pair % (len(self.vocabulary) + 1), n
 
 
 class Index:
@@ -91,7 +114,7 @@ class Index:
         self.idf = idf
         # examples with the same strongest term stand together, which keeps bounds tight
         first = [max(e, key=lambda t: idf[t] * (1 + np.log(e[t]))) if e else -1 for e in examples]
-        order = np.argsort(first, kind="stable")
+        order = self.order = np.argsort(first, kind="stable")
         self.labels, self.ids = labels[order], ids[order]
         self.n_blocks = -(-len(order) // BLOCK) if len(order) else 0
         post: dict[int, list[tuple[int, float]]] = {}
@@ -142,34 +165,130 @@ class Index:
 
 
 class Whole(Index):
-    """Inverted index of whole vectors, given as arrays: terms and counts of all examples one after
-    another, and each example's number of terms."""
+    """Block-max inverted index of whole vectors, given as arrays: terms and counts of all examples
+    one after another, and each example's number of terms.
+
+    Terms in at least 1 / DENSE of the examples have their weights, and their greatest ones per
+    block of WHOLE_BLOCK examples, in matrices; the postings of all others are short and are
+    summed first. A text's bound of a block is the sum of both parts' greatest; its best blocks
+    give it K similarities, and of the others only those are read whose bound reaches the K-th.
+    What comes near the K-th is summed once more in double precision, so the result is exact."""
 
     def __init__(self, idf: np.ndarray, t: np.ndarray, tf: np.ndarray, sizes: np.ndarray, labels: np.ndarray, ids: np.ndarray):
-        self.idf, self.labels, self.ids = idf, labels, ids
-        doc = np.repeat(np.arange(len(sizes)), sizes)
+        n = len(sizes)
+        doc = np.repeat(np.arange(n), sizes)
         w = idf[t] * (1 + np.log(tf))
-        w /= np.sqrt(np.bincount(doc, weights=w * w, minlength=len(sizes)))[doc]
-        order = np.argsort(t, kind="stable")
-        self.docs, self.weights = doc[order].astype(np.int32), w[order]
-        self.cuts = np.searchsorted(t[order], np.arange(len(idf) + 1))
+        w = w / np.sqrt(np.bincount(doc, weights=w * w, minlength=n))[doc]
+        df = np.bincount(t, minlength=len(idf))
+        dense = np.flatnonzero(df * DENSE >= n) if n else np.zeros(0, np.int64)
+        self.column = np.full(len(idf), -1, np.int32)
+        self.column[dense] = np.arange(len(dense))
+        common = self.column[t] >= 0
+        # examples whose weightiest common term is the same stand together, which keeps bounds tight
+        top, best = np.full(n, -1), np.zeros(n)
+        at = np.flatnonzero(common)
+        at = at[np.lexsort((w[at], doc[at]))]
+        top[doc[at]], best[doc[at]] = self.column[t[at]], w[at]
+        order = np.lexsort((best, top))
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        doc = rank[doc]
+        self.idf, self.labels, self.ids, self.place = idf, labels[order], ids[order], rank
+        self.n = n
+        self.weights = np.zeros((len(dense), n), np.float32)
+        self.weights[self.column[t[common]], doc[common]] = w[common]
+        self.edges = np.arange(0, max(n, 1), WHOLE_BLOCK)
+        self.most = np.maximum.reduceat(self.weights, self.edges, axis=1) if n else self.weights
+        # all postings by example, and those of the terms that aren't common by term
+        by = np.lexsort((t, doc))
+        self.own_term, self.own_weight = t[by].astype(np.int32), w[by]
+        self.own_cuts = np.searchsorted(doc[by], np.arange(n + 1))
+        t, doc, w = t[~common], doc[~common], w[~common]
+        by = np.argsort(t, kind="stable")
+        self.docs, self.rest = doc[by].astype(np.int32), w[by].astype(np.float32)
+        self.cuts = np.searchsorted(t[by], np.arange(len(idf) + 1))
+
+    def _exact(self, t: np.ndarray, w: np.ndarray, some: np.ndarray) -> np.ndarray:
+        n = self.own_cuts[some + 1] - self.own_cuts[some]
+        at = np.arange(n.sum()) + np.repeat(self.own_cuts[some] - (np.cumsum(n) - n), n)
+        i = np.searchsorted(t, self.own_term[at]).clip(max=len(t) - 1)
+        hit = t[i] == self.own_term[at]
+        return np.bincount(np.repeat(np.arange(len(some)), n)[hit], weights=(w[i] * self.own_weight[at])[hit], minlength=len(some))
+
+    def search(self, texts: int, text: np.ndarray, t: np.ndarray, tf: np.ndarray, skip: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """Of each text, whose terms and counts stand together, (similarity, example) of the K nearest
+        with a similarity above 0, nearest first; skip: an example that a text leaves out."""
+        w = self.idf[t] * (1 + np.log(tf))
+        w = w / np.sqrt(np.bincount(text, weights=w * w, minlength=texts))[text]
+        q = np.zeros((texts, len(self.weights)), np.float32)
+        c = self.column[t]
+        q[text[c >= 0], c[c >= 0]] = w[c >= 0]
+        r, u = text[c < 0], t[c < 0]
+        n = self.cuts[u + 1] - self.cuts[u]
+        at = np.arange(n.sum()) + np.repeat(self.cuts[u] - (np.cumsum(n) - n), n)
+        acc = np.bincount(np.repeat(r, n) * np.int64(self.n) + self.docs[at], weights=self.rest[at] * np.repeat(w[c < 0], n), minlength=texts * self.n)
+        acc = acc.reshape(texts, self.n).astype(np.float32)
+        bound = q @ self.most + np.maximum.reduceat(acc, self.edges, axis=1) + 1e-4
+        read = np.zeros(bound.shape, bool)
+
+        def visit(wanted: np.ndarray) -> None:
+            for k in np.flatnonzero(wanted.any(0)).tolist():
+                lo, hi = self.edges[k], min(self.edges[k] + WHOLE_BLOCK, self.n)
+                rows = np.flatnonzero(wanted[:, k])
+                acc[rows, lo:hi] += q[rows] @ self.weights[:, lo:hi]
+            read[wanted] = True
+
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, np.argsort(-bound, axis=1)[:, :2], True, axis=1)
+        visit(first)
+
+        def kth() -> np.ndarray:
+            seen = np.where(np.repeat(read, np.diff(np.r_[self.edges, self.n]), axis=1), acc, 0)
+            if skip is not None:
+                seen[np.arange(texts), skip] = 0
+            return np.partition(seen, -K, axis=1)[:, -K] if self.n >= K else np.zeros(texts, np.float32)
+
+        visit((bound >= kth()[:, None]) & ~read)
+        least = np.maximum(kth() - 1e-4, 1e-9)
+        out = []
+        cuts = np.searchsorted(text, np.arange(texts + 1))
+        inside = np.repeat(read, np.diff(np.r_[self.edges, self.n]), axis=1)
+        for i in range(texts):
+            lo, hi = cuts[i], cuts[i + 1]
+            some = np.flatnonzero((acc[i] >= least[i]) & inside[i])
+            if skip is not None:
+                some = some[some != skip[i]]
+            if not len(some) or lo == hi:
+                out.append([])
+                continue
+            s = self._exact(t[lo:hi], w[lo:hi], some)
+            by = np.lexsort((some, -s))[:K]
+            out.append([(s[k], e) for k, e in zip(by.tolist(), some[by].tolist(), strict=True) if s[k] > 0])
+        return out
 
-    def nearest(self, tf: dict[int, int], skip: int | None = None) -> list[tuple[float, int]]:
-        t, w = self.vector(tf)
-        n = self.cuts[t + 1] - self.cuts[t]
-        at = np.arange(n.sum()) + np.repeat(self.cuts[t] - (np.cumsum(n) - n), n)
-        acc = np.bincount(self.docs[at], weights=self.weights[at] * np.repeat(w, n), minlength=len(self.ids))
-        if skip is not None:
-            acc[skip] = 0
-        least = np.partition(acc, -K)[-K] if len(acc) > K else 0
-        some = np.flatnonzero((acc >= least) & (acc > 0))
-        return sorted(zip(acc[some].tolist(), some.tolist(), strict=True), key=lambda x: (-x[0], x[1]))[:K]
 
+class Examples:
+    """Both indexes, and the features of texts by their neighbours in them."""
+
+    def __init__(self, lexicon: Index, of_lexicon: np.ndarray, whole: Whole):
+        self.lexicon, self.of_lexicon, self.whole, self.votes = lexicon, of_lexicon, whole, {}
 
-def features(lexicon: Index, whole: Whole, near: list[tuple[float, int]], tf: dict[int, int]) -> list[float]:
-    """Votes in the lexicon, whose terms have the first ids, and of the whole vector's neighbours."""
-    few = {t: c for t, c in tf.items() if t < len(lexicon.idf)}
-    return [*lexicon.vote(lexicon.nearest(few)), *whole.vote(near)[1:]]
+    def features(self, texts: int, text: np.ndarray, t: np.ndarray, tf: np.ndarray, skip: tuple[list[int], list[int]] | None = None) -> tuple[np.ndarray, list[list[tuple[float, int]]]]:
+        near = self.whole.search(texts, text, t, tf, skip and skip[1])
+        few: list[dict[int, int]] = [{} for _ in range(texts)]
+        own = np.flatnonzero(self.of_lexicon[t] >= 0)
+        for i, k, c in zip(text[own].tolist(), self.of_lexicon[t[own]].tolist(), tf[own].tolist(), strict=True):
+            few[i][k] = int(c)
+        x = []
+        for i in range(texts):
+            key = None if skip else tuple(few[i].items())
+            vote = self.votes.get(key) if key is not None else None
+            if vote is None:
+                vote = self.lexicon.vote(self.lexicon.nearest(few[i], skip and skip[0][i]))
+                if key is not None and len(self.votes) < 50_000:
+                    self.votes[key] = vote
+            x.append([*vote, *self.whole.vote(near[i])[1:]])
+        return np.array(x).reshape(texts, 7), near
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -185,7 +304,7 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return b
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, int], Index, Whole, np.ndarray] | float:
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Examples, np.ndarray] | float:
     """The vocabulary, the indexes and the calibration; or the share of label 1."""
     train = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (id_fold(F.col("doc_id"), FOLDS) != 0))
     train = train.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -200,25 +319,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, int], Index, Wh
     sample = spark.createDataFrame(picked.toPandas(), "doc_id long, toxic int")
     texts = stored(docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(sample), "doc_id"), "examples")
 
+    @frugal
     def tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter = Counter()
-        k: Counter = Counter()
+        find, held, size = Terms(), [], 0
 
         def out() -> pa.RecordBatch:
-            keys = list(n)
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([n[x] for x in keys], pa.int64()), pa.array([k[x] for x in keys], pa.int64())], ["term", "n", "k"])
-
-        for b in batches:
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = {t for w in set(words(text)) for t in terms(w)}
-                n.update(own)
-                if y:
-                    k.update(own)
-                if len(n) > FLUSH:
-                    yield out()
-                    n.clear()
-                    k.clear()
-        if n:
+            term, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            toxic = np.concatenate([h[1] for h in held])
+            return pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(np.bincount(at)), pa.array(np.bincount(at, weights=toxic).astype(np.int64))], ["term", "n", "k"])
+
+        for b in (x for whole in batches for x in slices(whole, 128)):
+            text, term, _ = find(b.column(0).to_pylist())
+            held.append((term, b.column(1).to_numpy()[text]))
+            size += len(term)
+            if size > FLUSH:
+                yield out()
+                held, size = [], 0
+        if held:
             yield out()
 
     size, toxic = texts.agg(F.count("*"), F.sum("toxic")).first()
@@ -226,22 +343,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, int], Index, Wh
         return share
     rate = min(max((toxic or 0) / size, 1e-6), 1 - 1e-6)
     z = (F.col("k") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    counted = stored(texts.select("text", "toxic").mapInArrow(tally, "term binary, n long, k long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "terms")
-    ranked = counted.where(F.col("n") >= LEAST_ROWS).withColumn("z", z).where((F.col("z") >= LEAST_Z) & (F.col("k") >= F.col("n") * (1 + rate) / 2))
-    chosen = [bytes(r["term"]) for r in ranked.orderBy(F.desc("z"), "term").limit(VOCABULARY).collect()]
-    # the lexicon first, then all other terms of the examples
-    rest = set(counted.select("term").toArrow().column(0).to_pylist()).difference(chosen)
-    vocabulary = {t: i for i, t in enumerate([*chosen, *sorted(rest)])}
-    if not vocabulary:
+    counted = stored(texts.select("text", "toxic").mapInArrow(tally, "term long, n long, k long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "terms")
+    leaning = counted.where(F.col("n") >= LEAST_ROWS).withColumn("z", z).where((F.col("z") >= LEAST_Z) & (F.col("k") >= F.col("n") * (1 + rate) / 2))
+    chosen = [r["term"] for r in leaning.orderBy(F.desc("z"), "term").limit(LEXICON).collect()]
+    vocabulary = np.sort(counted.select("term").toArrow().column(0).to_numpy().view(np.uint64))  # of TOXIC + CLEAN examples
+    if not len(vocabulary):
         return share
-    words_sent = spark.sparkContext.broadcast(vocabulary)  # bounded by TOXIC + CLEAN examples
+    of_lexicon = np.full(len(vocabulary), -1, np.int32)
+    lexicon_ids = np.searchsorted(vocabulary, np.array(chosen, np.int64).view(np.uint64))
+    of_lexicon[lexicon_ids] = np.arange(len(chosen))
+    sent = spark.sparkContext.broadcast(vocabulary)
 
+    @frugal
     def frequency(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, df = Terms(words_sent.value), np.zeros(len(words_sent.value) + 1, np.int64)
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                df[find.own(text)] += 1
-                df[-1] += 1
+        find, df = Terms(sent.value), np.zeros(len(sent.value) + 1, np.int64)
+        for b in (x for whole in batches for x in slices(whole, 256)):
+            df[:-1] += np.bincount(find(b.column(0).to_pylist())[1], minlength=len(sent.value))
+            df[-1] += b.num_rows
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(df[some])], ["term", "df"])
 
@@ -250,58 +368,67 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[bytes, int], Index, Wh
     df[got.column(0).to_numpy()] = got.column(1).to_numpy()
     idf = np.log((df[-1] + 1) / (df[:-1] + 1)) + 1
 
+    @frugal
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Terms(words_sent.value)
-        for b in batches:
-            tf = [find(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(x) for x in tf], pa.list_(pa.int32())), pa.array([list(x.values()) for x in tf], pa.list_(pa.int32()))], ["doc_id", "toxic", "t", "tf"])
+        find = Terms(sent.value)
+        for b in (x for whole in batches for x in slices(whole, 128)):
+            text, t, tf = find(b.column(1).to_pylist())
+            cuts = np.searchsorted(text, np.arange(b.num_rows + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x.astype(np.int32))) for x in (t, tf)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *lists], ["doc_id", "toxic", "t", "tf"])
 
     got = texts.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, t array<int>, tf array<int>").toArrow()
     column = lambda c: [x for chunk in got.column(c).chunks for x in (chunk[k].values.to_numpy() for k in range(len(chunk)))]
     rows = sorted(zip(got.column("doc_id").to_pylist(), got.column("toxic").to_pylist(), column("t"), column("tf"), strict=True), key=lambda r: (r[0], r[2].tobytes(), r[3].tobytes()))
     ids, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-    none = [np.zeros(0, np.int32)]
-    whole = Whole(idf, np.concatenate([r[2] for r in rows] + none), np.concatenate([r[3] for r in rows] + none), np.array([len(r[2]) for r in rows]), y, ids)
-    few = [{t: c for t, c in zip(r[2].tolist(), r[3].tolist(), strict=True) if t < len(chosen)} for r in rows]
-    index = Index(idf[: len(chosen)], few, y, ids)
-    place = {k: i for i, k in enumerate(np.argsort([max(e, key=lambda t: idf[t] * (1 + np.log(e[t]))) if e else -1 for e in few], kind="stable").tolist())}
-    x = np.array([
-        [*index.vote(index.nearest(few[i], place[i])), *whole.vote(whole.nearest(dict(zip(r[2].tolist(), r[3].tolist(), strict=True)), i))[1:]] for i, r in enumerate(rows)
-    ])
+    none, sizes = [np.zeros(0, np.int32)], np.array([len(r[2]) for r in rows])
+    t, tf = np.concatenate([r[2] for r in rows] + none), np.concatenate([r[3] for r in rows] + none)
+    whole = Whole(idf, t, tf, sizes, y, ids)
+    few = [{int(k): int(c) for k, c in zip(of_lexicon[r[2]].tolist(), r[3].tolist(), strict=True) if k >= 0} for r in rows]
+    lexicon = Index(idf[lexicon_ids], few, y, ids)
+    place = np.empty(len(few), np.int64)
+    place[lexicon.order] = np.arange(len(few))
+    examples = Examples(lexicon, of_lexicon, whole)
+    x, cuts = [], np.r_[0, np.cumsum(sizes)]
+    for i in range(0, len(rows), TEXTS):
+        k = min(i + TEXTS, len(rows))
+        at = slice(cuts[i], cuts[k])
+        x.append(examples.features(k - i, np.repeat(np.arange(k - i), sizes[i:k]), t[at].astype(np.int64), tf[at], (place[i:k].tolist(), whole.place[i:k].tolist()))[0])
     w = np.where(y == 1, share / max((y == 1).mean(), 1e-9), (1 - share) / max((y == 0).mean(), 1e-9))
-    return vocabulary, index, whole, logistic(x, y, w)
+    return vocabulary, examples, logistic(np.concatenate(x), y, w)
 
 
-def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Adds score, evidence (nearest examples' ids) and similarity (of the nearest) to docs."""
+def score(docs: DataFrame, labels: DataFrame, names: tuple[str, str, str] = ("score", "evidence", "similarity")) -> DataFrame:
+    """Adds score, evidence (nearest examples' ids) and similarity (of the nearest) to docs, as
+    names say; columns of docs with such a name are replaced."""
     model = fit(docs, labels)
-    base = docs.select("*")
+    base = docs.drop(*names)
     if isinstance(model, float):
-        return base.withColumns({"score": F.lit(model), "evidence": F.array().cast("array<long>"), "similarity": F.lit(0.0)})
+        return base.withColumns(dict(zip(names, (F.lit(model), F.array().cast("array<long>"), F.lit(0.0)), strict=True)))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TOXIC + CLEAN examples
+    at = base.columns.index("text")
 
+    @frugal
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, index, whole, weights = sent.value
+        vocabulary, examples, weights = sent.value
         find, known = Terms(vocabulary), {}
-        for b in batches:
-            p, ev, sim = [], [], []
-            for text in b.column(at).to_pylist():
-                key = hashlib.blake2b((text or "").encode(), digest_size=16).digest()
-                got = known.get(key)
-                if got is None:
-                    tf = find(text)
-                    near = whole.nearest(tf)
-                    x = features(index, whole, near, tf)
-                    got = (float(1 / (1 + np.exp(-np.clip(np.dot(x, weights), -30, 30)))), [int(whole.ids[i]) for _, i in near[:EVIDENCE]], near[0][0] if near else 0.0)
-                    if len(known) < 50_000:
-                        known[key] = got
-                for column, v in zip((p, ev, sim), got, strict=True):
-                    column.append(v)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64()), pa.array(ev, pa.list_(pa.int64())), pa.array(sim, pa.float64())], [*b.schema.names, "score", "evidence", "similarity"])
-
-    at = docs.columns.index("text")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, score double, evidence array<long>, similarity double")
+        for b in (x for whole in batches for x in slices(whole, TEXTS)):
+            texts = b.column(at).to_pylist()
+            keys = [hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in texts]
+            new = {k: t for k, t in zip(keys, texts, strict=True) if k not in known}
+            if len(known) > 50_000:
+                known.clear()
+                new = dict(zip(keys, texts, strict=True))
+            x, near = examples.features(len(new), *find(list(new.values())))
+            p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+            for k, v, n in zip(new, p.tolist(), near, strict=True):
+                known[k] = v, [int(examples.whole.ids[e]) for _, e in n[:EVIDENCE]], float(n[0][0]) if n else 0.0
+            own = list(zip(*(known[k] for k in keys), strict=True))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(own[0], pa.float64()), pa.array(own[1], pa.list_(pa.int64())), pa.array(own[2], pa.float64())], [*b.schema.names, *names])
+
+    kinds = ("double", "array<long>", "double")
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), *(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True))])
+    return base.mapInArrow(run, fields)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
