@@ -1,13 +1,12 @@
 """Pattern packing by non-negative least squares.
 
 Documents become token pieces of at most 2048; the histogram of piece lengths (2048 counts
-at most) goes to the driver. There, patterns of up to three coarse lengths that fill a
-sequence are enumerated, their repeat counts fitted to the histogram by NNLS and rounded
-down, each pattern's smaller slots filled with real lengths and its largest by best fit;
-what is left is packed by best fit decreasing over counts, into open room first. The plan
-is also made without patterns, and the one with fewer sequences is used. Its size depends
-on the number of different lengths, not of documents. Each piece is then ranked within its
-length, and its rank names its sequence and offset.
+at most) goes to the driver. There, patterns of up to three length classes of UNIT lengths
+that fill a sequence are enumerated, and their repeat counts fitted to the histogram by NNLS
+and rounded. Each repeat takes real lengths of its classes that fill a sequence without a
+gap; where none are left, the pattern ends. What is left is packed by best fit decreasing
+over counts. The plan's size depends on the number of different lengths, not of documents.
+Each piece is then ranked within its length, and its rank names its sequence and offset.
 
 Defined cases: a null or empty text is one piece of length 1 (the end id); repeated rows are
 packed one by one; an empty table gives no rows; other columns are ignored.
@@ -20,7 +19,7 @@ import json
 import os
 import re
 import zlib
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranked, stored, table
+from .common import frugal, ranked, slices, stored, table
 from .token_counts import byte_symbols
 
 LENGTH = 2048
@@ -141,9 +140,10 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END
     """docs (doc_id, text) -> doc_id, piece, start, length, ids_crc32."""
     tail = np.array([end], "<u4").tobytes()
 
+    @frugal
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer_of(tokenizer)
-        for batch in batches:
+        for batch in (b for whole in batches for b in slices(whole)):
             out: list[list[int | None]] = [[], [], [], [], []]
             for doc_id, ids in zip(batch.column(0).to_pylist(), tok.ids(batch.column(1).to_pylist()), strict=True):
                 raw = memoryview(ids + tail)
@@ -157,18 +157,19 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def nnls(a: np.ndarray, b: np.ndarray, max_steps: int = 600) -> np.ndarray:
-    """Lawson and Hanson's active-set method: x >= 0 that minimises |a x - b|."""
+def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lawson and Hanson's active-set method: x >= 0 that minimises |a x - b|. Each outer step lowers
+    the error, so it ends; should rounding keep it from that, it raises."""
     n = a.shape[1]
     x, active = np.zeros(n), np.zeros(n, bool)
     gram, target = a.T @ a, a.T @ b
     tol = 1e-9 * max(1.0, float(np.abs(target).max(initial=0)))
-    for _ in range(max_steps):
+    for _ in range(20 * n):
         w = target - gram @ x
         w[active] = -np.inf
         j = int(np.argmax(w))
         if w[j] <= tol:
-            break
+            return x
         active[j] = True
         while True:
             idx = np.flatnonzero(active)
@@ -187,15 +188,13 @@ def nnls(a: np.ndarray, b: np.ndarray, max_steps: int = 600) -> np.ndarray:
             x[off] = 0
             if not active.any():
                 break
-    return x
+    raise RuntimeError("the fit of pattern counts did not converge")
 
 
-def best_fit(counts: dict[int, int], cap: int, made: list[tuple[tuple[int, ...], int]]) -> list[tuple[tuple[int, ...], int]]:
-    """Best fit decreasing over counts; made: sequences so far, whose room is used first."""
+def best_fit(counts: dict[int, int], cap: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best fit decreasing over counts."""
     room: dict[int, list[tuple[tuple[int, ...], int]]] = {}
-    for lens, m in made:
-        room.setdefault(cap - sum(lens), []).append((lens, m))
-    spaces = sorted(room)
+    spaces: list[int] = []
 
     def put(lens: tuple[int, ...], m: int) -> None:
         r = cap - sum(lens)
@@ -230,7 +229,8 @@ def best_fit(counts: dict[int, int], cap: int, made: list[tuple[tuple[int, ...],
     return [x for r in spaces for x in room[r]]
 
 
-def by_patterns(counts: dict[int, int], cap: int, unit: int = UNIT) -> list[tuple[tuple[int, ...], int]]:
+def by_patterns(counts: dict[int, int], cap: int, unit: int = UNIT) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """Full sequences by the fitted patterns, and the counts of what is left."""
     n = -(-cap // unit)
     pats = [(n,)] + [(i, n - i) for i in range(1, n // 2 + 1)] + [(i, j, n - i - j) for i in range(1, n // 3 + 1) for j in range(i, (n - i) // 2 + 1)]
     a, b = np.zeros((n, len(pats))), np.zeros(n)
@@ -239,54 +239,44 @@ def by_patterns(counts: dict[int, int], cap: int, unit: int = UNIT) -> list[tupl
             a[i - 1, k] += 1
     for size, c in counts.items():
         b[-(-size // unit) - 1] += c
-    repeats = np.floor(nnls(a, b) + 1e-6).astype(int)
-    left, sizes = dict(counts), sorted(counts)
-    made = []
-
-    def take(low: int, high: int) -> int | None:
-        """The largest length in low < x <= high that is left."""
-        i = bisect_right(sizes, high) - 1
-        return sizes[i] if i >= 0 and sizes[i] > low else None
-
-    def use(size: int, m: int) -> None:
-        left[size] -= m
-        if not left[size]:
-            sizes.pop(bisect_left(sizes, size))
+    repeats = np.rint(nnls(a, b)).astype(int)
+    left, made = dict(counts), []
+    by_class: dict[int, list[int]] = {}
+    for size in sorted(counts, reverse=True):
+        by_class.setdefault(-(-size // unit), []).append(size)
+
+    def filled(classes: tuple[int, ...], room: int) -> tuple[int, ...] | None:
+        """Lengths that are left, one of each class but the last, with one that fills the room exactly."""
+        if len(classes) == 1:
+            return (room,) if left.get(room) else None
+        for x in by_class.get(classes[0], ()):
+            if x < room and left[x]:
+                left[x] -= 1
+                rest = filled(classes[1:], room - x)
+                left[x] += 1
+                if rest:
+                    return (x, *rest)
+        return None
 
     for k in np.argsort(-repeats, kind="stable"):
         todo = int(repeats[k])
-        while todo:
-            lens: list[int] = []
-            for i in pats[k][:-1]:
-                x = take(unit * (i - 1), unit * i)
-                if x is None:
-                    break
-                lens.append(x)
-            if len(lens) < len(pats[k]) - 1:
-                break
-            x = take(0, cap - sum(lens))
-            if x is None:
-                break
-            lens.append(x)
+        while todo > 0 and (lens := filled(pats[k], cap)):
             need: dict[int, int] = {}
             for s in lens:
                 need[s] = need.get(s, 0) + 1
             m = min([todo, *(left[s] // c for s, c in need.items())])
-            if not m:
-                break
             for s, c in need.items():
-                use(s, m * c)
-            made.append((tuple(lens), m))
+                left[s] -= m * c
+            made.append((lens, m))
             todo -= m
-    return best_fit({s: left[s] for s in sizes}, cap, made)
+    return made, {s: c for s, c in left.items() if c}
 
 
 def plan(counts: dict[int, int], cap: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, how many such sequences): uses every counted piece once."""
-    part = {s: c for s, c in counts.items() if s < cap}
     full = [((cap,), counts[cap])] if counts.get(cap) else []
-    options = [by_patterns(part, cap), best_fit(part, cap, [])] if part else [[]]
-    return full + min(options, key=lambda o: sum(m for _, m in o))
+    made, left = by_patterns({s: c for s, c in counts.items() if s < cap}, cap)
+    return full + made + best_fit(left, cap)
 
 
 def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:

@@ -490,6 +490,27 @@ def test_plan_uses_every_piece():
         assert used == counts
 
 
+def test_plan_comes_from_the_fitted_patterns(monkeypatch):
+    """Fitted repeats make most sequences, each full, and no more are made than by best fit alone."""
+    rng = random.Random(12)
+    lengths = [min(max(int(rng.lognormvariate(6.2, 0.6)), 1), 2047) for _ in range(6000)]
+    counts = {x: lengths.count(x) for x in set(lengths)}
+    made, left = packing.by_patterns(counts, 2048)
+    assert all(sum(lens) == 2048 for lens, _ in made) and sum(m for _, m in made) > 0.6 * sum(lengths) / 2048
+    total = lambda plan: sum(m for _, m in plan)
+    assert -(-sum(lengths) // 2048) <= total(packing.plan(counts)) <= total(packing.best_fit(counts, 2048))
+    monkeypatch.setattr(packing, "nnls", lambda a, b: np.zeros(a.shape[1]))
+    assert packing.by_patterns(counts, 2048) == ([], counts)
+
+
+def test_nnls_is_optimal():
+    rng = np.random.default_rng(4)
+    a, b = rng.random((12, 30)), rng.random(12) * 5
+    x = packing.nnls(a, b)
+    w = a.T @ (b - a @ x)
+    assert (x >= 0).all() and (w < 1e-6).all() and (np.abs(w[x > 0]) < 1e-6).all()
+
+
 def test_packing_odd_inputs(odd_docs, no_docs):
     got = packing.pack(odd_docs, VOCABULARY).collect()
     assert {r["doc_id"]: r["length"] for r in got}[3] == 1 and len({(r["sequence_id"], r["offset"]) for r in got}) == len(got)
