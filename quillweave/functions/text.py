@@ -21,6 +21,11 @@ RELATION_CUES = (
     ("new_context", r"全新|新项目|开始研究|另一个项目|new project|start (?:a )?new", 0.86),
     ("continue", r"继续|接着|刚才|(?:这个|那个)(?!尚未|还没|没有|未曾|未讨论|未提到)|它|continue|that one|\bit\b", 0.84),
 )
+REFUSAL_PREFIX = "说明上下文不足"
+VERDICT_OBJECT = r"(\{[^{}]*\})"
+VERDICT_CUT_OFF = r"""(?iU)["']?winner["']?\s*[:：]\s*["']?(a|b|tie)\b"""
+VERDICT_LABELLED = r"""(?iU)\b(?:winner|verdict)\b\s*[:：]\s*["']?(a|b|tie)\b"""
+VERDICT_BARE = r"""(?iU)^\s*["']?(a|b|tie)["']?\s*[.!]?\s*$"""
 RELATIONS = ("continue", "switch_or_return", "cross_context", "new_context", "unknown")
 UNKNOWN_CONFIDENCE = 0.58
 
@@ -70,10 +75,32 @@ def is_refusal(answer: Column) -> Column:
     return F.exists(F.array(*map(F.lit, REFUSAL_CUES)), lambda c: F.contains(low, c))
 
 
+def is_refusal_requirement(requirement: Column) -> Column:
+    return requirement.startswith(REFUSAL_PREFIX)
+
+
 def satisfied(requirement: Column, answer: Column) -> Column:
-    """All of the requirement's terms are in the answer; false without terms."""
+    """All of the requirement's terms are in the answer, false without terms; a requirement to
+    refuse is met by a refusal."""
     terms, body = requirement_terms(requirement), match_form(answer)
-    return F.coalesce((F.size(terms) > 0) & F.forall(terms, lambda t: F.contains(body, match_form(t))), F.lit(False))
+    held = (F.size(terms) > 0) & F.forall(terms, lambda t: F.contains(body, match_form(t)))
+    return F.coalesce(F.when(is_refusal_requirement(requirement), is_refusal(answer)).otherwise(held), F.lit(False))
+
+
+def coverage(requirements: Column, answer: Column) -> Column:
+    """Share of the requirements that an answer satisfies; 1 without any."""
+    n = F.size(F.filter(requirements, lambda r: satisfied(r, answer)))
+    return F.when(F.size(requirements) == 0, 1.0).otherwise(n / F.size(requirements))
+
+
+def reachability(requirements: Column, memory: Column) -> Column:
+    """The same over what was shown, without requirements to refuse; null if none is left."""
+    some = F.filter(requirements, lambda r: ~is_refusal_requirement(r))
+    return F.when(F.size(some) > 0, F.size(F.filter(some, lambda r: satisfied(r, memory))) / F.size(some))
+
+
+def excerpt(content: Column, n: int = 400) -> Column:
+    return F.left(content, F.lit(n))
 
 
 def relation(query: Column) -> Column:
@@ -97,16 +124,23 @@ def relation_probabilities(query: Column) -> Column:
     return F.map_from_arrays(F.array(*map(F.lit, RELATIONS)), F.array(*(F.when(name == r, p).otherwise((1 - p) / 4) for r in RELATIONS)))
 
 
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def verdict(reply: Column) -> Column:
-    """a, b or tie by the last `winner:` or `verdict:` label, else by the whole reply; null if none."""
-    named = F.regexp_extract_all(F.lower(reply), F.lit("[\"']?(?:winner|verdict)[\"']?\\s*[:=]\\s*[\"']?(a|b|tie)\\b"), F.lit(1))
-    bare = F.lower(F.trim(reply))
-    return F.coalesce(F.try_element_at(named, F.lit(-1)), F.when(bare.isin("a", "b", "tie"), bare))
+    """a, b or tie: by the first JSON object with such a winner; else by the last `winner:`; else by
+    the last `winner:` or `verdict:` label; else by the whole reply; null if none."""
+    winner = lambda o: F.lower(stripped(F.from_json(o, "winner string", {"allowSingleQuotes": "false"})["winner"]))
+    of_json = F.get(F.filter(F.transform(F.regexp_extract_all(reply, F.lit(VERDICT_OBJECT), F.lit(1)), winner), lambda w: w.isin("a", "b", "tie")), F.lit(0))
+    last = lambda pattern: F.lower(F.try_element_at(F.regexp_extract_all(reply, F.lit(pattern), F.lit(1)), F.lit(-1)))
+    bare = F.lower(F.nullif(F.regexp_extract(reply, VERDICT_BARE, 1), F.lit("")))
+    return F.coalesce(of_json, last(VERDICT_CUT_OFF), last(VERDICT_LABELLED), bare)
 
 
 def yes_no(reply: Column) -> Column:
     """Whether a reply starts with YES or NO, or has it on a line within 40 characters."""
-    up = F.upper(F.trim(reply))
+    up = F.upper(stripped(reply))
     near = F.left(up, F.lit(40))
     return F.when(up.startswith("NO") | F.contains(near, F.lit("\nNO")), F.lit(False)).when(up.startswith("YES") | F.contains(near, F.lit("\nYES")), F.lit(True))
 
