@@ -191,9 +191,9 @@ def test_lm_score_by_hand(small_model, monkeypatch):
         b = model.coder([(np.array(symbols), np.array(kinds))])
         deep = iter(range(int(sum(min(tree.size[s], lm.DEEP) for s in symbols)), len(b.bit)))
         top = iter(range(len(b.bit)))
-        total, up, energy = 0.0, np.zeros((m.gates, m.width)), np.zeros(m.gates)
+        total, up = 0.0, np.zeros((m.places, 4))
         for begin in range(0, len(symbols), 16):
-            new_up, new_energy = up.copy(), energy.copy()
+            new_up = up.copy()
             for s in symbols[begin : begin + 16]:
                 for d in range(tree.size[s]):
                     i = next(deep if d >= lm.DEEP else top)
@@ -201,13 +201,13 @@ def test_lm_score_by_hand(small_model, monkeypatch):
                     x = np.array([*(m.stretched[k][b.slots[k][i]] for k in range(len(b.slots))), 0.3], np.float32)
                     trust = [int(m.trust[k][b.slots[k][i]]) for k in m.trusted]
                     g = (trust[0] * 4 + trust[1]) * m.places + (d >= lm.DEEP)
-                    mixed = float(x @ (m.weights[g] + lm.RATE * up[g] / (energy[g] + lm.INERTIA)))
-                    err = b.bit[i] - sq(mixed)
-                    new_up[g] += err * x
-                    new_energy[g] += float(x @ x)
+                    slope, shift, by_slope, by_shift = up[int(d >= lm.DEEP)]
+                    mixed = float(x @ m.weights[g]) * (1 + slope / (by_slope + lm.INERTIA)) + shift / (by_shift + lm.INERTIA)
+                    err, bend = b.bit[i] - sq(mixed), sq(mixed) * (1 - sq(mixed))
+                    new_up[int(d >= lm.DEEP)] += [err * mixed, err, bend * mixed**2, bend]
                     p = 0.5 * sq(mixed) + 0.5 * m.apm[g, int(np.rint(np.clip(mixed, -8, 8) * 2)) + lm.BUCKETS // 2]
                     total += np.log10(np.clip(p if b.bit[i] else 1 - p, lm.FLOOR, 1 - lm.FLOOR))
-            up, energy = new_up, new_energy
+            up = new_up
         assert m.log10(b, 1)[0] == pytest.approx(total, rel=2e-3, abs=1e-4)
 
 
