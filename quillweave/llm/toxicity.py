@@ -27,11 +27,15 @@ is the share of label 1 (0 without labels); an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import pickle
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,7 +52,8 @@ BLOCK = 64
 FLUSH = 400_000
 TEXTS = 64  # compared at once
 WHOLE_BLOCK = 256
-DENSE = 32
+REST_TEXTS = 8
+DENSE = 12
 FOLDS = 5
 EVIDENCE = 3
 _UPPER = bytes(range(65, 91))
@@ -60,10 +65,6 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).split()
 
 
-def terms(word: bytes) -> list[bytes]:
-    return [word, *(word[:n] + b"*" for n in PREFIXES if len(word) > n)]
-
-
 class Terms:
     """Term ids of texts, by way of a bounded map of words. vocabulary: sorted 64-bit hashes, a
     term's id being its place; without one, ids are the hashes."""
@@ -73,9 +74,18 @@ class Terms:
 
     def _of(self, new: list[bytes]) -> np.ndarray:
         """The ids of each word's terms; a term that is none has the one before it or -1."""
-        width = 1 + len(PREFIXES)
-        h = np.array([xxhash.xxh64_intdigest(t) for w in new for t in (*terms(w), b"", b"")[:width]], np.uint64).reshape(len(new), width)
-        none = np.array([[len(w) <= n for n in (0, *PREFIXES)] for w in new], bool).reshape(h.shape)
+        # words by xxhash, beginnings (of a few bytes) as numbers, mixed with their length
+        size = np.fromiter(map(len, new), np.int64, len(new))
+        h = np.empty((len(new), 1 + len(PREFIXES)), np.uint64)
+        h[:, 0] = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
+        lead = np.array(new, f"S{max(PREFIXES)}").view(np.uint8).reshape(len(new), -1) if new else np.zeros((0, max(PREFIXES)), np.uint8)
+        for k, n in enumerate(PREFIXES, 1):
+            x = np.full(len(new), n, np.uint64)
+            for c in range(n):
+                x = x << np.uint64(8) | lead[:, c]
+            x *= np.uint64(0x9E3779B97F4A7C15)
+            h[:, k] = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        none = size[:, None] <= np.array([0, *PREFIXES])
         if self.vocabulary is None:
             return np.where(none, h[:, :1], h)
         at = np.searchsorted(self.vocabulary, h).clip(max=max(len(self.vocabulary) - 1, 0))
@@ -90,7 +100,7 @@ class Terms:
         new = list(set().union(*tokens).difference(self.known))
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.ids = np.concatenate([self.ids, self._of(new)])
-        code = np.fromiter((self.known[w] for t in tokens for w in t), np.int64)
+        code = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(tokens)), np.int64)
         text = np.repeat(np.arange(len(texts)), [len(t) for t in tokens])
         pair, n = np.unique(text * np.int64(len(self.known) + 1) + code, return_counts=True)
         text, code = pair // (len(self.known) + 1), pair % (len(self.known) + 1)
@@ -175,6 +185,7 @@ class Whole(Index):
     What comes near the K-th is summed once more in double precision, so the result is exact."""
 
     def __init__(self, idf: np.ndarray, t: np.ndarray, tf: np.ndarray, sizes: np.ndarray, labels: np.ndarray, ids: np.ndarray):
+        self.made_of = idf, t, tf, sizes, labels, ids
         n = len(sizes)
         doc = np.repeat(np.arange(n), sizes)
         w = idf[t] * (1 + np.log(tf))
@@ -199,6 +210,8 @@ class Whole(Index):
         self.weights[self.column[t[common]], doc[common]] = w[common]
         self.edges = np.arange(0, max(n, 1), WHOLE_BLOCK)
         self.most = np.maximum.reduceat(self.weights, self.edges, axis=1) if n else self.weights
+        self.weights = [np.ascontiguousarray(self.weights[:, k : k + WHOLE_BLOCK]) for k in self.edges.tolist()]
+        self.spot = np.full(len(idf), -1, np.int32)
         # all postings by example, and those of the terms that aren't common by term
         by = np.lexsort((t, doc))
         self.own_term, self.own_weight = t[by].astype(np.int32), w[by]
@@ -208,56 +221,85 @@ class Whole(Index):
         self.docs, self.rest = doc[by].astype(np.int32), w[by].astype(np.float32)
         self.cuts = np.searchsorted(t[by], np.arange(len(idf) + 1))
 
+    def __getstate__(self) -> bytes:
+        """What it is made of, packed: an index is built where it is used."""
+        idf, t, tf, sizes, labels, ids = self.made_of
+        steps = np.diff(t.astype(np.int32), prepend=np.int32(0))  # terms ascend within an example
+        return zlib.compress(pickle.dumps((idf, steps, tf.astype(np.uint32), sizes, labels, ids)), 1)
+
+    def __setstate__(self, packed: bytes) -> None:
+        idf, steps, tf, sizes, labels, ids = pickle.loads(zlib.decompress(packed))
+        self.__init__(idf, np.cumsum(steps, dtype=np.int32).astype(np.int64), tf.astype(np.int64), sizes, labels, ids)
+
     def _exact(self, t: np.ndarray, w: np.ndarray, some: np.ndarray) -> np.ndarray:
         n = self.own_cuts[some + 1] - self.own_cuts[some]
         at = np.arange(n.sum()) + np.repeat(self.own_cuts[some] - (np.cumsum(n) - n), n)
-        i = np.searchsorted(t, self.own_term[at]).clip(max=len(t) - 1)
-        hit = t[i] == self.own_term[at]
-        return np.bincount(np.repeat(np.arange(len(some)), n)[hit], weights=(w[i] * self.own_weight[at])[hit], minlength=len(some))
+        self.spot[t] = np.arange(len(t), dtype=np.int32)
+        i = self.spot[self.own_term[at]]
+        self.spot[t] = -1
+        hit = np.flatnonzero(i >= 0)
+        return np.bincount(np.repeat(np.arange(len(some)), n)[hit], weights=w[i[hit]] * self.own_weight[at[hit]], minlength=len(some))
 
     def search(self, texts: int, text: np.ndarray, t: np.ndarray, tf: np.ndarray, skip: list[int] | None = None) -> list[list[tuple[float, int]]]:
         """Of each text, whose terms and counts stand together, (similarity, example) of the K nearest
         with a similarity above 0, nearest first; skip: an example that a text leaves out."""
         w = self.idf[t] * (1 + np.log(tf))
         w = w / np.sqrt(np.bincount(text, weights=w * w, minlength=texts))[text]
-        q = np.zeros((texts, len(self.weights)), np.float32)
+        q = np.zeros((texts, len(self.most)), np.float32)
         c = self.column[t]
         q[text[c >= 0], c[c >= 0]] = w[c >= 0]
-        r, u = text[c < 0], t[c < 0]
-        n = self.cuts[u + 1] - self.cuts[u]
-        at = np.arange(n.sum()) + np.repeat(self.cuts[u] - (np.cumsum(n) - n), n)
-        acc = np.bincount(np.repeat(r, n) * np.int64(self.n) + self.docs[at], weights=self.rest[at] * np.repeat(w[c < 0], n), minlength=texts * self.n)
-        acc = acc.reshape(texts, self.n).astype(np.float32)
+        r, u, v = text[c < 0], t[c < 0], w[c < 0]
+        acc = np.empty((texts, self.n), np.float32)
+        edges = np.searchsorted(r, np.arange(0, texts + REST_TEXTS, REST_TEXTS))
+        for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
+            # a few texts at a time, whose sums stay in the processor's cache
+            own = slice(k * REST_TEXTS, min((k + 1) * REST_TEXTS, texts))
+            n = self.cuts[u[lo:hi] + 1] - self.cuts[u[lo:hi]]
+            at = np.repeat((self.cuts[u[lo:hi]] - (np.cumsum(n) - n)).astype(np.int32), n)
+            at += np.arange(len(at), dtype=np.int32)
+            cell = np.repeat(((r[lo:hi] - own.start) * self.n).astype(np.int32), n)
+            cell += self.docs[at]
+            part = np.repeat(v[lo:hi].astype(np.float32), n)
+            part *= self.rest[at]
+            acc[own] = np.bincount(cell, weights=part, minlength=(own.stop - own.start) * self.n).reshape(-1, self.n)
         bound = q @ self.most + np.maximum.reduceat(acc, self.edges, axis=1) + 1e-4
         read = np.zeros(bound.shape, bool)
 
         def visit(wanted: np.ndarray) -> None:
             for k in np.flatnonzero(wanted.any(0)).tolist():
                 lo, hi = self.edges[k], min(self.edges[k] + WHOLE_BLOCK, self.n)
-                rows = np.flatnonzero(wanted[:, k])
-                acc[rows, lo:hi] += q[rows] @ self.weights[:, lo:hi]
+                if wanted[:, k].all():
+                    acc[:, lo:hi] += q @ self.weights[k]
+                else:
+                    rows = np.flatnonzero(wanted[:, k])
+                    acc[rows, lo:hi] += q[rows] @ self.weights[k]
             read[wanted] = True
 
         first = np.zeros(bound.shape, bool)
-        np.put_along_axis(first, np.argsort(-bound, axis=1)[:, :2], True, axis=1)
+        best = np.argsort(-bound, axis=1)[:, :2]
+        np.put_along_axis(first, best, True, axis=1)
         visit(first)
-
-        def kth() -> np.ndarray:
-            seen = np.where(np.repeat(read, np.diff(np.r_[self.edges, self.n]), axis=1), acc, 0)
-            if skip is not None:
-                seen[np.arange(texts), skip] = 0
-            return np.partition(seen, -K, axis=1)[:, -K] if self.n >= K else np.zeros(texts, np.float32)
-
-        visit((bound >= kth()[:, None]) & ~read)
-        least = np.maximum(kth() - 1e-4, 1e-9)
+        if skip is not None:
+            acc[np.arange(texts), skip] = 0
+        ends = np.r_[self.edges[1:], self.n]
+        kth = np.zeros(texts, np.float32)
+        for i in range(texts):
+            seen = np.concatenate([acc[i, self.edges[k] : ends[k]] for k in best[i].tolist()])
+            if len(seen) >= K:
+                kth[i] = np.partition(seen, -K)[-K]
+        visit((bound >= kth[:, None]) & ~read)
+        if skip is not None:
+            acc[np.arange(texts), skip] = 0
+        for i, k in zip(*np.nonzero(~read)):
+            acc[i, self.edges[k] : ends[k]] = 0  # parts of sums that can't reach the K-th
         out = []
         cuts = np.searchsorted(text, np.arange(texts + 1))
-        inside = np.repeat(read, np.diff(np.r_[self.edges, self.n]), axis=1)
         for i in range(texts):
             lo, hi = cuts[i], cuts[i + 1]
-            some = np.flatnonzero((acc[i] >= least[i]) & inside[i])
-            if skip is not None:
-                some = some[some != skip[i]]
+            some = np.flatnonzero(acc[i] >= max(kth[i] - 1e-4, 1e-9))
+            if len(some) > K:
+                here = acc[i, some]
+                some = some[here >= np.partition(here, -K)[-K] - 1e-4]
             if not len(some) or lo == hi:
                 out.append([])
                 continue
@@ -288,7 +330,16 @@ class Examples:
                 if key is not None and len(self.votes) < 50_000:
                     self.votes[key] = vote
             x.append([*vote, *self.whole.vote(near[i])[1:]])
-        return np.array(x).reshape(texts, 7), near
+        return np.array(x, float).reshape(texts, 7), near
+
+    def own(self, i: int, k: int) -> np.ndarray:
+        """Features of the examples i to k, each left out of its own searches."""
+        _, t, tf, sizes, _, _ = self.whole.made_of
+        if not hasattr(self, "cuts"):
+            self.cuts, self.seats = np.r_[0, np.cumsum(sizes)], np.argsort(self.lexicon.order, kind="stable")
+        at = slice(self.cuts[i], self.cuts[k])
+        skip = self.seats[i:k].tolist(), self.whole.place[i:k].tolist()
+        return self.features(k - i, np.repeat(np.arange(k - i), sizes[i:k]), t[at].astype(np.int64), tf[at], skip)[0]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -304,8 +355,8 @@ def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return b
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Examples, np.ndarray] | float:
-    """The vocabulary, the indexes and the calibration; or the share of label 1."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, np.ndarray] | float:
+    """The vocabulary and indexes, sent, and the calibration; or the share of label 1."""
     train = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (id_fold(F.col("doc_id"), FOLDS) != 0))
     train = train.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     shares = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -378,6 +429,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Examples, np.nd
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *lists], ["doc_id", "toxic", "t", "tf"])
 
     got = texts.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, t array<int>, tf array<int>").toArrow()
+    sent.destroy()
     column = lambda c: [x for chunk in got.column(c).chunks for x in (chunk[k].values.to_numpy() for k in range(len(chunk)))]
     rows = sorted(zip(got.column("doc_id").to_pylist(), got.column("toxic").to_pylist(), column("t"), column("tf"), strict=True), key=lambda r: (r[0], r[2].tobytes(), r[3].tobytes()))
     ids, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
@@ -386,16 +438,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Examples, np.nd
     whole = Whole(idf, t, tf, sizes, y, ids)
     few = [{int(k): int(c) for k, c in zip(of_lexicon[r[2]].tolist(), r[3].tolist(), strict=True) if k >= 0} for r in rows]
     lexicon = Index(idf[lexicon_ids], few, y, ids)
-    place = np.empty(len(few), np.int64)
-    place[lexicon.order] = np.arange(len(few))
-    examples = Examples(lexicon, of_lexicon, whole)
-    x, cuts = [], np.r_[0, np.cumsum(sizes)]
-    for i in range(0, len(rows), TEXTS):
-        k = min(i + TEXTS, len(rows))
-        at = slice(cuts[i], cuts[k])
-        x.append(examples.features(k - i, np.repeat(np.arange(k - i), sizes[i:k]), t[at].astype(np.int64), tf[at], (place[i:k].tolist(), whole.place[i:k].tolist()))[0])
+    sent = spark.sparkContext.broadcast((vocabulary, Examples(lexicon, of_lexicon, whole)))  # of TOXIC + CLEAN examples
+
+    @frugal
+    def own_features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                x = sent.value[1].own(i, min(i + TEXTS, len(y)))
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([x.tobytes()], pa.binary())], ["id", "x"])
+
+    got = spark.range(0, len(rows), TEXTS).mapInArrow(own_features, "id long, x binary").collect()  # seven numbers an example
+    x = np.concatenate([np.frombuffer(r["x"]).reshape(-1, 7) for r in sorted(got, key=lambda r: r["id"])])
     w = np.where(y == 1, share / max((y == 1).mean(), 1e-9), (1 - share) / max((y == 0).mean(), 1e-9))
-    return vocabulary, examples, logistic(np.concatenate(x), y, w)
+    return sent, logistic(x, y, w)
 
 
 def score(docs: DataFrame, labels: DataFrame, names: tuple[str, str, str] = ("score", "evidence", "similarity")) -> DataFrame:
@@ -405,12 +460,12 @@ def score(docs: DataFrame, labels: DataFrame, names: tuple[str, str, str] = ("sc
     base = docs.drop(*names)
     if isinstance(model, float):
         return base.withColumns(dict(zip(names, (F.lit(model), F.array().cast("array<long>"), F.lit(0.0)), strict=True)))
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by TOXIC + CLEAN examples
+    sent, weights = model
     at = base.columns.index("text")
 
     @frugal
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, examples, weights = sent.value
+        vocabulary, examples = sent.value
         find, known = Terms(vocabulary), {}
         for b in (x for whole in batches for x in slices(whole, TEXTS)):
             texts = b.column(at).to_pylist()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import pickle
 import random
 import zlib
 
@@ -366,6 +367,44 @@ def test_block_max_search_is_exact():
         assert np.allclose([s for s, _ in index.nearest(q)], want)
 
 
+def test_whole_search_is_exact(monkeypatch):
+    """Whatever is common or rare and however blocks fall, the K nearest by plain cosine, ties by place."""
+    rng = np.random.default_rng(9)
+    v, n = 400, 700
+    idf = rng.uniform(1, 5, v)
+    terms = [np.sort(rng.choice(v, rng.integers(1, 40), replace=False, p=np.r_[np.full(20, 0.03), np.full(v - 20, 0.4 / (v - 20))])) for _ in range(n)]
+    terms[5] = terms[6] = terms[7]
+    tfs = [rng.integers(1, 6, len(t)) for t in terms]
+    tfs[5] = tfs[6] = tfs[7]
+    dense = np.zeros((n, v))
+    for i in range(n):
+        dense[i, terms[i]] = idf[terms[i]] * (1 + np.log(tfs[i]))
+    dense /= np.linalg.norm(dense, axis=1, keepdims=True)
+    sims = dense @ dense.T
+    for block, share in ((64, 12), (50, 1000), (256, 1), (1000, 12)):
+        monkeypatch.setattr(toxicity, "WHOLE_BLOCK", block)
+        monkeypatch.setattr(toxicity, "DENSE", share)
+        made = toxicity.Whole(idf, np.concatenate(terms), np.concatenate(tfs), np.array([len(t) for t in terms]), np.zeros(n, int), np.arange(n))
+        whole = pickle.loads(pickle.dumps(made))
+        text = np.repeat(np.arange(n), [len(t) for t in terms])
+        for skip in (None, whole.place.tolist()):
+            got = whole.search(n, text, np.concatenate(terms), np.concatenate(tfs), skip)
+            for i in range(n):
+                s = sims[i].copy()
+                if skip:
+                    s[i] = 0
+                want = np.sort(s[s > 1e-12])[::-1][: toxicity.K]
+                assert np.allclose([x for x, _ in got[i]], want, atol=1e-9)
+                assert np.allclose([s[whole.ids[e]] for _, e in got[i]], want, atol=1e-9)
+
+
+def test_toxicity_keeps_clashing_columns_apart(odd_docs, spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (6, 0), (9, 1)], "doc_id long, toxic int")
+    got = toxicity.score(odd_docs, labels, ("p", "near", "sim"))
+    assert {r["score"] for r in got.collect()} == {"x"} and got.columns == [*odd_docs.columns, "p", "near", "sim"]
+    assert dict(toxicity.score(odd_docs, labels).dtypes)["score"] == "double"
+
+
 def test_toxicity_odd_inputs(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (2, 0), (6, 0), (8, None), (None, 1), (9, 1), (9, 0)], "doc_id long, toxic int")
     docs = odd_docs
