@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import budget, metrics, neighbours, rank, search
 from ..sources import log
+from ..sources.durable import spread
 
-HEAD = 60  # characters of a benchmark text that make a query; the _whole queries ask with all of it
 DEPTH = 5
 AS_OF = 3
 BUDGET = 200
@@ -176,13 +176,13 @@ def _sql_tokens(text: str) -> str:
 
 @query(f"SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(list_sort(t), ' ')) AS tokens_md5 FROM (SELECT doc_id, {_sql_tokens('text')} AS t FROM documents)")
 def tokens(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    d = spread(_t(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.tokens(F.col("text")).alias("t"))
     return d.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.array_join(F.array_sort("t"), " ").cast("binary")).alias("tokens_md5"))
 
 
 @query(f"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[{_HAN}]|{_ID}|{_NUM}|[^{_SPACE}]')) AS n_tokens FROM documents")
 def token_count(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", T.token_count(F.col("text")).alias("n_tokens"))
+    return spread(_t(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.token_count(F.col("text")).alias("n_tokens"))
 
 
 @query(r"SELECT doc_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '…' ELSE text END AS head, length(text) AS n FROM documents")
@@ -255,47 +255,44 @@ _BM25 = f"""dt AS (SELECT doc_id, {_sql_tokens('text')} AS t FROM documents),
 st AS (SELECT count(*) AS n, greatest(sum(len(t)) / count(*), 1) AS avgdl FROM dt),
 p AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM dt),
 df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-q AS (SELECT item_id, unnest({_sql_tokens(f'substr(text, 1, {HEAD})')}) AS term FROM benchmark),
+q AS (SELECT item_id, unnest({_sql_tokens('text')}) AS term FROM benchmark),
 s AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * {search.K1 + 1} / (1 + {search.K1} * ({1 - search.B} + {search.B} * dl / avgdl))) AS score
   FROM q JOIN p USING (term) JOIN df USING (term), st GROUP BY item_id, doc_id),
 lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10)"""
 
 
-def _bm25(spark: SparkSession, sf_dir: str, head: int | None = HEAD) -> DataFrame:
-    """head: characters of a benchmark text that are asked, None for the whole text."""
-    asked = _t(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(head)).alias("text") if head else "text")
-    return search.bm25(asked, _t(spark, sf_dir, "documents").select("doc_id", "text"), "item_id", "doc_id")
+def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole benchmark texts against whole documents."""
+    return search.bm25(_t(spark, sf_dir, "benchmark").select("item_id", "text"), _t(spark, sf_dir, "documents").select("doc_id", "text"), "item_id", "doc_id")
 
 
-def _lexical(spark: SparkSession, sf_dir: str, k: int = 10, head: int | None = HEAD) -> DataFrame:
-    return search.top(_bm25(spark, sf_dir, head), "item_id", "doc_id", k)
+def _lexical(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    return search.top(_bm25(spark, sf_dir), "item_id", "doc_id", k)
 
 
 @query(f"WITH {_BM25} SELECT item_id, count(*) AS n_docs, round(max(score), 6) AS best FROM s GROUP BY item_id")
-def bm25_score(spark, sf_dir, head=HEAD):
-    return _bm25(spark, sf_dir, head).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.round(F.max("score"), 6).alias("best"))
+def bm25_score(spark, sf_dir):
+    return _bm25(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.round(F.max("score"), 6).alias("best"))
 
 
 @query(f"WITH {_BM25} SELECT item_id, doc_id, rank, round(score, 6) AS score FROM lex WHERE rank <= {DEPTH}")
-def bm25_topk(spark, sf_dir, head=HEAD):
-    return _lexical(spark, sf_dir, DEPTH, head).select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+def bm25_topk(spark, sf_dir):
+    return _lexical(spark, sf_dir, DEPTH).select("item_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score
-  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+  FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND a.vec_id % 100 = 0)
 SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM p WHERE score > 0) WHERE rank <= 10""")
 def cosine_topk(spark, sf_dir):
-    """The stated queries (vec_id divisible by 100) against all vectors of their label."""
-    v = _t(spark, sf_dir, "embeddings")
-    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"), "label")
-    scored = v.join(q, "label").where("vec_id <> query_id").select("query_id", "vec_id", search.dot(F.col("asked"), F.col("embedding")).alias("score"))
-    return search.top(scored, "query_id", "vec_id", 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    """The stated queries (vec_id divisible by 100) against all vectors."""
+    v = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return search.nearest(v.where("vec_id % 100 = 0"), v, "vec_id", "embedding", 10).select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-def _channels(spark: SparkSession, sf_dir: str, head: int | None = HEAD) -> tuple[DataFrame, DataFrame]:
+def _channels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The lexical ranking, and one by length of the same documents (shortest first)."""
-    lexical = _lexical(spark, sf_dir, head=head)
+    lexical = _lexical(spark, sf_dir)
     sizes = lexical.join(_t(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
     short = sizes.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("n_chars", "doc_id")).cast("long"))
     return lexical, short
@@ -310,20 +307,20 @@ SELECT item_id, doc_id, round(sum(part), 6) AS score FROM u GROUP BY item_id, do
 
 
 @query(_sql_rrf((1.0, 1.0)))
-def rrf_two_channel(spark, sf_dir, head=HEAD):
-    a, b = _channels(spark, sf_dir, head)
+def rrf_two_channel(spark, sf_dir):
+    a, b = _channels(spark, sf_dir)
     return search.rrf([(a, 1.0), (b, 1.0)], "item_id", "doc_id").withColumn("score", F.round("score", 6))
 
 
 @query(_sql_rrf((1.0, 0.5)))
-def rrf_weighted(spark, sf_dir, head=HEAD):
-    a, b = _channels(spark, sf_dir, head)
+def rrf_weighted(spark, sf_dir):
+    a, b = _channels(spark, sf_dir)
     return search.rrf([(a, 1.0), (b, 0.5)], "item_id", "doc_id").withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_BM25} SELECT item_id, doc_id, round(score / max(score) OVER (PARTITION BY item_id), 6) AS share FROM lex")
-def max_normalise(spark, sf_dir, head=HEAD):
-    return _lexical(spark, sf_dir, head=head).select("item_id", "doc_id", F.round(search.share_of_best(F.col("score"), "item_id"), 6).alias("share"))
+def max_normalise(spark, sf_dir):
+    return _lexical(spark, sf_dir).select("item_id", "doc_id", F.round(search.share_of_best(F.col("score"), "item_id"), 6).alias("share"))
 
 
 _PROB = """f AS (SELECT lex.item_id, lex.doc_id, score / max(score) OVER (PARTITION BY lex.item_id) AS lexical, lex.rank, short.rank AS srank
@@ -331,8 +328,8 @@ _PROB = """f AS (SELECT lex.item_id, lex.doc_id, score / max(score) OVER (PARTIT
 r AS (SELECT *, 1 / (1 + exp(-(-2.7 + 1.45 * (1 / (60 + rank)) + 1.05 * lexical + 0.55 / 3 + 0.15 * exp(-(srank - 1) / 20)))) AS p FROM f)"""
 
 
-def _ranked(spark: SparkSession, sf_dir: str, head: int | None = HEAD) -> DataFrame:
-    lexical, short = _channels(spark, sf_dir, head)
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexical, short = _channels(spark, sf_dir)
     d = lexical.withColumn("lexical", search.share_of_best(F.col("score"), "item_id")).join(short.select("item_id", "doc_id", F.col("rank").alias("srank")), ["item_id", "doc_id"])
     zero = F.lit(0.0)
     features = {
@@ -343,8 +340,8 @@ def _ranked(spark: SparkSession, sf_dir: str, head: int | None = HEAD) -> DataFr
 
 
 @query(f"WITH {_BM25}, {_SHORT}, {_PROB} SELECT item_id, doc_id, round(p, 6) AS p FROM r")
-def heuristic_rank(spark, sf_dir, head=HEAD):
-    return _ranked(spark, sf_dir, head).withColumn("p", F.round("p", 6))
+def heuristic_rank(spark, sf_dir):
+    return _ranked(spark, sf_dir).withColumn("p", F.round("p", 6))
 
 
 @query(f"""WITH {_BM25}, {_SHORT}, {_PROB},
@@ -354,8 +351,8 @@ g AS (SELECT item_id, max(p) AS p1, coalesce(max(p) FILTER (WHERE k = 2), 0) AS
 c AS (SELECT *, least(greatest(0.5 * p1 + 0.2 * least((p1 - p2) / 0.35, 1) + 0.15 / 3 + 0.15 * 0.35, 0), 1) AS confidence FROM g)
 SELECT item_id, CASE WHEN len(low) = 0 OR confidence < 0.52 THEN 'abstain' ELSE 'route' END AS decision,
        array_to_string(CASE WHEN len(low) = 0 OR confidence < 0.52 THEN safe ELSE low END, ',') AS selected, round(confidence, 6) AS confidence FROM c""")
-def soft_select(spark, sf_dir, head=HEAD):
-    c = _ranked(spark, sf_dir, head).select("item_id", "doc_id", F.round("p", 9).alias("p"), F.lit(1 / 3).alias("agreement"), F.lit("unknown").alias("relation"))
+def soft_select(spark, sf_dir):
+    c = _ranked(spark, sf_dir).select("item_id", "doc_id", F.round("p", 9).alias("p"), F.lit(1 / 3).alias("agreement"), F.lit("unknown").alias("relation"))
     return rank.select(c, "item_id", "doc_id").select("item_id", "decision", F.array_join(F.transform("selected", lambda x: x.cast("string")), ",").alias("selected"), F.round("confidence", 6).alias("confidence"))
 
 
@@ -394,9 +391,9 @@ def round_robin_interleave(spark, sf_dir):
 
 
 @query(f"WITH {_BM25} SELECT item_id, doc_id, round(score, 6) AS score FROM (SELECT *, max(score) OVER (PARTITION BY item_id) AS best FROM lex) WHERE score >= 0.5 * best")
-def sufficiency_floor(spark, sf_dir, head=HEAD):
+def sufficiency_floor(spark, sf_dir):
     best = F.max("score").over(Window.partitionBy("item_id"))
-    return _lexical(spark, sf_dir, head=head).withColumn("best", best).where("score >= 0.5 * best").select("item_id", "doc_id", F.round("score", 6).alias("score"))
+    return _lexical(spark, sf_dir).withColumn("best", best).where("score >= 0.5 * best").select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query("""SELECT conv_id, turn, (sum(length(text) + 2) OVER w - length(text) - 2)::BIGINT AS start, (sum(length(text) + 2) OVER w - 2)::BIGINT AS "end"
@@ -456,10 +453,10 @@ def stage_diagnostics(spark, sf_dir):
 
 @query(f"""WITH {_BM25}, g AS (SELECT item_id, min(rank) AS r FROM lex JOIN documents d ON lex.doc_id = d.doc_id JOIN benchmark b USING (item_id) WHERE contains(d.text, b.text) GROUP BY item_id)
 SELECT b.item_id, round(coalesce(1 / r, 0), 6) AS rr, coalesce(r <= 1, false) AS hit1, coalesce(r <= {DEPTH}, false) AS hit5 FROM benchmark b LEFT JOIN g ON b.item_id = g.item_id""")
-def reciprocal_ranks(spark, sf_dir, head=HEAD):
+def reciprocal_ranks(spark, sf_dir):
     """Whether the ranking finds a document that holds the whole benchmark text."""
     b = _t(spark, sf_dir, "benchmark")
-    found = _lexical(spark, sf_dir, head=head).join(_t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")), "doc_id").join(b, "item_id")
+    found = _lexical(spark, sf_dir).join(_t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")), "doc_id").join(b, "item_id")
     best = found.where(F.contains("body", "text")).groupBy("item_id").agg(F.min("rank").alias("r"))
     no = lambda c: F.coalesce(c, F.lit(False))
     return b.join(best, "item_id", "left").select("item_id", F.round(F.coalesce(1 / F.col("r"), F.lit(0.0)), 6).alias("rr"), no(F.col("r") <= 1).alias("hit1"), no(F.col("r") <= DEPTH).alias("hit5"))
@@ -477,17 +474,3 @@ SELECT arm, count(*) AS cases, round(avg(n), 6) AS mean_tokens, median(n)::DOUBL
 def arm_summary(spark, sf_dir):
     a = _t(spark, sf_dir, "conversations").select(F.col("role").alias("arm"), F.size(F.split("text", " ")).cast("long").alias("n"))
     return a.groupBy("arm").agg(F.count("*").alias("cases"), F.round(F.avg("n"), 6).alias("mean_tokens"), F.median("n").alias("median_tokens"), F.max("n").alias("max_tokens"))
-
-
-# The queries over BM25 once more, with whole benchmark texts
-
-
-def _whole(f: Callable[..., DataFrame]) -> None:
-    name, cut = f"{f.__name__}_whole", f"substr(text, 1, {HEAD})"
-    assert cut in ORACLES[f.__name__]
-    QUERIES[name] = lambda spark, sf_dir: f(spark, sf_dir, head=None)
-    ORACLES[name] = ORACLES[f.__name__].replace(cut, "text")
-
-
-for _f in (bm25_score, bm25_topk, rrf_two_channel, rrf_weighted, max_normalise, heuristic_rank, soft_select, sufficiency_floor, reciprocal_ranks):
-    _whole(_f)
