@@ -185,60 +185,70 @@ class Whole(Index):
     What comes near the K-th is summed once more in double precision, so the result is exact."""
 
     def __init__(self, idf: np.ndarray, t: np.ndarray, tf: np.ndarray, sizes: np.ndarray, labels: np.ndarray, ids: np.ndarray):
-        self.made_of = idf, t, tf, sizes, labels, ids
         n = len(sizes)
-        doc = np.repeat(np.arange(n), sizes)
-        w = idf[t] * (1 + np.log(tf))
-        w = w / np.sqrt(np.bincount(doc, weights=w * w, minlength=n))[doc]
-        df = np.bincount(t, minlength=len(idf))
-        dense = np.flatnonzero(df * DENSE >= n) if n else np.zeros(0, np.int64)
-        self.column = np.full(len(idf), -1, np.int32)
-        self.column[dense] = np.arange(len(dense))
-        common = self.column[t] >= 0
+        t, doc = t.astype(np.int32), np.repeat(np.arange(n, dtype=np.int32), sizes)
+        column = self._common(idf, t, n)
         # examples whose weightiest common term is the same stand together, which keeps bounds tight
+        at = np.flatnonzero(column[t] >= 0)
+        w = idf[t[at]] * (1 + np.log(tf[at]))
         top, best = np.full(n, -1), np.zeros(n)
-        at = np.flatnonzero(common)
-        at = at[np.lexsort((w[at], doc[at]))]
-        top[doc[at]], best[doc[at]] = self.column[t[at]], w[at]
+        at, w = at[o := np.lexsort((w, doc[at]))], w[o]
+        top[doc[at]], best[doc[at]] = column[t[at]], w
         order = np.lexsort((best, top))
-        rank = np.empty(n, np.int64)
-        rank[order] = np.arange(n)
-        doc = rank[doc]
-        self.idf, self.labels, self.ids, self.place = idf, labels[order], ids[order], rank
-        self.n = n
-        self.weights = np.zeros((len(dense), n), np.float32)
-        self.weights[self.column[t[common]], doc[common]] = w[common]
+        self.place = np.empty(n, np.int64)  # of each example as given; all else goes by place
+        self.place[order] = np.arange(n)
+        by = np.lexsort((t, self.place[doc]))
+        self._build(idf, t[by], tf[by].astype(np.uint32), sizes[order], labels[order], ids[order])
+
+    @staticmethod
+    def _common(idf: np.ndarray, t: np.ndarray, n: int) -> np.ndarray:
+        """Columns of the terms that at least 1 / DENSE of the examples have, -1 for others."""
+        column = np.full(len(idf), -1, np.int32)
+        dense = np.flatnonzero(np.bincount(t, minlength=len(idf)) * DENSE >= max(n, 1))
+        column[dense] = np.arange(len(dense))
+        return column
+
+    def _build(self, idf: np.ndarray, t: np.ndarray, tf: np.ndarray, sizes: np.ndarray, labels: np.ndarray, ids: np.ndarray) -> None:
+        n = self.n = len(sizes)
+        self.idf, self.own_term, self.own_tf, self.sizes, self.labels, self.ids = idf, t, tf, sizes, labels, ids
+        self.own_cuts = np.r_[0, np.cumsum(sizes)]
+        doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
+        w = idf[t] * (1 + np.log(tf))
+        self.norm = np.sqrt(np.bincount(doc, weights=w * w, minlength=n))
+        w = (w / self.norm[doc]).astype(np.float32)
+        self.column = self._common(idf, t, n)
+        c = self.column[t]
+        rest, common = np.flatnonzero(c < 0), np.flatnonzero(c >= 0)
+        weights = np.zeros((int(self.column.max(initial=-1)) + 1, n), np.float32)
+        weights[c[common], doc[common]] = w[common]
         self.edges = np.arange(0, max(n, 1), WHOLE_BLOCK)
-        self.most = np.maximum.reduceat(self.weights, self.edges, axis=1) if n else self.weights
-        self.weights = [np.ascontiguousarray(self.weights[:, k : k + WHOLE_BLOCK]) for k in self.edges.tolist()]
-        self.spot = np.full(len(idf), -1, np.int32)
-        # all postings by example, and those of the terms that aren't common by term
-        by = np.lexsort((t, doc))
-        self.own_term, self.own_weight = t[by].astype(np.int32), w[by]
-        self.own_cuts = np.searchsorted(doc[by], np.arange(n + 1))
-        t, doc, w = t[~common], doc[~common], w[~common]
-        by = np.argsort(t, kind="stable")
-        self.docs, self.rest = doc[by].astype(np.int32), w[by].astype(np.float32)
+        self.most = np.maximum.reduceat(weights, self.edges, axis=1) if n else weights
+        self.weights = [np.ascontiguousarray(weights[:, k : k + WHOLE_BLOCK]) for k in self.edges.tolist()]
+        # postings of the terms that aren't common, by term
+        by = rest[np.argsort(t[rest], kind="stable")]
+        self.docs, self.rest = doc[by], w[by]
         self.cuts = np.searchsorted(t[by], np.arange(len(idf) + 1))
+        self.spot = np.full(len(idf), -1, np.int32)
 
     def __getstate__(self) -> bytes:
         """What it is made of, packed: an index is built where it is used."""
-        idf, t, tf, sizes, labels, ids = self.made_of
-        steps = np.diff(t.astype(np.int32), prepend=np.int32(0))  # terms ascend within an example
-        return zlib.compress(pickle.dumps((idf, steps, tf.astype(np.uint32), sizes, labels, ids)), 1)
+        steps = np.diff(self.own_term, prepend=np.int32(0))  # terms ascend within an example
+        return zlib.compress(pickle.dumps((self.idf, steps, self.own_tf, self.sizes, self.labels, self.ids)), 1)
 
     def __setstate__(self, packed: bytes) -> None:
-        idf, steps, tf, sizes, labels, ids = pickle.loads(zlib.decompress(packed))
-        self.__init__(idf, np.cumsum(steps, dtype=np.int32).astype(np.int64), tf.astype(np.int64), sizes, labels, ids)
+        idf, steps, *rest = pickle.loads(zlib.decompress(packed))
+        self._build(idf, np.cumsum(steps, dtype=np.int32), *rest)
 
     def _exact(self, t: np.ndarray, w: np.ndarray, some: np.ndarray) -> np.ndarray:
-        n = self.own_cuts[some + 1] - self.own_cuts[some]
+        n = self.sizes[some]
         at = np.arange(n.sum()) + np.repeat(self.own_cuts[some] - (np.cumsum(n) - n), n)
         self.spot[t] = np.arange(len(t), dtype=np.int32)
         i = self.spot[self.own_term[at]]
         self.spot[t] = -1
         hit = np.flatnonzero(i >= 0)
-        return np.bincount(np.repeat(np.arange(len(some)), n)[hit], weights=w[i[hit]] * self.own_weight[at[hit]], minlength=len(some))
+        at, i = at[hit], i[hit]
+        own = self.idf[self.own_term[at]] * (1 + np.log(self.own_tf[at]))
+        return np.bincount(np.repeat(np.arange(len(some)), n)[hit], weights=w[i] * own, minlength=len(some)) / self.norm[some]
 
     def search(self, texts: int, text: np.ndarray, t: np.ndarray, tf: np.ndarray, skip: list[int] | None = None) -> list[list[tuple[float, int]]]:
         """Of each text, whose terms and counts stand together, (similarity, example) of the K nearest
@@ -333,13 +343,12 @@ class Examples:
         return np.array(x, float).reshape(texts, 7), near
 
     def own(self, i: int, k: int) -> np.ndarray:
-        """Features of the examples i to k, each left out of its own searches."""
-        _, t, tf, sizes, _, _ = self.whole.made_of
-        if not hasattr(self, "cuts"):
-            self.cuts, self.seats = np.r_[0, np.cumsum(sizes)], np.argsort(self.lexicon.order, kind="stable")
-        at = slice(self.cuts[i], self.cuts[k])
-        skip = self.seats[i:k].tolist(), self.whole.place[i:k].tolist()
-        return self.features(k - i, np.repeat(np.arange(k - i), sizes[i:k]), t[at].astype(np.int64), tf[at], skip)[0]
+        """Features of the examples at places i to k, each left out of its own searches."""
+        w = self.whole
+        at = slice(w.own_cuts[i], w.own_cuts[k])
+        seats = np.argsort(self.lexicon.order, kind="stable")
+        skip = seats[i:k].tolist(), list(range(i, k))
+        return self.features(k - i, np.repeat(np.arange(k - i), w.sizes[i:k]), w.own_term[at].astype(np.int64), w.own_tf[at], skip)[0]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -436,8 +445,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, np.ndarray] | fl
     none, sizes = [np.zeros(0, np.int32)], np.array([len(r[2]) for r in rows])
     t, tf = np.concatenate([r[2] for r in rows] + none), np.concatenate([r[3] for r in rows] + none)
     whole = Whole(idf, t, tf, sizes, y, ids)
-    few = [{int(k): int(c) for k, c in zip(of_lexicon[r[2]].tolist(), r[3].tolist(), strict=True) if k >= 0} for r in rows]
-    lexicon = Index(idf[lexicon_ids], few, y, ids)
+    del rows, t, tf
+    y = whole.labels
+    cut = lambda x: np.split(x, whole.own_cuts[1:-1])
+    few = [{int(k): int(c) for k, c in zip(k.tolist(), c.tolist(), strict=True) if k >= 0} for k, c in zip(cut(of_lexicon[whole.own_term]), cut(whole.own_tf), strict=True)]
+    lexicon = Index(idf[lexicon_ids], few, y, whole.ids)
     sent = spark.sparkContext.broadcast((vocabulary, Examples(lexicon, of_lexicon, whole)))  # of TOXIC + CLEAN examples
 
     @frugal
@@ -447,7 +459,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, np.ndarray] | fl
                 x = sent.value[1].own(i, min(i + TEXTS, len(y)))
                 yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([x.tobytes()], pa.binary())], ["id", "x"])
 
-    got = spark.range(0, len(rows), TEXTS).mapInArrow(own_features, "id long, x binary").collect()  # seven numbers an example
+    got = spark.range(0, len(y), TEXTS).mapInArrow(own_features, "id long, x binary").collect()  # seven numbers an example
     x = np.concatenate([np.frombuffer(r["x"]).reshape(-1, 7) for r in sorted(got, key=lambda r: r["id"])])
     w = np.where(y == 1, share / max((y == 1).mean(), 1e-9), (1 - share) / max((y == 0).mean(), 1e-9))
     return sent, logistic(x, y, w)

@@ -387,7 +387,7 @@ def test_whole_search_is_exact(monkeypatch):
         made = toxicity.Whole(idf, np.concatenate(terms), np.concatenate(tfs), np.array([len(t) for t in terms]), np.zeros(n, int), np.arange(n))
         whole = pickle.loads(pickle.dumps(made))
         text = np.repeat(np.arange(n), [len(t) for t in terms])
-        for skip in (None, whole.place.tolist()):
+        for skip in (None, made.place.tolist()):
             got = whole.search(n, text, np.concatenate(terms), np.concatenate(tfs), skip)
             for i in range(n):
                 s = sims[i].copy()
