@@ -33,7 +33,8 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.score(docs, table(spark, sf_dir, "labels")).where("score < 0.5").select(*docs.columns)
+    names = ("_toxicity", "_toxicity_evidence", "_toxicity_similarity")  # docs may have a column score
+    return toxicity.score(docs, table(spark, sf_dir, "labels"), names).where(f"{names[0]} < 0.5").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
