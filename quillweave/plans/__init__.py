@@ -1,5 +1,5 @@
 """All registered queries and their SQL."""
 
-from . import catalog, evaluation  # noqa: F401
+from . import catalog, engine, evaluation  # noqa: F401
 
 QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES

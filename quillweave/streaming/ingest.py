@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
-def stream(spark: SparkSession, path: str, schema, key: str = "event_id", time: str = "ts", late: str = "1 day") -> DataFrame:
-    """Events of a folder of Parquet files, each key once within the watermark."""
-    rows = spark.readStream.schema(schema).parquet(path)
-    return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+def stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Events of a folder of Parquet files as they arrive."""
+    return spark.readStream.schema(schema).parquet(path)
 
 
-def ingest(events: DataFrame, target: str, checkpoint: str) -> None:
-    """Appends what is there now and ends; a second run with the same checkpoint adds nothing."""
-    events.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def ingest(events: DataFrame, target: str, checkpoint: str, key: str = "event_id") -> None:
+    """Appends what is there now and ends. An event that the target holds, however old, is not added again and a
+    late one is not lost: each batch is joined with the ids of the target. A batch that is tried again after a
+    fault finds its own rows there."""
+
+    def append(batch: DataFrame, number: int) -> None:
+        spark, new = batch.sparkSession, batch.dropDuplicates([key])
+        path = spark._jvm.org.apache.hadoop.fs.Path(target)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            new = new.join(spark.read.schema(batch.schema).parquet(target).select(key), key, "left_anti")
+        new.write.mode("append").parquet(target)
+
+    events.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
