@@ -52,7 +52,6 @@ BLOCK = 64
 FLUSH = 400_000
 TEXTS = 64  # compared at once
 WHOLE_BLOCK = 256
-REST_TEXTS = 8
 DENSE = 12
 FOLDS = 5
 EVIDENCE = 3
@@ -184,21 +183,28 @@ class Whole(Index):
     give it K similarities, and of the others only those are read whose bound reaches the K-th.
     What comes near the K-th is summed once more in double precision, so the result is exact."""
 
-    def __init__(self, idf: np.ndarray, t: np.ndarray, tf: np.ndarray, sizes: np.ndarray, labels: np.ndarray, ids: np.ndarray):
-        n = len(sizes)
-        t, doc = t.astype(np.int32), np.repeat(np.arange(n, dtype=np.int32), sizes)
-        column = self._common(idf, t, n)
+    def __init__(self, idf: np.ndarray, ts: list[np.ndarray], tfs: list[np.ndarray], labels: np.ndarray, ids: np.ndarray):
+        n = len(ts)
+        df = np.zeros(len(idf), np.int32)
+        for t in ts:
+            df[t] += 1
+        common = df * DENSE >= n
         # examples whose weightiest common term is the same stand together, which keeps bounds tight
-        at = np.flatnonzero(column[t] >= 0)
-        w = idf[t[at]] * (1 + np.log(tf[at]))
         top, best = np.full(n, -1), np.zeros(n)
-        at, w = at[o := np.lexsort((w, doc[at]))], w[o]
-        top[doc[at]], best[doc[at]] = column[t[at]], w
+        for i, (t, tf) in enumerate(zip(ts, tfs, strict=True)):
+            w = np.where(common[t], idf[t] * (1 + np.log(tf)), 0.0)
+            if len(w) and w.max() > 0:
+                top[i], best[i] = t[w.argmax()], w.max()
         order = np.lexsort((best, top))
         self.place = np.empty(n, np.int64)  # of each example as given; all else goes by place
         self.place[order] = np.arange(n)
-        by = np.lexsort((t, self.place[doc]))
-        self._build(idf, t[by], tf[by].astype(np.uint32), sizes[order], labels[order], ids[order])
+        join = lambda parts, kind: np.concatenate([parts[i].astype(kind) for i in order.tolist()] or [np.zeros(0, kind)])
+        sizes = np.array([len(ts[i]) for i in order.tolist()], np.int64)
+        self._hold(idf, join(ts, np.int32), join(tfs, np.uint32), sizes, labels[order], ids[order])
+
+    def _hold(self, idf: np.ndarray, t: np.ndarray, tf: np.ndarray, sizes: np.ndarray, labels: np.ndarray, ids: np.ndarray) -> None:
+        self.n, self.idf, self.own_term, self.own_tf, self.sizes, self.labels, self.ids = len(sizes), idf, t, tf, sizes, labels, ids
+        self.own_cuts, self.weights = np.r_[0, np.cumsum(sizes)], None
 
     @staticmethod
     def _common(idf: np.ndarray, t: np.ndarray, n: int) -> np.ndarray:
@@ -208,10 +214,9 @@ class Whole(Index):
         column[dense] = np.arange(len(dense))
         return column
 
-    def _build(self, idf: np.ndarray, t: np.ndarray, tf: np.ndarray, sizes: np.ndarray, labels: np.ndarray, ids: np.ndarray) -> None:
-        n = self.n = len(sizes)
-        self.idf, self.own_term, self.own_tf, self.sizes, self.labels, self.ids = idf, t, tf, sizes, labels, ids
-        self.own_cuts = np.r_[0, np.cumsum(sizes)]
+    def _build(self) -> None:
+        """The index itself: built where a search is made, as its parts are larger than what they are made of."""
+        n, idf, t, tf, sizes = self.n, self.idf, self.own_term, self.own_tf, self.sizes
         doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
         w = idf[t] * (1 + np.log(tf))
         self.norm = np.sqrt(np.bincount(doc, weights=w * w, minlength=n))
@@ -226,7 +231,7 @@ class Whole(Index):
         self.weights = [np.ascontiguousarray(weights[:, k : k + WHOLE_BLOCK]) for k in self.edges.tolist()]
         # postings of the terms that aren't common, by term
         by = rest[np.argsort(t[rest], kind="stable")]
-        self.docs, self.rest = doc[by], w[by]
+        self.docs, self.rest = doc[by].astype(np.int64), w[by].astype(np.float64)
         self.cuts = np.searchsorted(t[by], np.arange(len(idf) + 1))
         self.spot = np.full(len(idf), -1, np.int32)
 
@@ -237,7 +242,7 @@ class Whole(Index):
 
     def __setstate__(self, packed: bytes) -> None:
         idf, steps, *rest = pickle.loads(zlib.decompress(packed))
-        self._build(idf, np.cumsum(steps, dtype=np.int32), *rest)
+        self._hold(idf, np.cumsum(steps, dtype=np.int32), *rest)
 
     def _exact(self, t: np.ndarray, w: np.ndarray, some: np.ndarray) -> np.ndarray:
         n = self.sizes[some]
@@ -253,6 +258,8 @@ class Whole(Index):
     def search(self, texts: int, text: np.ndarray, t: np.ndarray, tf: np.ndarray, skip: list[int] | None = None) -> list[list[tuple[float, int]]]:
         """Of each text, whose terms and counts stand together, (similarity, example) of the K nearest
         with a similarity above 0, nearest first; skip: an example that a text leaves out."""
+        if self.weights is None:
+            self._build()
         w = self.idf[t] * (1 + np.log(tf))
         w = w / np.sqrt(np.bincount(text, weights=w * w, minlength=texts))[text]
         q = np.zeros((texts, len(self.most)), np.float32)
@@ -260,18 +267,17 @@ class Whole(Index):
         q[text[c >= 0], c[c >= 0]] = w[c >= 0]
         r, u, v = text[c < 0], t[c < 0], w[c < 0]
         acc = np.empty((texts, self.n), np.float32)
-        edges = np.searchsorted(r, np.arange(0, texts + REST_TEXTS, REST_TEXTS))
-        for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
-            # a few texts at a time, whose sums stay in the processor's cache
-            own = slice(k * REST_TEXTS, min((k + 1) * REST_TEXTS, texts))
-            n = self.cuts[u[lo:hi] + 1] - self.cuts[u[lo:hi]]
-            at = np.repeat((self.cuts[u[lo:hi]] - (np.cumsum(n) - n)).astype(np.int32), n)
-            at += np.arange(len(at), dtype=np.int32)
-            cell = np.repeat(((r[lo:hi] - own.start) * self.n).astype(np.int32), n)
-            cell += self.docs[at]
-            part = np.repeat(v[lo:hi].astype(np.float32), n)
-            part *= self.rest[at]
-            acc[own] = np.bincount(cell, weights=part, minlength=(own.stop - own.start) * self.n).reshape(-1, self.n)
+        begin, end = self.cuts[u], self.cuts[u + 1]
+        some = np.searchsorted(r, np.arange(texts + 1))
+        for i in range(texts):
+            own = slice(some[i], some[i + 1])
+            spans = list(zip(begin[own].tolist(), end[own].tolist(), strict=True))
+            if not spans:
+                acc[i] = 0
+                continue
+            part = np.repeat(v[own], end[own] - begin[own])
+            part *= np.concatenate([self.rest[a:b] for a, b in spans])
+            acc[i] = np.bincount(np.concatenate([self.docs[a:b] for a, b in spans]), weights=part, minlength=self.n)
         bound = q @ self.most + np.maximum.reduceat(acc, self.edges, axis=1) + 1e-4
         read = np.zeros(bound.shape, bool)
 
@@ -441,11 +447,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, np.ndarray] | fl
     sent.destroy()
     column = lambda c: [x for chunk in got.column(c).chunks for x in (chunk[k].values.to_numpy() for k in range(len(chunk)))]
     rows = sorted(zip(got.column("doc_id").to_pylist(), got.column("toxic").to_pylist(), column("t"), column("tf"), strict=True), key=lambda r: (r[0], r[2].tobytes(), r[3].tobytes()))
-    ids, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-    none, sizes = [np.zeros(0, np.int32)], np.array([len(r[2]) for r in rows])
-    t, tf = np.concatenate([r[2] for r in rows] + none), np.concatenate([r[3] for r in rows] + none)
-    whole = Whole(idf, t, tf, sizes, y, ids)
-    del rows, t, tf
+    whole = Whole(idf, [r[2] for r in rows], [r[3] for r in rows], np.array([r[1] for r in rows]), np.array([r[0] for r in rows]))
+    del rows, got
     y = whole.labels
     cut = lambda x: np.split(x, whole.own_cuts[1:-1])
     few = [{int(k): int(c) for k, c in zip(k.tolist(), c.tolist(), strict=True) if k >= 0} for k, c in zip(cut(of_lexicon[whole.own_term]), cut(whole.own_tf), strict=True)]

@@ -384,7 +384,7 @@ def test_whole_search_is_exact(monkeypatch):
     for block, share in ((64, 12), (50, 1000), (256, 1), (1000, 12)):
         monkeypatch.setattr(toxicity, "WHOLE_BLOCK", block)
         monkeypatch.setattr(toxicity, "DENSE", share)
-        made = toxicity.Whole(idf, np.concatenate(terms), np.concatenate(tfs), np.array([len(t) for t in terms]), np.zeros(n, int), np.arange(n))
+        made = toxicity.Whole(idf, terms, tfs, np.zeros(n, int), np.arange(n))
         whole = pickle.loads(pickle.dumps(made))
         text = np.repeat(np.arange(n), [len(t) for t in terms])
         for skip in (None, made.place.tolist()):
