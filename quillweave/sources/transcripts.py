@@ -107,7 +107,7 @@ def discover(spark: SparkSession, root: str, include_subagents: bool = False) ->
     """(file, changed, size, body) of the transcripts below root, or below its folder `projects` if there is one."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/projects")
     root = f"{root}/projects" if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else root
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl")
     files = files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("changed"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("body"))
     return files if include_subagents else files.where(~F.contains("file", F.lit("/subagents/")))
 
