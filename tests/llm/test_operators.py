@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import pickle
 import random
 import zlib
@@ -339,6 +340,33 @@ def test_token_counts_spell_all_words_they_can(spark):
     assert all(r["n_tokens"] > 1 for r in token_counts.count_tokens(docs, VOCABULARY).collect())
 
 
+def greedy(word: bytes, pieces: set[tuple[int, ...]]) -> int:
+    """Longest piece first; where that leaves no way to end the word, longest of those that don't end on its last letter."""
+    symbols = (*word, token_counts.WORD_END)
+    for avoid in (False, True):
+        at, n = 0, 0
+        while at < len(symbols):
+            to = next((k for k in range(len(symbols), at, -1) if symbols[at:k] in pieces and not (avoid and k == len(symbols) - 1)), None)
+            if to is None:
+                break
+            at, n = to, n + 1
+        else:
+            return n
+    return 1
+
+
+def test_token_counts_equal_brute_force(spark, sf):
+    pieces = set(token_counts.vocabulary(VOCABULARY))
+    known: dict[bytes, int] = {}
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        w = (r["text"] or "").encode().lower().split()
+        for x in set(w).difference(known):
+            known[x] = greedy(x, pieces)
+        want[r["doc_id"]] = (len(w), sum(known[x] for x in w), len((r["text"] or "").encode()))
+    assert {r["doc_id"]: (r["n_words"], r["n_tokens"], r["n_bytes"]) for r in token_counts.op5_token_counts(spark, sf).collect()} == want
+
+
 # 6. Toxicity
 
 
@@ -443,6 +471,36 @@ def test_embeddings_equal_brute_force(spark):
     assert got == {v: (links[v], low[v]) for v in unit}
 
 
+def test_embeddings_find_planted_pairs(spark):
+    """4,000 vectors of one label in 64 dimensions, 2,000 pairs of cosine 0.9802 to 0.995: at the depth that
+    this number gives, which is 4 or more, at least 99.9 % of the links are found, and no others."""
+    rng = np.random.default_rng(6)
+    a = rng.standard_normal((2000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.standard_normal((2000, 64))
+    side -= (side * a).sum(1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(0.9802, 0.995, (2000, 1))
+    x = np.concatenate([a, c * a + np.sqrt(1 - c * c) * side])
+    near = embeddings.unit(x) @ embeddings.unit(x).T >= 0.98
+    np.fill_diagonal(near, False)
+    assert math.ceil(math.log2(len(x) / embeddings.LEAF)) >= 4
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(df).collect()}
+    found = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (found <= near.sum(1)).all() and found.sum() >= 0.999 * near.sum() and near.sum() >= 4000
+    assert sum(got[2000 + i]["component_id"] == got[i]["component_id"] for i in range(2000)) >= 1998
+
+
+def test_forest_is_deeper_than_its_sample():
+    """Below the levels whose medians a sample tells, leaves still split."""
+    x = embeddings.unit(np.random.default_rng(1).standard_normal((600, 16)))
+    f = embeddings.Forest(x, 12, 0.0)
+    assert 0 < f.own < 12 and f.cuts.shape[1] == 2**f.own - 1 + 12 - f.own
+    r, c = f.leaves(x)
+    assert len(r) == len(x) * f.trees and np.bincount(np.unique(c, return_inverse=True)[1]).max() < 20
+
+
 def test_embeddings_odd_inputs(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], None), (4, None, 1), (5, [0.0, 0.0], 1), (6, [nan, 1.0], 1), (7, [inf, 1.0], 1), (8, [1.0, None], 1), (9, [1.0, 0.0, 0.0], 1), (10, [1.0, 0.0], 2), (11, [1.0, 0.0], 1), (12, [], 1)]
@@ -477,6 +535,17 @@ def test_warc_round_trip_and_faults(spark, tmp_path):
     assert warc.read(warc.write(pages.limit(0))).count() == 0
 
 
+def test_warc_odd_inputs(spark, odd_docs):
+    """Clashing columns, equal ids, long pages and nulls: a record per row, read back as it was."""
+    long = "<html>" + "long page " * 200_000
+    rows = [(1, "u", long), (1, "u", long), (1, "v", "other"), (None, None, None), (2, "", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for c in ("payload", "record_type", "blob", "refers_to", "digest", "archive"):
+        pages = pages.withColumn(c, F.lit("x"))
+    got = warc.read(warc.write(pages)).collect()
+    assert sorted((r["page_id"] or -1, r["payload_bytes"]) for r in got) == sorted((r[0] or -1, len(r[2] or "")) for r in rows)
+
+
 # 9. Packing
 
 
@@ -580,6 +649,24 @@ def test_proximity_starts_before_its_document(spark):
     assert got == {1: ["1"], 2: [], 3: ["1"], 4: []}
 
 
+def test_proximity_equals_brute_force(spark, monkeypatch):
+    """Some start has each term within `near` places; however segments are cut."""
+    rng = random.Random(3)
+    letters = [f"w{k}" for k in range(12)]
+    docs = [(i, " ".join(rng.choices(letters, k=rng.randint(0, 60)))) for i in range(120)]
+    items = [(i, " ".join(rng.choices(letters, k=rng.randint(1, 5)))) for i in range(30)]
+
+    def close(w, window, near):
+        return any(all(any(0 <= p < len(w) and w[p] == t for p in range(s + j - near, s + j + near + 1)) for j, t in enumerate(window)) for s in range(-near, len(w) + near))
+
+    want = {d: sorted(str(i) for i, t in items if any(close(text.split(), w, 1) for w in [tuple(x.decode() for x in win) for win in decontamination.windows_of(t, 3)])) for d, text in docs}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for size in (250_000, 300):
+        monkeypatch.setattr(decontamination, "SEGMENT_WORDS", size)
+        assert {r["doc_id"]: sorted(r["near"]) for r in decontamination.find(df, bench, 3, 1).collect()} == want
+
+
 def test_decontamination_odd_inputs(spark, odd_docs, no_docs):
     bench = spark.createDataFrame([(1, "two words")], "item_id long, text string")
     got = decontamination.find(odd_docs, bench).collect()
