@@ -111,25 +111,12 @@ def context_upsert(spark, sf_dir):
     return log.upsert(side(0, "current"), side(1, "update"), "user_id", "version")
 
 
-@query(f"""WITH {EVENTS}, a AS (SELECT DISTINCT session_id, conv_id FROM (SELECT *, session_id AS conv_id FROM e))
-SELECT e.event_id, e.session_id, e.sequence, count(*) OVER (PARTITION BY e.session_id) AS n_session FROM e JOIN a ON e.session_id = a.session_id""")
-def assignment_join_ordered(spark, sf_dir):
-    e = _events(spark, sf_dir)
-    assigned = e.select("session_id").distinct()
-    out = assigned.join(e, "session_id").withColumn("n_session", F.count("*").over(Window.partitionBy("session_id")))
-    return out.select("event_id", "session_id", "sequence", "n_session").orderBy("session_id", "sequence", "event_id")
-
-
-@query(f"WITH {EVENTS} SELECT DISTINCT doc_id, source FROM documents WHERE doc_id IN (SELECT session_id FROM e WHERE actor = 'user')")
-def referenced_semi(spark, sf_dir):
-    used = _events(spark, sf_dir).where("actor = 'user'").select(F.col("session_id").alias("doc_id"))
-    return _t(spark, sf_dir, "documents").select("doc_id", "source").join(used, "doc_id", "left_semi").distinct()
-
-
-@query(f"WITH {EVENTS} SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT session_id FROM e)")
+@query(f"""WITH {EVENTS} SELECT event_id, session_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY sequence DESC) AS r FROM e) WHERE r > 3""")
 def evidence_anti(spark, sf_dir):
-    used = _events(spark, sf_dir).select(F.col("session_id").alias("doc_id"))
-    return _t(spark, sf_dir, "documents").select("doc_id", "lang").join(used, "doc_id", "left_anti")
+    """What may be evidence: a session's events but the last three."""
+    e = _events(spark, sf_dir)
+    last = e.groupBy("session_id").agg(F.max("sequence").alias("as_of"))
+    return e.join(log.recent(e, last, 3, inclusive=True).select("event_id"), "event_id", "left_anti").select("event_id", "session_id")
 
 
 @query(f"""WITH {EVENTS} SELECT event_id, last_value(CASE WHEN actor = 'assistant' THEN event_id END IGNORE NULLS)
@@ -223,16 +210,6 @@ def relation_classify(spark, sf_dir):
     return _t(spark, sf_dir, "conversations").select("conv_id", "turn", T.relation(F.col("text")).alias("relation"), T.relation_confidence(F.col("text")).alias("confidence"))
 
 
-_REPLIES = [("a", "winner: A"), ("b", "I think both.\nVerdict: b because"), ("tie", '{"winner": "tie"}'), ("x", "no label here"), ("last", "winner: a ... winner: b")]
-_SQL_REPLY = "(VALUES " + ", ".join("({!r}, '{}')".format(k, v.replace("'", "''")) for k, v in _REPLIES) + ") r(kind, reply)"
-
-
-@query(r"""SELECT kind, coalesce(list_extract(regexp_extract_all(lower(reply), '["'']?(?:winner|verdict)["'']?\s*[:=]\s*["'']?(a|b|tie)\b', 1), -1),
-  CASE WHEN lower(trim(reply)) IN ('a', 'b', 'tie') THEN lower(trim(reply)) END) AS verdict FROM """ + _SQL_REPLY)
-def verdict_parse(spark, sf_dir):
-    return spark.createDataFrame(_REPLIES, "kind string, reply string").select("kind", T.verdict(F.col("reply")).alias("verdict"))
-
-
 @query("""SELECT conv_id, turn, CASE WHEN upper(trim(text)) LIKE 'NO%' OR contains(substr(upper(trim(text)), 1, 40), chr(10) || 'NO') THEN false
   WHEN upper(trim(text)) LIKE 'YES%' OR contains(substr(upper(trim(text)), 1, 40), chr(10) || 'YES') THEN true END AS said_yes FROM conversations""")
 def yes_no_parse(spark, sf_dir):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import arms, assembly, metrics, rank, routing, search, windows
+from ..operators import arms, assembly, material, rank, routing, search, windows
 from ..sources import generator, log
 from ..sources.durable import stored
 from .catalog import _COUNT, _sql_tokens, _t, query
@@ -283,3 +283,42 @@ def arrangement_reachability(spark, sf_dir):
 def stratified_sample(spark, sf_dir):
     """Twenty documents, spread over languages and, within each, over ids."""
     return arms.stratified_sample(_t(spark, sf_dir, "documents").select("doc_id", "lang"), 20, "lang", "doc_id")
+
+
+# Material of contexts
+
+
+def _material_sql(scope: str) -> str:
+    return f"""WITH e AS (SELECT conv_id AS sample_id, role AS context_id, turn AS sequence, conv_id || ':' || turn AS event_id, text AS content FROM conversations),
+q AS (SELECT sample_id, unnest({_sql_tokens('content')}) AS term FROM e WHERE sequence = 0), dt AS (SELECT *, {_sql_tokens('content')} AS t FROM e),
+st AS (SELECT {scope}, count(*) AS n, greatest(avg(len(t)), 1) AS mean FROM dt GROUP BY ALL), p AS (SELECT sample_id, context_id, event_id, len(t) AS dl, unnest(t) AS term FROM dt),
+df AS (SELECT {scope}, term, count(*) AS df FROM p GROUP BY ALL),
+sc AS (SELECT sample_id, context_id, event_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * {search.K1 + 1} / (1 + {search.K1} * ({1 - search.B} + {search.B} * dl / mean))) AS score
+  FROM p JOIN q USING (sample_id, term) JOIN df USING ({scope}, term) JOIN st USING ({scope}) GROUP BY ALL),
+a AS (SELECT e.*, coalesce(score, 0) AS score FROM e LEFT JOIN sc USING (sample_id, context_id, event_id))"""
+
+
+def _spoken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("sample_id"), F.col("role").alias("context_id"), F.col("turn").alias("sequence"), F.concat_ws(":", "conv_id", "turn").alias("event_id"), F.col("text").alias("content"))
+    return e.where("sequence = 0").select("sample_id", F.col("content").alias("query")), e
+
+
+@query(_material_sql("sample_id, context_id") + f""", r AS (SELECT *, max(score) OVER w > 0 AS found, row_number() OVER (PARTITION BY sample_id, context_id ORDER BY round(score, 9) DESC, event_id) AS best,
+  row_number() OVER (PARTITION BY sample_id, context_id ORDER BY sequence DESC) AS last FROM a WINDOW w AS (PARTITION BY sample_id, context_id))
+SELECT sample_id, context_id, md5(string_agg(substr(content, 1, 400), chr(10) ORDER BY sequence)) AS material_md5 FROM r WHERE CASE WHEN found THEN best <= {material.MATERIAL} AND score > 0 ELSE last <= {material.MATERIAL} END GROUP BY ALL""")
+def context_material(spark, sf_dir):
+    m = material.context_material(*_spoken(spark, sf_dir))
+    return m.select("sample_id", "context_id", F.md5(F.col("material").cast("binary")).alias("material_md5"))
+
+
+@query(_material_sql("sample_id") + """, b AS (SELECT sample_id, context_id, max(score) AS plausibility FROM a GROUP BY ALL)
+SELECT sample_id, context_id, round(plausibility, 6) AS plausibility, plausibility = 0 OR row_number() OVER (PARTITION BY sample_id ORDER BY round(plausibility, 9), context_id) = 1 AS is_control FROM b""")
+def weakest_control(spark, sf_dir):
+    return material.plausibility(*_spoken(spark, sf_dir)).withColumn("plausibility", F.round("plausibility", 6))
+
+
+@query("""WITH q AS (SELECT doc_id, ((doc_id * 7) % 5)::INT AS right_id FROM documents), u AS (SELECT doc_id AS question_id, x AS id, x = right_id AS gold FROM q, (SELECT unnest(range(5)) AS x))
+SELECT question_id, id, gold FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY gold DESC, md5('3:' || question_id || ':' || id), id) AS p FROM u) WHERE p <= 2 OR gold""")
+def corpus_sample(spark, sf_dir):
+    u = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("id"))
+    return material.corpus_sample(u.withColumn("gold", F.col("id") == (F.col("question_id") * 7) % 5), 2, 3)
