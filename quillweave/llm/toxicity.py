@@ -215,30 +215,47 @@ class Whole(Index):
         return column
 
     def _build(self) -> None:
-        """The index itself: built where a search is made, as its parts are larger than what they are made of."""
-        n, idf, t, tf, sizes = self.n, self.idf, self.own_term, self.own_tf, self.sizes
-        doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
-        w = idf[t] * (1 + np.log(tf))
-        self.norm = np.sqrt(np.bincount(doc, weights=w * w, minlength=n))
-        w = (w / self.norm[doc]).astype(np.float32)
+        """The index itself: built where a search is made, as its parts are larger than what they are made of,
+        and example block by block, which keeps down what is held besides."""
+        n, idf, t = self.n, self.idf, self.own_term
         self.column = self._common(idf, t, n)
-        c = self.column[t]
-        rest, common = np.flatnonzero(c < 0), np.flatnonzero(c >= 0)
-        weights = np.zeros((int(self.column.max(initial=-1)) + 1, n), np.float32)
-        weights[c[common], doc[common]] = w[common]
+        width = int(self.column.max(initial=-1)) + 1
         self.edges = np.arange(0, max(n, 1), WHOLE_BLOCK)
-        self.most = np.maximum.reduceat(weights, self.edges, axis=1) if n else weights
-        self.weights = [np.ascontiguousarray(weights[:, k : k + WHOLE_BLOCK]) for k in self.edges.tolist()]
+        self.norm, self.most, self.weights = np.zeros(n), np.zeros((width, len(self.edges)), np.float32), []
+        rest = self.column[t] < 0
+        size = int(np.count_nonzero(rest))
+        docs, weights, terms = np.empty(size, np.int32), np.empty(size, np.float32), t[rest]
+        del rest
+        done = 0
+        for k, e in enumerate(self.edges.tolist()):
+            last = min(e + WHOLE_BLOCK, n)
+            at = slice(self.own_cuts[e], self.own_cuts[last])
+            doc = np.repeat(np.arange(last - e), self.sizes[e:last])
+            w = idf[t[at]] * (1 + np.log(self.own_tf[at]))
+            self.norm[e:last] = np.sqrt(np.bincount(doc, weights=w * w, minlength=last - e))
+            w /= self.norm[e:last][doc]
+            c = self.column[t[at]]
+            block = np.zeros((width, last - e), np.float32)
+            block[c[c >= 0], doc[c >= 0]] = w[c >= 0]
+            self.weights.append(block)
+            self.most[:, k] = block.max(1, initial=0)
+            here = slice(done, done + int(np.count_nonzero(c < 0)))
+            docs[here], weights[here] = doc[c < 0] + e, w[c < 0]
+            done = here.stop
         # postings of the terms that aren't common, by term
-        by = rest[np.argsort(t[rest], kind="stable")]
-        self.docs, self.rest = doc[by].astype(np.int64), w[by].astype(np.float64)
-        self.cuts = np.searchsorted(t[by], np.arange(len(idf) + 1))
+        by = np.argsort(terms, kind="stable").astype(np.int32)
+        self.cuts = np.r_[0, np.cumsum(np.bincount(terms, minlength=len(idf)))]
+        del terms
+        self.docs = docs[by]
+        del docs
+        self.rest = weights[by]
         self.spot = np.full(len(idf), -1, np.int32)
 
     def __getstate__(self) -> bytes:
         """What it is made of, packed: an index is built where it is used."""
         steps = np.diff(self.own_term, prepend=np.int32(0))  # terms ascend within an example
-        return zlib.compress(pickle.dumps((self.idf, steps, self.own_tf, self.sizes, self.labels, self.ids)), 1)
+        tf = self.own_tf if self.own_tf.max(initial=0) > 65_535 else self.own_tf.astype(np.uint16)
+        return zlib.compress(pickle.dumps((self.idf, steps, tf, self.sizes, self.labels, self.ids)), 1)
 
     def __setstate__(self, packed: bytes) -> None:
         idf, steps, *rest = pickle.loads(zlib.decompress(packed))
