@@ -14,11 +14,18 @@ SOLVED_LIMIT, LEAST_OPEN, LEAST_SHARE, LONG_SHARE = 0.75, 25, 0.20, 0.05
 
 def arrange(dialogues: DataFrame, how: str = "blocks", seed: int = 0) -> DataFrame:
     """dialogues (dialogue_id, kind 'truth' or 'noise', number) with a place in the stream: truth then noise, each in
-    its order (blocks); in turn (interleaved); or by a seeded hash (shuffled). Places are the same for every run."""
-    key = {"blocks": (F.col("kind") != "truth").cast("string"), "interleaved": F.lit(""), "shuffled": F.md5(F.concat_ws(":", F.lit(str(seed)), "kind", "number").cast("binary"))}[how]
-    order = [key, F.col("number"), F.col("kind").desc()] if how != "shuffled" else [key, F.col("kind"), F.col("number")]
-    # one row per dialogue, not per sentence
-    return dialogues.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long") - 1)
+    its order (blocks); in turn (interleaved); or by a seeded hash (shuffled). Places are the same for every run.
+
+    Shuffled dialogues are dealt into buckets by the hash's first two digits, which are counted and summed up,
+    and the others by runs of numbers, so no task numbers all of them."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), "kind", "number").cast("binary"))
+    run = F.format_string("%012d", F.floor(F.col("number") / 4096).cast("long"))
+    bucket = {"blocks": F.concat(F.when(F.col("kind") == "truth", "0").otherwise("1"), run), "interleaved": run, "shuffled": F.left(h, F.lit(2))}[how]
+    order = {"blocks": ["number"], "interleaved": ["number", F.desc("kind")], "shuffled": ["_h", "kind", "number"]}[how]
+    d = dialogues.withColumns({"_h": h, "_b": bucket})
+    below = d.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_below", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).drop("_n")
+    place = F.col("_below") + F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1
+    return d.join(below, "_b").withColumn("place", place).drop("_h", "_b", "_below")
 
 
 def pack_sentences(costs: Column, size: int) -> Column:

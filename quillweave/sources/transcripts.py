@@ -64,8 +64,9 @@ def blocks(record: dict) -> tuple[list[dict], int]:
     return out, thinking
 
 
-def read_file(path: str, changed: datetime, body: str) -> list[tuple]:
-    """Rows of SCHEMA: events, and rows without an event for what was skipped (status says why)."""
+def read_file(path: str, changed: datetime, body: str, source: str = "agent") -> list[tuple]:
+    """Rows of SCHEMA: events, and rows without an event for what was skipped (status says why). source
+    begins the ids of sessions."""
     stem, session, position = path.rsplit("/", 1)[-1].removesuffix(".jsonl"), None, 0
     calls: dict[str, str] = {}
     first: dict[str, str] = {}
@@ -82,7 +83,7 @@ def read_file(path: str, changed: datetime, body: str) -> list[tuple]:
             note("malformed")
             continue
         if session is None:
-            session = f"claude:{record.get('sessionId') or record.get('session_id') or stem}" + (f":subagent:{stem}" if "/subagents/" in path else "")
+            session = f"{source}:{record.get('sessionId') or record.get('session_id') or stem}" + (f":subagent:{stem}" if "/subagents/" in path else "")
         found, thinking = blocks(record)
         for _ in range(thinking):
             note("thinking")
@@ -112,14 +113,14 @@ def discover(spark: SparkSession, root: str, include_subagents: bool = False) ->
     return files if include_subagents else files.where(~F.contains("file", F.lit("/subagents/")))
 
 
-def parse(files: DataFrame) -> DataFrame:
+def parse(files: DataFrame, source: str = "agent") -> DataFrame:
     names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples():
                 at = r.changed.to_pydatetime()
-                out = pd.DataFrame(read_file(r.file, at if at.tzinfo else at.replace(tzinfo=UTC), r.body), columns=names)
+                out = pd.DataFrame(read_file(r.file, at if at.tzinfo else at.replace(tzinfo=UTC), r.body, source), columns=names)
                 out["occurred_at"] = pd.to_datetime(out["occurred_at"], utc=True)
                 yield out.astype({"sequence": "Int32"})
 

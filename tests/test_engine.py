@@ -188,8 +188,8 @@ def test_transcripts_become_events(spark, tmp_path):
     parsed = stored(transcripts.parse(files))
     none = spark.createDataFrame([], "event_id string")
     got = {r["sequence"]: r for r in transcripts.new_events(parsed, none).collect()}
-    assert [got[k]["event_id"] for k in sorted(got)] == ["claude:S:u1:0:message", "claude:S:u2:0:message", "claude:S:u2:1:tool_call", "claude:S:u3:0:tool_result", "claude:S:u3:1:artifact"]
-    assert got[3]["content"] == 'read\n{"a": 2, "b": 1}' and got[4]["content"] == "one\ntwo" and got[4]["parent_event_id"] == got[3]["event_id"] and got[2]["parent_event_id"] == got[1]["event_id"] == "claude:S:u1:0:message"
+    assert [got[k]["event_id"] for k in sorted(got)] == ["agent:S:u1:0:message", "agent:S:u2:0:message", "agent:S:u2:1:tool_call", "agent:S:u3:0:tool_result", "agent:S:u3:1:artifact"]
+    assert got[3]["content"] == 'read\n{"a": 2, "b": 1}' and got[4]["content"] == "one\ntwo" and got[4]["parent_event_id"] == got[3]["event_id"] and got[2]["parent_event_id"] == got[1]["event_id"] == "agent:S:u1:0:message"
     assert got[5]["actor"] == "user" and json.loads(got[5]["payload"])["binary_omitted"] and got[1]["occurred_at"].hour == 3
     r = transcripts.report(files, parsed, none).first().asDict()
     assert (r["imported_events"], r["skipped_thinking"], r["skipped_meta_records"], r["malformed_records"], r["existing_events"], r["imported_sessions"], r["discovered_sessions"]) == (5, 1, 2, 2, 0, 1, 1)
