@@ -33,7 +33,7 @@ from .token_counts import byte_symbols
 LENGTH = 2048
 END = 0
 UNIT = 16
-CACHED = 300_000  # different chunks of text that a worker keeps the ids of
+CACHED = 300_000  # different chunks of text that a task keeps the ids of
 
 
 class WordPieces:
@@ -100,6 +100,10 @@ class ChunkTokenizer:
             spec = json.load(f)
         self.fast = WordPieces(spec) if WordPieces.fits(spec) else None
 
+    def forget(self) -> None:
+        """Lets go of the chunks, so that a worker that goes on to other work doesn't hold them."""
+        self.known = {"": b""}
+
     def learn(self, chunks: list[str]) -> None:
         fast, slow = [], chunks
         if self.fast:
@@ -120,8 +124,8 @@ class ChunkTokenizer:
             except KeyError:
                 pass
             if len(known) > CACHED:
-                known.clear()
-                known[""] = b""
+                self.forget()
+                known = self.known
             new = list(set(chunks).difference(known))
             self.learn(new)
             yield b"".join(map(known.__getitem__, chunks))
@@ -132,7 +136,7 @@ class ChunkTokenizer:
 
 @functools.cache
 def tokenizer_of(path: str) -> ChunkTokenizer:
-    """One tokenizer, with the chunks it knows, for all tasks of a worker."""
+    """One tokenizer for all tasks of a worker."""
     return ChunkTokenizer(path)
 
 
@@ -153,6 +157,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END
                         column.append(v)
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        tok.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -141,7 +141,7 @@ def vocabulary(path: str) -> list[tuple[int, ...]]:
 
 @functools.cache
 def counters(path: str) -> tuple[Automaton, Placeable, dict[bytes, int]]:
-    """One automaton, with the counts of words it knows, for all tasks of a worker."""
+    """One automaton for all tasks of a worker, and the counts of words that a task knows."""
     pieces = vocabulary(path)
     return Automaton(pieces), Placeable(pieces), {}
 
@@ -171,6 +171,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
                         if len(x) > LONGEST_CACHED:
                             known.pop(x, None)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n_words, n_tokens, n_bytes))], ["doc_id", "n_words", "n_tokens", "n_bytes"])
+        known.clear()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_bytes long")
 

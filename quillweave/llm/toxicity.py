@@ -51,6 +51,7 @@ K = 15
 BLOCK = 64
 FLUSH = 400_000
 TEXTS = 64  # compared at once
+WORDS = 80_000  # different words that a task keeps the terms of
 WHOLE_BLOCK = 256
 DENSE = 12
 FOLDS = 5
@@ -94,7 +95,7 @@ class Terms:
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, count) of the different terms of each text, in the order of both."""
         tokens = [words(t) for t in texts]
-        if len(self.known) > 150_000:
+        if len(self.known) > WORDS:
             self.__init__(self.vocabulary)
         new = list(set().union(*tokens).difference(self.known))
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
@@ -503,7 +504,7 @@ def score(docs: DataFrame, labels: DataFrame, names: tuple[str, str, str] = ("sc
             texts = b.column(at).to_pylist()
             keys = [hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in texts]
             new = {k: t for k, t in zip(keys, texts, strict=True) if k not in known}
-            if len(known) > 50_000:
+            if len(known) > 20_000:
                 known.clear()
                 new = dict(zip(keys, texts, strict=True))
             x, near = examples.features(len(new), *find(list(new.values())))
