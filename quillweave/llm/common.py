@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,12 @@ def frugal(f):
     return run
 
 
+def let_go(sent: Broadcast) -> None:
+    """At a task's end, drops the worker's copy of what was sent, which an idle worker would hold
+    on to; the next task loads it again."""
+    sent.__dict__.pop("_value", None)
+
+
 def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Parts of a batch, so that its texts become Python strings a few at a time."""
     for i in range(0, batch.num_rows, rows):

@@ -5,9 +5,9 @@ a Huffman tree of the FREQUENT commonest training tokens and an escape. Predicto
 counts of zeros and ones by a hash of the tree's node and a context: none, the token before,
 the two before, the one before that, and the last two of the COMMON commonest tokens, which
 tell language and phrase. Their stretched probabilities are mixed by weights that a gate
-(trust in the contexts' counts, depth) selects, learned online. The mix is refined twice: it
-is scaled and shifted as the text's own errors say, after each BLOCK of tokens, and a map of
-mixed to seen probabilities, learned with the weights, is averaged in.
+(trust in the contexts' counts, depth) selects. The mix is refined twice: it is scaled and
+shifted online as the text's own errors say, after each BLOCK of tokens, and a map of mixed
+to seen probabilities, learned with the weights, is averaged in.
 
 A token behind the escape is new with the Good-Turing probability, or one of the other
 training tokens with its exact share, from the table of all token counts. A new one is
@@ -18,8 +18,11 @@ What is gathered: the exact counts of all training tokens, a table that grows wi
 corpus and is joined; and counts of hashed contexts over all places of all training texts,
 in tables of 2 ** SLOT_BITS slots a predictor, of a fixed size as each worker holds them
 (contexts of large corpora collide there; trust gates and weights learn how far they help).
-Counts are whole numbers, and the weights are learned in the order of a hash over a bounded
-sample (SAMPLE texts, SAMPLE_TYPES spellings), so scores don't depend on how rows are dealt.
+Weights and maps are learned over all places of all training texts (and the spellings of all
+training tokens) too, each bit's own count taken out: a Newton step from even weights, whose
+sums over all bits are added up by gate. Counts are whole numbers and weights are rounded
+far above the sums' last digits, so scores don't depend on how rows are dealt. Nothing is
+learned from a sample.
 
 Defined cases: a null or empty text is its end alone; repeated rows are scored one by one; a
 null id is never held out; without training texts every token is escaped and spelled with
@@ -39,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, id_fold, slices, stored, table
+from .common import frugal, id_fold, let_go, slices, stored, table
 
 FREQUENT = 65_535
 COMMON = 64
@@ -52,8 +55,10 @@ SPELL_ORDERS = (1, 2, 3, 4, 0)  # bytes before in the token; 0: all of them
 PRIOR = 0.4
 BLOCK = 256
 INERTIA = 100.0
-SAMPLE = 1500
-SAMPLE_TYPES = 40_000
+START = 0.2  # weight of each predictor before the Newton step
+RIDGE = 50.0
+SEEN = 30.0  # bits that the map has seen beforehand in each bucket
+DIGITS = 6  # of weights
 CACHED = 200_000
 FLUSH = 200_000
 BATCH_TOKENS = 30_000
@@ -153,11 +158,12 @@ class TokenCoder:
         top = np.minimum(size, DEEP)
         begin = self.tree.start[symbol]
         parts = []
-        for count, start, contexts in ((top, begin, long), (size - top, begin + top, [*short, *short])):
+        for count, start, contexts in ((top, begin, long), (size - top, begin + top, short)):
             path = np.arange(count.sum(), dtype=np.int32) + np.repeat((start - (np.cumsum(count) - count)).astype(np.int32), count)
             salt = self.tree.salts[path]
+            slots = [_slot(np.repeat(c, count), salt, SLOT_BITS) for c in contexts]
             # contexts that are cut short have tables of their own
-            slots = [self.tree.nodes[path], *(_slot(np.repeat(c, count), salt, SLOT_BITS) for c in contexts)]
+            slots = [self.tree.nodes[path], *slots, *slots[: 4 - len(slots)]]
             rest = np.repeat(text, count), np.repeat(((at - first) // BLOCK).astype(np.int32), count)
             parts.append((slots, self.tree.bits[path], *rest))
         slots = [np.concatenate(p) for p in zip(*(q[0] for q in parts), strict=True)]
@@ -199,100 +205,115 @@ class SpellCoder:
         return Bits(slots, bit, np.tile(np.arange(8, dtype=np.uint8), len(data)), item, np.zeros(len(bit), np.int32))
 
 
-class Mixer:
-    """Counts in tables (predictor, slot, bit), weights (gate, predictor and a constant) and the
-    refining map (gate, bucket)."""
+def _trust(n: np.ndarray) -> np.ndarray:
+    return (n >= 3).astype(np.uint8) + (n >= 30) + (n >= 300)
+
+
+def _stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return np.log((ones + np.float32(PRIOR)) / (zeros + np.float32(PRIOR))).astype(np.float16)
 
-    def __init__(self, tables: np.ndarray, places: int, trusted: tuple[int, int]):
-        self.places, self.trusted = places, trusted
-        self.gates, self.width = 16 * places, len(tables) + 1
-        self.weights = np.full((self.gates, self.width), 0.3, np.float64)
-        self.apm = np.tile(squash((np.arange(BUCKETS) - BUCKETS // 2) * 0.5), (self.gates, 1))
-        self.seen = np.full((self.gates, BUCKETS), 30.0)
-        self.bends = np.tile(50.0 * np.eye(self.width), (self.gates, 1, 1))
-        self.tables = tables
-
-    def frozen(self) -> Mixer:
-        """With stretched predictions and trust in place of the counts."""
-        n0, n1 = self.tables[:, :, 0].astype(np.float64), self.tables[:, :, 1].astype(np.float64)
-        self.stretched = np.log((n1 + PRIOR) / (n0 + PRIOR)).astype(np.float16).astype(np.float32)
-        self.trust = self._trust(n0 + n1)
-        self.tables = None
-        self.by_input = np.ascontiguousarray(self.weights.T, np.float32)
-        self.refining = self.apm.astype(np.float32).ravel()
-        return self
+
+class Gates:
+    """Tables of stretched predictions (a row each) and of trust, where predictors have it."""
+
+    def __init__(self, places: int, trusted: tuple[int, int], stretched: np.ndarray, trust: dict[int, np.ndarray]):
+        self.places, self.trusted, self.stretched, self.trust = places, trusted, stretched.astype(np.float32), trust
+        self.gates, self.width = 16 * places, len(stretched) + 1
 
     def __getstate__(self) -> dict:
-        """Half of the bytes: counts scaled to 16 bits slot by slot, half precision, trust only where used."""
-        out = dict(self.__dict__)
-        if self.tables is not None:
-            top = np.maximum(self.tables.max(2, keepdims=True) / 65_535, 1)
-            out["tables"] = np.rint(self.tables / top).astype(np.uint16)
-        else:
-            out["stretched"], out["trust"] = self.stretched.astype(np.float16), {k: self.trust[k] for k in self.trusted}
-        return out
+        """Half of the bytes: the tables hold half precision."""
+        return {**self.__dict__, "stretched": self.stretched.astype(np.float16)}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__ = state
-        if self.tables is None:
-            self.stretched = self.stretched.astype(np.float32)
+        self.__dict__ = {**state, "stretched": state["stretched"].astype(np.float32)}
 
-    @staticmethod
-    def _trust(n: np.ndarray) -> np.ndarray:
-        return (n >= 3).astype(np.uint8) + (n >= 30) + (n >= 300)
-
-    def inputs(self, b: Bits, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Stretched predictions (a row each) with a constant, and gates; own: each bit's count is taken out."""
-        x = np.full((self.width, len(b.bit)), 0.3, np.float32)
+    def gate(self, b: Bits) -> np.ndarray:
         gate = b.place.copy()
+        for k in self.trusted:
+            gate += np.take(self.trust[k], b.slots[k], mode="clip") * np.uint8(self.places * (4 if k == self.trusted[0] else 1))
+        return gate
+
+
+class Lessons(Gates):
+    """What a Newton step needs, summed over bits by gate. Predictions go by slot and bit, each
+    without that bit's own count, and so does trust."""
+
+    def __init__(self, tables: np.ndarray, places: int, trusted: tuple[int, int]):
+        own = np.empty((len(tables), 2 * tables.shape[1]), np.float16)
+        for t, out in zip(tables, own, strict=True):
+            zeros, ones = t[:, 0], t[:, 1]
+            out[0::2], out[1::2] = _stretched(np.maximum(zeros - 1, 0), ones), _stretched(zeros, np.maximum(ones - 1, 0))
+        super().__init__(places, trusted, own, {k: _trust(tables[k].sum(1) - 1) for k in trusted})
+
+    def none(self) -> list[np.ndarray]:
+        """Sums over no bits: slopes, bends, and bits by bucket of the map."""
+        return [np.zeros((self.gates, self.width)), np.zeros((self.gates, self.width, self.width)), np.zeros((self.gates, BUCKETS, 2))]
+
+    def add(self, sums: list[np.ndarray], b: Bits) -> None:
+        gate = self.gate(b)
+        x = np.full((self.width, len(gate)), 0.3, np.float32)
+        mixed = np.zeros(len(gate), np.float32)
         for k, s in enumerate(b.slots):
-            if self.tables is None:
-                np.take(self.stretched[k], s, out=x[k])
-                t = np.take(self.trust[k], s) if k in self.trusted else None
-            else:
-                n = self.tables[k][s].astype(np.float64)
-                if own:
-                    at = np.arange(len(n)), b.bit
-                    n[at] = np.maximum(n[at] - 1, 0)
-                x[k] = np.log((n[:, 1] + PRIOR) / (n[:, 0] + PRIOR))
-                t = self._trust(n.sum(1))
-            if k in self.trusted:
-                gate += t * np.uint8(self.places * (4 if k == self.trusted[0] else 1))
-        return x, gate
-
-    def learn(self, b: Bits) -> None:
-        """One online Newton step over the bits: weights by their errors, then the map."""
-        x, gate = self.inputs(b, own=True)
-        mixed = np.einsum("ji,ij->i", x, self.weights[gate])
+            np.take(self.stretched[k], s * np.uint32(2) + b.bit, out=x[k], mode="clip")
+            mixed += x[k]
+        mixed *= np.float32(START)
+        seen = (gate * np.int32(BUCKETS) + _bucket(mixed)) * 2 + b.bit
+        sums[2] += np.bincount(seen, minlength=sums[2].size).reshape(sums[2].shape)
         p = squash(mixed)
-        err, bend = b.bit - p, p * (1 - p)
-        sums = lambda v: np.bincount(gate, weights=v, minlength=self.gates)
-        for i in range(self.width):
-            for j in range(i + 1):
-                v = sums(bend * x[i] * x[j])
-                self.bends[:, i, j] += v
-                if i != j:
-                    self.bends[:, j, i] += v
-        self.weights += np.linalg.solve(self.bends, np.stack([sums(err * v) for v in x], 1)[:, :, None])[:, :, 0]
-        at = gate * np.int64(BUCKETS) + _bucket(mixed)
-        n = np.bincount(at, minlength=self.gates * BUCKETS).reshape(self.apm.shape)
-        ones = np.bincount(at, weights=b.bit, minlength=self.gates * BUCKETS).reshape(self.apm.shape)
-        self.apm = (self.apm * self.seen + ones) / (self.seen + n)
-        self.seen += n
+        order = np.argsort(gate, kind="stable")
+        cuts = np.searchsorted(gate[order], np.arange(self.gates + 1))
+        x, err, bend = np.take(x, order, axis=1), (b.bit - p)[order], (p * (1 - p))[order]
+        for g in np.flatnonzero(np.diff(cuts)).tolist():
+            here = slice(cuts[g], cuts[g + 1])
+            own = x[:, here].astype(np.float64)
+            sums[0][g] += own @ err[here]
+            sums[1][g] += (own * bend[here]) @ own.T
+
+
+class Mixer(Gates):
+    """Predictions from counts in tables (predictor, slot, bit), weights (gate, predictor and a
+    constant) and the refining map (gate, bucket), learned by the sums of Lessons."""
+
+    def __init__(self, tables: np.ndarray, places: int, trusted: tuple[int, int], sums: list[np.ndarray]):
+        stretched = np.empty(tables.shape[:2], np.float16)
+        for t, out in zip(tables, stretched, strict=True):
+            out[:] = _stretched(t[:, 0], t[:, 1])
+        super().__init__(places, trusted, stretched, {k: _trust(tables[k].sum(1)) for k in trusted})
+        slopes, bends, seen = sums
+        start = np.array([*[START] * len(tables), 0.0])
+        step = np.linalg.solve(bends + RIDGE * np.eye(self.width), slopes[:, :, None])[:, :, 0]
+        self.weights = np.round(start + np.clip(step, -1, 1), DIGITS)
+        even = squash((np.arange(BUCKETS) - BUCKETS // 2) * 0.5)
+        self.apm = (even * SEEN + seen[:, :, 1]) / (SEEN + seen.sum(2))
+        self.by_input = np.ascontiguousarray(self.weights.T, np.float32)
+        self.refining = self.apm.astype(np.float32).ravel()
+
+    def inputs(self, b: Bits) -> tuple[np.ndarray, np.ndarray]:
+        """Stretched predictions (a row each) with a constant, and gates."""
+        x = np.full((self.width, len(b.bit)), 0.3, np.float32)
+        for k, s in enumerate(b.slots):
+            np.take(self.stretched[k], s, out=x[k], mode="clip")
+        return x, self.gate(b)
 
     def log10(self, b: Bits, items: int) -> np.ndarray:
         """log10 probabilities of the items; the mix follows an item's errors from block to block."""
         x, gate = self.inputs(b)
-        mixed = np.zeros(len(b.bit), np.float32)
+        gate = gate.astype(np.intp)
+        mixed, part = np.zeros(len(b.bit), np.float32), np.empty(len(b.bit), np.float32)
         for v, w in zip(x, self.by_input, strict=True):
-            mixed += v * w[gate]
+            np.take(w, gate, out=part, mode="clip")
+            part *= v
+            mixed += part
         last = np.zeros(items, np.int32)
         np.maximum.at(last, b.item, b.block)
         if last.any():
             self._follow(b, mixed, last)
         np.clip(mixed, -12, 12, out=mixed)
-        p = np.float32(0.5) / (1 + np.exp(-mixed)) + np.float32(0.5) * self.refining[gate * np.int32(BUCKETS) + _bucket(mixed)]
-        p = np.clip(np.where(b.bit == 1, p, 1 - p), FLOOR, 1 - FLOOR)
+        np.take(self.refining, gate * BUCKETS + _bucket(mixed), out=part, mode="clip")
+        np.exp(np.negative(mixed, out=mixed), out=mixed)
+        mixed += 1
+        p = (np.reciprocal(mixed, out=mixed) + part) * np.float32(0.5)
+        p = np.clip(np.where(b.bit, p, 1 - p), FLOOR, 1 - FLOOR)
         return np.bincount(b.item, weights=np.log10(p), minlength=items)
 
     def _follow(self, b: Bits, mixed: np.ndarray, last: np.ndarray) -> None:
@@ -301,8 +322,9 @@ class Mixer:
         number = np.full(len(last), -1, np.int32)
         number[long] = np.arange(len(long), dtype=np.int32) * self.places
         rows = np.flatnonzero(last[b.item])
-        rows = rows[np.argsort(b.block[rows], kind="stable")]
-        cuts = np.searchsorted(b.block[rows], np.arange(last.max() + 2))
+        block = b.block[rows].astype(np.min_scalar_type(int(last.max())))  # few bytes are sorted faster
+        order = np.argsort(block, kind="stable")
+        rows, cuts = rows[order], np.searchsorted(block[order], np.arange(last.max() + 2))
         cells = len(long) * self.places
         slope, shift, by_slope, by_shift = (np.zeros(cells) for _ in range(4))
         for k in range(last.max() + 1):
@@ -324,7 +346,7 @@ class Mixer:
 
 
 def _bucket(mixed: np.ndarray) -> np.ndarray:
-    return np.rint(np.clip(mixed, -8, 8) * 2).astype(np.int32) + BUCKETS // 2
+    return np.rint(np.clip(mixed, -8, 8) * np.float32(2)).astype(np.int32) + np.int32(BUCKETS // 2)
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
@@ -444,23 +466,30 @@ def _runs(tokens: Iterable[bytes], size: int = 40_000) -> Iterator[list[bytes]]:
         yield run
 
 
-def _trained(rows: DataFrame, mixer: Mixer, bits_of: Callable[[Iterable[pa.RecordBatch]], Iterator[Bits]]) -> Mixer:
-    """The mixer after one pass over rows, a bounded sample in its order in one task."""
-    sent = rows.sparkSession.sparkContext.broadcast(mixer)
+def _trained(rows: DataFrame, coder: Callable, bits_of: Callable[[Iterable[pa.RecordBatch]], Iterator[Bits]]) -> Mixer:
+    """The mixer of all rows: counts first, then the sums of a Newton step, a fixed number a task."""
+    tables = gathered(rows, coder, bits_of)
+    lessons = Lessons(tables, coder.places, coder.trusted)
+    sums = lessons.none()
+    sent = rows.sparkSession.sparkContext.broadcast(lessons)  # tables of a fixed size
+    del lessons
 
     @frugal
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        sums = sent.value.none()
         for b in bits_of(batches):
-            m.learn(b)
-        yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.apm.tobytes()], pa.binary())], ["weights", "apm"])
+            sent.value.add(sums, b)
+        let_go(sent)
+        every = np.concatenate([x.ravel() for x in sums])
+        some = np.flatnonzero(every)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(every[some])], ["cell", "v"])
 
-    got = rows.mapInArrow(run, "weights binary, apm binary").collect()  # one row of a fixed size
+    got = rows.mapInArrow(run, "cell int, v double").groupBy("cell").agg(F.sum("v").alias("v")).toArrow()
     sent.destroy()
-    if got:
-        mixer.weights = np.frombuffer(got[0]["weights"]).reshape(mixer.weights.shape)
-        mixer.apm = np.frombuffer(got[0]["apm"]).reshape(mixer.apm.shape)
-    return mixer.frozen()
+    every = np.zeros(sum(x.size for x in sums))
+    every[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    parts = np.split(every, np.cumsum([x.size for x in sums])[:-1])
+    return Mixer(tables, coder.places, coder.trusted, [p.reshape(x.shape) for p, x in zip(parts, sums, strict=True)])
 
 
 class Model:
@@ -493,21 +522,16 @@ def fit(docs: DataFrame, counts: DataFrame) -> Model:
             for _, texts in _groups(b, 0):
                 codes = reader(texts)
                 yield sent.value([(reader.symbols[c], reader.kinds[c]) for c in codes])
+        let_go(sent)
 
     def spell_bits(batches: Iterable[pa.RecordBatch]) -> Iterator[Bits]:
         for run in _runs(t for b in batches for t in b.column(0).to_pylist()):
             yield SpellCoder()(run)
 
-    mixer = Mixer(gathered(docs.select("text"), coder, token_bits), coder.places, coder.trusted)
     types = counts.where(F.col("token") != F.lit(END)).select("token")
-    speller = Mixer(gathered(types, SpellCoder, spell_bits), SpellCoder.places, SpellCoder.trusted)
-    order = F.xxhash64("doc_id")
-    picked = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(order, "doc_id").limit(SAMPLE)
-    texts = docs.join(F.broadcast(picked), "doc_id").repartition(1).sortWithinPartitions(order, "doc_id", F.xxhash64("text"), "text")
-    mixer = _trained(texts.select("text"), mixer, token_bits)
-    some = types.orderBy(F.xxhash64("token"), "token").limit(SAMPLE_TYPES).repartition(1).sortWithinPartitions(F.xxhash64("token"), "token")
+    mixer, speller = _trained(docs.select("text"), coder, token_bits), _trained(types, SpellCoder, spell_bits)
     frequent = np.array([ends, 0, *(r["c"] for r in top)], np.int64)
-    return Model(coder, mixer, _trained(some, speller, spell_bits), frequent, rare, single)
+    return Model(coder, mixer, speller, frequent, rare, single)
 
 
 def score(docs: DataFrame, folds: int = 10, held_out: int = 0) -> DataFrame:
@@ -550,6 +574,8 @@ def score(docs: DataFrame, folds: int = 10, held_out: int = 0) -> DataFrame:
                     nulls = [pa.nulls(e, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
                     yield pa.RecordBatch.from_arrays([pa.array(i + rid), *nulls, pa.array([reader.names[x] for x in u], pa.binary()), pa.array(m)], NAMES)
                 rid += none
+        del model, reader
+        let_go(sent)
 
     schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, token binary, n long"
     out = stored(docs.select("doc_id", "text", "held_out").mapInArrow(run, schema), "scored")
@@ -569,6 +595,8 @@ def score(docs: DataFrame, folds: int = 10, held_out: int = 0) -> DataFrame:
                 spelled.clear()
             base = n * np.log10((c + 0.1) / below)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base), pa.array(n * (c > 0)), pa.array(n * lp)], ["rid", "base", "known", "lp"])
+        del model, spelled
+        let_go(sent)
 
     rare = rare.select("rid", "token", "n", "c").mapInArrow(escaped, "rid long, base double, known long, lp double")
     rare = rare.groupBy("rid").agg(F.sum("base").alias("rare_base"), F.sum("known").alias("rare_known"), F.sum("lp").alias("rare_lp"))

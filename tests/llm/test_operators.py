@@ -234,6 +234,40 @@ def test_lm_codes_are_probabilities(small_model):
     assert (10 ** model.speller.log10(lead, 256)).sum() == pytest.approx(1.0, abs=1e-3)
 
 
+def test_lm_weights_come_from_all_texts(spark):
+    """One Newton step and the map, bit by bit over each of 1,800 texts, every bit's own count taken out."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choices("abcdefgh" if i % 3 else "ehxyz", k=rng.randrange(4)))) for i in range(1800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = lm.fit(df, lm.token_counts(df))
+    m, reader = model.mixer, lm.Reader(model.coder.symbol)
+    codes = reader([t for _, t in rows])
+    b = model.coder([(reader.symbols[c], reader.kinds[c]) for c in codes])
+    bits, slots = b.bit.tolist(), [s.tolist() for s in b.slots]
+    n: dict = {}
+    for k, s in enumerate(slots):
+        for at, bit in zip(s, bits, strict=True):
+            n.setdefault((k, at), [0, 0])[bit] += 1
+    trust = lambda x: (x >= 3) + (x >= 30) + (x >= 300)
+    slope, bend, seen = np.zeros(m.weights.shape), np.zeros((m.gates, m.width, m.width)), np.zeros((*m.apm.shape, 2))
+    for i, bit in enumerate(bits):
+        own = [list(n[k, s[i]]) for k, s in enumerate(slots)]
+        for c in own:
+            c[bit] -= 1
+        x = np.array([*(np.float16(np.log((c[1] + lm.PRIOR) / (c[0] + lm.PRIOR))) for c in own), 0.3], float)
+        g = (trust(sum(own[m.trusted[0]])) * 4 + trust(sum(own[m.trusted[1]]))) * m.places + int(b.place[i])
+        mixed = lm.START * x[:-1].sum()
+        q = 1 / (1 + np.exp(-mixed))
+        slope[g] += (bit - q) * x
+        bend[g] += q * (1 - q) * np.outer(x, x)
+        seen[g, int(np.rint(np.clip(mixed, -8, 8) * 2)) + lm.BUCKETS // 2, bit] += 1
+    start = np.array([*[lm.START] * (m.width - 1), 0])
+    want = start + np.linalg.solve(bend + lm.RIDGE * np.eye(m.width), slope[:, :, None])[:, :, 0]
+    assert np.abs(want - start).max() > 0.05 and m.weights == pytest.approx(want, abs=1e-4)
+    even = 1 / (1 + np.exp(-(np.arange(lm.BUCKETS) - lm.BUCKETS // 2) / 2))
+    assert seen.sum() == len(bits) and m.apm == pytest.approx((even * lm.SEEN + seen[:, :, 1]) / (lm.SEEN + seen.sum(2)), abs=2e-3)
+
+
 def test_lm_order_matters_and_partitions_do_not(spark, small_model):
     rows, df, model, _ = small_model
     reader = lm.Reader(model.coder.symbol)
