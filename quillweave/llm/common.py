@@ -52,6 +52,14 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def trim() -> None:
+    """Hands the memory that was freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def frugal(f):
     """f over Arrow batches, which at its end hands the memory it freed back to the system, so
     that idle workers of earlier stages don't add up."""
@@ -59,10 +67,7 @@ def frugal(f):
     @functools.wraps(f)
     def run(batches):
         yield from f(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
 
     return run
 

@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-import pickle
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -39,7 +38,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, id_fold, slices, stored, table
+from .common import frugal, id_fold, slices, stored, table, trim
 
 TOXIC = 4000
 CLEAN = 8000
@@ -199,7 +198,8 @@ class Whole(Index):
         order = np.lexsort((best, top))
         self.place = np.empty(n, np.int64)  # of each example as given; all else goes by place
         self.place[order] = np.arange(n)
-        join = lambda parts, kind: np.concatenate([parts[i].astype(kind) for i in order.tolist()] or [np.zeros(0, kind)])
+        # cast while they are joined, without a copy of each part
+        join = lambda parts, kind: np.concatenate([parts[i] for i in order.tolist()] or [np.zeros(0, kind)], dtype=kind, casting="unsafe")
         sizes = np.array([len(ts[i]) for i in order.tolist()], np.int64)
         self._hold(idf, join(ts, np.int32), join(tfs, np.uint32), sizes, labels[order], ids[order])
 
@@ -252,14 +252,15 @@ class Whole(Index):
         self.rest = weights[by]
         self.spot = np.full(len(idf), -1, np.int32)
 
-    def __getstate__(self) -> bytes:
-        """What it is made of, packed: an index is built where it is used."""
-        steps = np.diff(self.own_term, prepend=np.int32(0))  # terms ascend within an example
-        tf = self.own_tf if self.own_tf.max(initial=0) > 65_535 else self.own_tf.astype(np.uint16)
-        return zlib.compress(pickle.dumps((self.idf, steps, tf, self.sizes, self.labels, self.ids)), 1)
+    def __getstate__(self) -> list[tuple[str, bytes]]:
+        """What it is made of, packed array by array: an index is built where it is used."""
+        steps = lambda: np.diff(self.own_term, prepend=np.int32(0))  # noqa: E731  terms ascend within an example
+        tf = lambda: self.own_tf if self.own_tf.max(initial=0) > 65_535 else self.own_tf.astype(np.uint16)
+        parts = (lambda: self.idf, steps, tf, lambda: self.sizes, lambda: self.labels, lambda: self.ids)
+        return [((x := np.ascontiguousarray(part())).dtype.str, zlib.compress(x, 1)) for part in parts]
 
-    def __setstate__(self, packed: bytes) -> None:
-        idf, steps, *rest = pickle.loads(zlib.decompress(packed))
+    def __setstate__(self, packed: list[tuple[str, bytes]]) -> None:
+        idf, steps, *rest = (np.frombuffer(zlib.decompress(x), kind) for kind, x in packed)
         self._hold(idf, np.cumsum(steps, dtype=np.int32), *rest)
 
     def _exact(self, t: np.ndarray, w: np.ndarray, some: np.ndarray) -> np.ndarray:
@@ -464,14 +465,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, np.ndarray] | fl
     got = texts.select("doc_id", "text", "toxic").mapInArrow(vectors, "doc_id long, toxic int, t array<int>, tf array<int>").toArrow()
     sent.destroy()
     column = lambda c: [x for chunk in got.column(c).chunks for x in (chunk[k].values.to_numpy() for k in range(len(chunk)))]
-    rows = sorted(zip(got.column("doc_id").to_pylist(), got.column("toxic").to_pylist(), column("t"), column("tf"), strict=True), key=lambda r: (r[0], r[2].tobytes(), r[3].tobytes()))
+    digest = lambda *parts: hashlib.blake2b(b"".join(p.tobytes() for p in parts), digest_size=16).digest()
+    rows = sorted(zip(got.column("doc_id").to_pylist(), got.column("toxic").to_pylist(), column("t"), column("tf"), strict=True), key=lambda r: (r[0], digest(*r[2:])))
     whole = Whole(idf, [r[2] for r in rows], [r[3] for r in rows], np.array([r[1] for r in rows]), np.array([r[0] for r in rows]))
     del rows, got
+    trim()
     y = whole.labels
-    cut = lambda x: np.split(x, whole.own_cuts[1:-1])
-    few = [{int(k): int(c) for k, c in zip(k.tolist(), c.tolist(), strict=True) if k >= 0} for k, c in zip(cut(of_lexicon[whole.own_term]), cut(whole.own_tf), strict=True)]
+    few: list[dict[int, int]] = [{} for _ in y]
+    own = np.flatnonzero(of_lexicon[whole.own_term] >= 0)
+    place = np.searchsorted(whole.own_cuts, own, side="right") - 1
+    for i, k, c in zip(place.tolist(), of_lexicon[whole.own_term[own]].tolist(), whole.own_tf[own].tolist(), strict=True):
+        few[i][k] = c
     lexicon = Index(idf[lexicon_ids], few, y, whole.ids)
     sent = spark.sparkContext.broadcast((vocabulary, Examples(lexicon, of_lexicon, whole)))  # of TOXIC + CLEAN examples
+    del whole, lexicon, few, own, place, of_lexicon, vocabulary, idf, df
+    trim()
 
     @frugal
     def own_features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

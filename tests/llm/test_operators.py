@@ -6,6 +6,7 @@ import itertools
 import math
 import pickle
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -460,6 +461,20 @@ def test_whole_search_is_exact(monkeypatch):
                 assert np.allclose([s[whole.ids[e]] for _, e in got[i]], want, atol=1e-9)
 
 
+def test_whole_is_made_without_copies_of_its_parts():
+    """The driver holds the examples' terms and counts once more at most while it joins them."""
+    rng = np.random.default_rng(2)
+    terms = [np.sort(rng.choice(3000, 400, replace=False)).astype(np.int32) for _ in range(1500)]
+    tfs = [np.ones(400, np.int32) for _ in terms]
+    tracemalloc.start()
+    made = toxicity.Whole(np.ones(3000), terms, tfs, np.zeros(1500, int), np.arange(1500))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * made.own_term.nbytes
+    again = pickle.loads(pickle.dumps(made))
+    assert (again.own_term == made.own_term).all() and (again.own_tf == made.own_tf).all() and (again.sizes == made.sizes).all()
+
+
 def test_toxicity_keeps_clashing_columns_apart(odd_docs, spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (6, 0), (9, 1)], "doc_id long, toxic int")
     got = toxicity.score(odd_docs, labels, ("p", "near", "sim"))
