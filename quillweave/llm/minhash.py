@@ -340,7 +340,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n_words: int = WORD
     odd = None if odd.isEmpty() else odd
     dealt = classes.select("node", F.explode("bands").alias("key"))
     buckets = stored(dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    members = stored(dealt.join(buckets, "key"), "members")
+    # what shares no bucket stays out of the shuffles, but for the few that the filters let pass
+    members = stored(likely(dealt, "key", buckets).join(buckets, "key"), "members")
+    partners = stored(likely(classes.select("node", "doc_id", "sig"), "node", members), "partners")
     weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
     hubs = members.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
     pairs = members.join(hubs, "key").where("node <> hub").select("node", "hub").distinct()
@@ -349,10 +351,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n_words: int = WORD
     pairs = pairs.join(sizes, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), F.col("runs")).cast("int").alias("run"))
 
     def texts(nodes: DataFrame) -> DataFrame:
-        return _texts(docs, stored(classes.join(nodes.distinct(), "node", "left_semi").select("node", "doc_id"), "wanted"), odd, n_words)
+        return _texts(docs, stored(partners.join(nodes.distinct(), "node", "left_semi").select("node", "doc_id"), "wanted"), odd, n_words)
 
-    live = stored(_stars(pairs, classes, None, steps, percent, n_words), "live")
-    linked = _stars(live, classes, texts(live.select("node").union(live.select("hub"))), steps, percent, n_words)
+    live = stored(_stars(pairs, partners, None, steps, percent, n_words), "live")
+    linked = _stars(live, partners, texts(live.select("node").union(live.select("hub"))), steps, percent, n_words)
     links = stored(linked.select(F.col("node").alias("a"), F.col("hub").alias("b")), "links")
     if odd is not None:  # an id's several texts are one node
         same = signed.where("n_shingles > 0").join(odd.where("doc_id IS NOT NULL"), "doc_id").groupBy("doc_id", "h1").agg(F.count("*"))
@@ -373,7 +375,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n_words: int = WORD
         left = m.where("comp <> main").withColumn("c", F.explode(F.sequence(F.lit(0), F.col("cols") - 1))).withColumn("side", F.lit(0))
         right = m.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("side", F.lit(1))
         cells = left.union(right.select(left.columns)).select("hub", "r", "c", "side", "node", "comp", "main")
-        sig = classes.select("node", "sig")
+        sig = partners.select("node", "sig")
         near = stored(_cells(cells, sig, steps, percent, n_words, False), "near")
         more = stored(_cells(near, sig.join(texts(near.select("node")), "node"), steps, percent, n_words, True), "links")
         comp = stored(components(links.union(more)), "components")

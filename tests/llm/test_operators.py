@@ -119,6 +119,16 @@ def test_minhash_group_around_the_threshold(spark, monkeypatch, threshold, block
     assert 1 < len({low[d] for d in range(160)}) < 160
 
 
+def test_minhash_compares_only_what_shares_a_bucket(spark, monkeypatch):
+    """Classes without a bucket in common with another don't travel to the comparisons."""
+    rows = [(k, " ".join(f"u{k}y{i}" for i in range(30))) for k in range(300)]
+    rows += [(400 + k, " ".join([*(f"c{i}" for i in range(100)), f"end{k}"])) for k in range(3)]
+    seen, stars = [], minhash._stars
+    monkeypatch.setattr(minhash, "_stars", lambda pairs, classes, *rest: seen.append(classes.count()) or stars(pairs, classes, *rest))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 0.85).collect()}
+    assert got == {d: min(d, 400) for d, _ in rows} and seen and max(seen) < 20
+
+
 def test_minhash_links_of_many_pairs():
     """Both ways to intersect sets give the same links."""
     rng = np.random.default_rng(5)
