@@ -27,13 +27,11 @@ is the share of label 1 (0 without labels); an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import itertools
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,10 +47,11 @@ PREFIXES = (4, 5)
 K = 15
 BLOCK = 64
 FLUSH = 400_000
-TEXTS = 64  # compared at once
-WORDS = 80_000  # different words that a task keeps the terms of
+TEXTS = 256  # compared at once
+RUN = 1 << 18  # bytes of texts hashed at once
 WHOLE_BLOCK = 256
-DENSE = 12
+DENSE = 20  # about where products and postings cost the same; both sum all
+LEVELS = 65_535
 FOLDS = 5
 EVIDENCE = 3
 _UPPER = bytes(range(65, 91))
@@ -60,59 +59,90 @@ _SPACES = bytes(c for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or
 _TABLE = bytes.maketrans(_UPPER + _SPACES, _UPPER.lower() + b" " * len(_SPACES))
 
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(_TABLE).split()
-
-
 class Terms:
-    """Term ids of texts, by way of a bounded map of words. vocabulary: sorted 64-bit hashes, a
-    term's id being its place; without one, ids are the hashes."""
+    """Term ids of texts: of their words, and of the beginnings of longer ones. vocabulary: sorted
+    64-bit hashes, a term's id being its place; without one, ids are the hashes. Words are runs of
+    bytes, which are hashed all at once and never made Python objects."""
 
     def __init__(self, vocabulary: np.ndarray | None = None):
-        self.vocabulary, self.known, self.ids = vocabulary, {}, np.zeros((0, 1 + len(PREFIXES)), np.uint64 if vocabulary is None else np.int64)
-
-    def _of(self, new: list[bytes]) -> np.ndarray:
-        """The ids of each word's terms; a term that is none has the one before it or -1."""
-        # words by xxhash, beginnings (of a few bytes) as numbers, mixed with their length
-        size = np.fromiter(map(len, new), np.int64, len(new))
-        h = np.empty((len(new), 1 + len(PREFIXES)), np.uint64)
-        h[:, 0] = np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))
-        lead = np.array(new, f"S{max(PREFIXES)}").view(np.uint8).reshape(len(new), -1) if new else np.zeros((0, max(PREFIXES)), np.uint8)
+        self.vocabulary, self.powers = vocabulary, np.zeros(0, np.uint64)
+
+    def _hashes(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words of data, which begins and ends with a space, begin; and a row for each with the
+        hashes of its terms, where a term that is none has that of the word."""
+        x = np.frombuffer(data, np.uint8)
+        inside = x != 32
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        begin, size = edge[::2], edge[1::2] - edge[::2]
+        ends = np.cumsum(size)
+        if len(self.powers) <= size.max(initial=0):
+            self.powers = np.cumprod(np.full(int(size.max(initial=0)) + 64, 0x9E3779B97F4A7C15, np.uint64))
+        # sums of bytes times the power of their place in the word
+        place = np.arange(len(x) - np.count_nonzero(~inside))
+        place -= np.repeat(ends - size, size)
+        sums = np.zeros(len(place) + 1, np.uint64)
+        np.cumsum((x[inside].astype(np.uint64) + np.uint64(1)) * self.powers[place], out=sums[1:])
+        h = np.empty((len(size), 1 + len(PREFIXES)), np.uint64)
+        h[:, 0] = sums[ends] - sums[ends - size]
         for k, n in enumerate(PREFIXES, 1):
-            x = np.full(len(new), n, np.uint64)
-            for c in range(n):
-                x = x << np.uint64(8) | lead[:, c]
-            x *= np.uint64(0x9E3779B97F4A7C15)
-            h[:, k] = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-        none = size[:, None] <= np.array([0, *PREFIXES])
-        if self.vocabulary is None:
-            return np.where(none, h[:, :1], h)
-        at = np.searchsorted(self.vocabulary, h).clip(max=max(len(self.vocabulary) - 1, 0))
-        found = (self.vocabulary[at] == h if len(self.vocabulary) else np.zeros(h.shape, bool)) & ~none
-        return np.where(found, at, -1)
+            h[:, k] = np.where(size > n, sums[ends - size + np.minimum(size, n)] - sums[ends - size] + np.uint64(n * 0x94D049BB133111EB % 2**64), h[:, 0])
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return begin, h ^ h >> np.uint64(32)
+
+    @staticmethod
+    def _same(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the first of each number stands, by size, and the place of each in that."""
+        by = np.argsort(h)
+        new = np.r_[True, h[by[1:]] != h[by[:-1]]][: len(h)]
+        at = np.empty(len(h), np.int64)
+        at[by] = np.cumsum(new) - 1
+        return by[new], at
+
+    def _ids(self, h: np.ndarray) -> np.ndarray:
+        """The ids of terms, -1 for those not in the vocabulary; a word's term stands once."""
+        first, of = self._same(h.ravel())
+        some = h.ravel()[first]
+        if not len(self.vocabulary):
+            return np.full(h.shape, -1)
+        at = np.searchsorted(self.vocabulary, some).clip(max=len(self.vocabulary) - 1)
+        ids = np.where(self.vocabulary[at] == some, at, -1)[of].reshape(h.shape)
+        ids[:, 1:][h[:, 1:] == h[:, :1]] = -1
+        return ids
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, count) of the different terms of each text, in the order of both."""
-        tokens = [words(t) for t in texts]
-        if len(self.known) > WORDS:
-            self.__init__(self.vocabulary)
-        new = list(set().union(*tokens).difference(self.known))
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.ids = np.concatenate([self.ids, self._of(new)])
-        code = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(tokens)), np.int64)
-        text = np.repeat(np.arange(len(texts)), [len(t) for t in tokens])
-        pair, n = np.unique(text * np.int64(len(self.known) + 1) + code, return_counts=True)
-        text, code = pair // (len(self.known) + 1), pair % (len(self.known) + 1)
-        term, text, n = self.ids[code].ravel(), np.repeat(text, self.ids.shape[1]), np.repeat(n, self.ids.shape[1])
+        coded = [(t or "").encode() for t in texts]
+        ends = np.cumsum([len(c) + 1 for c in coded])
+        found, last = [(np.zeros(0, np.int64), np.zeros((0, 1 + len(PREFIXES)), np.uint64))], 0
+        while last < len(coded):  # about RUN bytes at once
+            i, last = last, max(last + 1, int(np.searchsorted(ends, (ends[last - 1] if last else 0) + RUN)))
+            begin, h = self._hashes(b"".join((b" ", b" ".join(coded[i:last]), b" ")).translate(_TABLE))
+            found.append((np.searchsorted(ends[i:last] - (ends[i - 1] if i else 0), begin - 1, side="right") + i, h))
+        text, h = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        if not len(text):
+            return text, text if self.vocabulary is not None else h[:, 0], np.zeros(0)
+        first, code = self._same(h[:, 0])
+        pair, n = np.unique(text * np.int64(len(first)) + code, return_counts=True)
+        text, code, h = pair // len(first), pair % len(first), h[first]
         if self.vocabulary is None:
+            term, text, n = h[code].ravel(), np.repeat(text, h.shape[1]), np.repeat(n, h.shape[1])
             # short words stand in for terms they don't have, which a set doesn't mind
             order = np.lexsort((term, text))
             term, text, n = term[order], text[order], n[order]
-            first = np.r_[True, (term[1:] != term[:-1]) | (text[1:] != text[:-1])] if len(term) else np.zeros(0, bool)
-            return text[first], term[first], n[first]
+            new = np.r_[True, (term[1:] != term[:-1]) | (text[1:] != text[:-1])]
+            return text[new], term[new], n[new]
+        term, text, n = self._ids(h)[code].ravel(), np.repeat(text, h.shape[1]), np.repeat(n, h.shape[1])
         some = term >= 0
-        pair, at = np.unique(text[some] * np.int64(len(self.vocabulary) + 1) + term[some], return_inverse=True)
-        n = np.bincount(at, weights=n[some], minlength=len(pair))
+        if not some.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        # a pair and its count in one number, as whole numbers sort faster than places
+        bits = np.int64(int(n.max()).bit_length())
+        packed = (text[some] * np.int64(len(self.vocabulary) + 1) + term[some]) << bits | n[some]
+        packed.sort()
+        pair = packed >> bits
+        new = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        pair, n = pair[new], np.add.reduceat(packed & ((np.int64(1) << bits) - 1), new).astype(float)
         return pair // (len(self.vocabulary) + 1), pair % (len(self.vocabulary) + 1), n
 
 
@@ -174,83 +204,65 @@ class Index:
 
 
 class Whole(Index):
-    """Block-max inverted index of whole vectors, given as arrays: terms and counts of all examples
+    """Inverted index of whole vectors, given as arrays: terms and counts of all examples
     one after another, and each example's number of terms.
 
-    Terms in at least 1 / DENSE of the examples have their weights, and their greatest ones per
-    block of WHOLE_BLOCK examples, in matrices; the postings of all others are short and are
-    summed first. A text's bound of a block is the sum of both parts' greatest; its best blocks
-    give it K similarities, and of the others only those are read whose bound reaches the K-th.
-    What comes near the K-th is summed once more in double precision, so the result is exact."""
+    Terms in at least 1 / DENSE of the examples have their weights in matrices, a block of
+    WHOLE_BLOCK examples each, in 16 bits and rounded up, and are summed by products; the
+    postings of all others are short and are summed one by one. So a sum is never too small,
+    and too large by no more than the rounding. What comes that near the K-th is summed once
+    more in double precision, so the result is exact."""
 
     def __init__(self, idf: np.ndarray, ts: list[np.ndarray], tfs: list[np.ndarray], labels: np.ndarray, ids: np.ndarray):
-        n = len(ts)
-        df = np.zeros(len(idf), np.int32)
-        for t in ts:
-            df[t] += 1
-        common = df * DENSE >= n
-        # examples whose weightiest common term is the same stand together, which keeps bounds tight
-        top, best = np.full(n, -1), np.zeros(n)
-        for i, (t, tf) in enumerate(zip(ts, tfs, strict=True)):
-            w = np.where(common[t], idf[t] * (1 + np.log(tf)), 0.0)
-            if len(w) and w.max() > 0:
-                top[i], best[i] = t[w.argmax()], w.max()
-        order = np.lexsort((best, top))
-        self.place = np.empty(n, np.int64)  # of each example as given; all else goes by place
-        self.place[order] = np.arange(n)
         # cast while they are joined, without a copy of each part
-        join = lambda parts, kind: np.concatenate([parts[i] for i in order.tolist()] or [np.zeros(0, kind)], dtype=kind, casting="unsafe")
-        sizes = np.array([len(ts[i]) for i in order.tolist()], np.int64)
-        self._hold(idf, join(ts, np.int32), join(tfs, np.uint32), sizes, labels[order], ids[order])
+        join = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)], dtype=kind, casting="unsafe")
+        self.place = np.arange(len(ts))  # of each example: as given
+        self._hold(idf, join(ts, np.int32), join(tfs, np.uint32), np.array([len(t) for t in ts], np.int64), labels, ids)
 
     def _hold(self, idf: np.ndarray, t: np.ndarray, tf: np.ndarray, sizes: np.ndarray, labels: np.ndarray, ids: np.ndarray) -> None:
         self.n, self.idf, self.own_term, self.own_tf, self.sizes, self.labels, self.ids = len(sizes), idf, t, tf, sizes, labels, ids
         self.own_cuts, self.weights = np.r_[0, np.cumsum(sizes)], None
 
-    @staticmethod
-    def _common(idf: np.ndarray, t: np.ndarray, n: int) -> np.ndarray:
-        """Columns of the terms that at least 1 / DENSE of the examples have, -1 for others."""
-        column = np.full(len(idf), -1, np.int32)
-        dense = np.flatnonzero(np.bincount(t, minlength=len(idf)) * DENSE >= max(n, 1))
-        column[dense] = np.arange(len(dense))
-        return column
-
     def _build(self) -> None:
         """The index itself: built where a search is made, as its parts are larger than what they are made of,
         and example block by block, which keeps down what is held besides."""
         n, idf, t = self.n, self.idf, self.own_term
-        self.column = self._common(idf, t, n)
-        width = int(self.column.max(initial=-1)) + 1
+        df = np.zeros(len(idf), np.int64)
+        for i in range(0, len(t), RUN):  # what is counted is cast first
+            df += np.bincount(t[i : i + RUN], minlength=len(idf))
+        # columns of the terms that at least 1 / DENSE of the examples have, -1 for others
+        common = np.flatnonzero(df * DENSE >= max(n, 1))
+        self.column, width = np.full(len(idf), -1, np.int32), len(common)
+        self.column[common] = np.arange(width)
         self.edges = np.arange(0, max(n, 1), WHOLE_BLOCK)
-        self.norm, self.most, self.weights = np.zeros(n), np.zeros((width, len(self.edges)), np.float32), []
-        rest = self.column[t] < 0
-        size = int(np.count_nonzero(rest))
-        docs, weights, terms = np.empty(size, np.int32), np.empty(size, np.float32), t[rest]
-        del rest
-        done = 0
-        for k, e in enumerate(self.edges.tolist()):
+        self.norm, self.weights, self.width = np.zeros(n), [], width
+        # postings of the others stand by term, and are put there block by block
+        df[common] = 0
+        self.cuts = np.r_[0, np.cumsum(df)]
+        self.posts = np.empty(self.cuts[-1], np.int64)  # an example and its weight in one number
+        docs, weights = self.posts.view(np.int32)[::2], self.posts.view(np.float32)[1::2]
+        free = self.cuts[:-1].copy()
+        for e in self.edges.tolist():
             last = min(e + WHOLE_BLOCK, n)
-            at = slice(self.own_cuts[e], self.own_cuts[last])
+            own = t[self.own_cuts[e] : self.own_cuts[last]]
             doc = np.repeat(np.arange(last - e), self.sizes[e:last])
-            w = idf[t[at]] * (1 + np.log(self.own_tf[at]))
+            w = idf[own] * (1 + np.log(self.own_tf[self.own_cuts[e] : self.own_cuts[last]]))
             self.norm[e:last] = np.sqrt(np.bincount(doc, weights=w * w, minlength=last - e))
             w /= self.norm[e:last][doc]
-            c = self.column[t[at]]
-            block = np.zeros((width, last - e), np.float32)
-            block[c[c >= 0], doc[c >= 0]] = w[c >= 0]
+            c = self.column[own]
+            block = np.zeros((width, last - e), np.uint16)
+            block[c[c >= 0], doc[c >= 0]] = np.minimum(np.ceil(w[c >= 0] * LEVELS), LEVELS)
             self.weights.append(block)
-            self.most[:, k] = block.max(1, initial=0)
-            here = slice(done, done + int(np.count_nonzero(c < 0)))
-            docs[here], weights[here] = doc[c < 0] + e, w[c < 0]
-            done = here.stop
-        # postings of the terms that aren't common, by term
-        by = np.argsort(terms, kind="stable").astype(np.int32)
-        self.cuts = np.r_[0, np.cumsum(np.bincount(terms, minlength=len(idf)))]
-        del terms
-        self.docs = docs[by]
-        del docs
-        self.rest = weights[by]
-        self.spot = np.full(len(idf), -1, np.int32)
+            own, doc, w = own[c < 0], doc[c < 0], w[c < 0]
+            by = np.argsort(own, kind="stable")
+            own = own[by]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
+            size = np.diff(np.r_[first, len(own)])
+            at = np.arange(len(own)) + np.repeat(free[own[first]] - first, size)
+            docs[at], weights[at] = doc[by] + e, w[by]
+            free[own[first]] += size
+        self.spot, self.asked = np.zeros(len(idf)), np.zeros(len(idf), bool)
+        self.logs = 1 + np.log(np.maximum(np.arange(min(int(self.own_tf.max(initial=0)), LEVELS) + 1), 1))
 
     def __getstate__(self) -> list[tuple[str, bytes]]:
         """What it is made of, packed array by array: an index is built where it is used."""
@@ -260,19 +272,25 @@ class Whole(Index):
         return [((x := np.ascontiguousarray(part())).dtype.str, zlib.compress(x, 1)) for part in parts]
 
     def __setstate__(self, packed: list[tuple[str, bytes]]) -> None:
-        idf, steps, *rest = (np.frombuffer(zlib.decompress(x), kind) for kind, x in packed)
-        self._hold(idf, np.cumsum(steps, dtype=np.int32), *rest)
+        parts = []
+        while packed:
+            kind, x = packed.pop(0)
+            parts.append(np.frombuffer(zlib.decompress(x), kind))
+        parts[1] = np.cumsum(parts[1], dtype=np.int32)
+        self._hold(*parts)
 
     def _exact(self, t: np.ndarray, w: np.ndarray, some: np.ndarray) -> np.ndarray:
-        n = self.sizes[some]
-        at = np.arange(n.sum()) + np.repeat(self.own_cuts[some] - (np.cumsum(n) - n), n)
-        self.spot[t] = np.arange(len(t), dtype=np.int32)
-        i = self.spot[self.own_term[at]]
-        self.spot[t] = -1
-        hit = np.flatnonzero(i >= 0)
-        at, i = at[hit], i[hit]
-        own = self.idf[self.own_term[at]] * (1 + np.log(self.own_tf[at]))
-        return np.bincount(np.repeat(np.arange(len(some)), n)[hit], weights=w[i] * own, minlength=len(some)) / self.norm[some]
+        spans = list(zip(self.own_cuts[some].tolist(), self.own_cuts[some + 1].tolist(), strict=True))
+        term = np.concatenate([self.own_term[a:b] for a, b in spans])
+        self.asked[t] = True  # small enough to stay in cache
+        at = np.flatnonzero(np.take(self.asked, term, mode="clip"))
+        self.asked[t] = False
+        self.spot[t] = w * self.idf[t]
+        ends = np.cumsum(self.sizes[some])
+        hits = np.diff(np.searchsorted(at, np.r_[0, ends]))
+        tf = self.own_tf[at + np.repeat(self.own_cuts[some + 1] - ends, hits)]
+        own = self.spot[term[at]] * (self.logs[tf] if len(tf) and int(tf.max()) < len(self.logs) else 1 + np.log(tf))
+        return np.bincount(np.repeat(np.arange(len(some)), hits), weights=own, minlength=len(some)) / self.norm[some]
 
     def search(self, texts: int, text: np.ndarray, t: np.ndarray, tf: np.ndarray, skip: list[int] | None = None) -> list[list[tuple[float, int]]]:
         """Of each text, whose terms and counts stand together, (similarity, example) of the K nearest
@@ -281,60 +299,32 @@ class Whole(Index):
             self._build()
         w = self.idf[t] * (1 + np.log(tf))
         w = w / np.sqrt(np.bincount(text, weights=w * w, minlength=texts))[text]
-        q = np.zeros((texts, len(self.most)), np.float32)
+        q = np.zeros((texts, self.width), np.float32)
         c = self.column[t]
-        q[text[c >= 0], c[c >= 0]] = w[c >= 0]
+        q[text[c >= 0], c[c >= 0]] = w[c >= 0] / LEVELS
         r, u, v = text[c < 0], t[c < 0], w[c < 0]
         acc = np.empty((texts, self.n), np.float32)
-        begin, end = self.cuts[u], self.cuts[u + 1]
+        begin, size = self.cuts[u], self.cuts[u + 1] - self.cuts[u]
         some = np.searchsorted(r, np.arange(texts + 1))
         for i in range(texts):
             own = slice(some[i], some[i + 1])
-            spans = list(zip(begin[own].tolist(), end[own].tolist(), strict=True))
-            if not spans:
-                acc[i] = 0
-                continue
-            part = np.repeat(v[own], end[own] - begin[own])
-            part *= np.concatenate([self.rest[a:b] for a, b in spans])
-            acc[i] = np.bincount(np.concatenate([self.docs[a:b] for a, b in spans]), weights=part, minlength=self.n)
-        bound = q @ self.most + np.maximum.reduceat(acc, self.edges, axis=1) + 1e-4
-        read = np.zeros(bound.shape, bool)
-
-        def visit(wanted: np.ndarray) -> None:
-            for k in np.flatnonzero(wanted.any(0)).tolist():
-                lo, hi = self.edges[k], min(self.edges[k] + WHOLE_BLOCK, self.n)
-                if wanted[:, k].all():
-                    acc[:, lo:hi] += q @ self.weights[k]
-                else:
-                    rows = np.flatnonzero(wanted[:, k])
-                    acc[rows, lo:hi] += q[rows] @ self.weights[k]
-            read[wanted] = True
-
-        first = np.zeros(bound.shape, bool)
-        best = np.argsort(-bound, axis=1)[:, :2]
-        np.put_along_axis(first, best, True, axis=1)
-        visit(first)
-        if skip is not None:
-            acc[np.arange(texts), skip] = 0
-        ends = np.r_[self.edges[1:], self.n]
-        kth = np.zeros(texts, np.float32)
-        for i in range(texts):
-            seen = np.concatenate([acc[i, self.edges[k] : ends[k]] for k in best[i].tolist()])
-            if len(seen) >= K:
-                kth[i] = np.partition(seen, -K)[-K]
-        visit((bound >= kth[:, None]) & ~read)
+            n = size[own]
+            ends = np.cumsum(n)
+            at = np.arange(ends[-1] if len(n) else 0)
+            at += np.repeat(begin[own] - (ends - n), n)
+            posts = np.take(self.posts, at, mode="clip")
+            acc[i] = np.bincount(posts.view(np.int32)[::2], weights=np.repeat(v[own], n) * posts.view(np.float32)[1::2], minlength=self.n)
+        for e, block in zip(self.edges.tolist(), self.weights, strict=True):
+            acc[:, e : e + WHOLE_BLOCK] += q @ block.astype(np.float32)
         if skip is not None:
             acc[np.arange(texts), skip] = 0
-        for i, k in zip(*np.nonzero(~read)):
-            acc[i, self.edges[k] : ends[k]] = 0  # parts of sums that can't reach the K-th
+        over = 1e-4 + q.sum(1)  # by single precision, and by rounding up
         out = []
         cuts = np.searchsorted(text, np.arange(texts + 1))
         for i in range(texts):
             lo, hi = cuts[i], cuts[i + 1]
-            some = np.flatnonzero(acc[i] >= max(kth[i] - 1e-4, 1e-9))
-            if len(some) > K:
-                here = acc[i, some]
-                some = some[here >= np.partition(here, -K)[-K] - 1e-4]
+            kth = np.partition(acc[i], -K)[-K] if self.n >= K else 0
+            some = np.flatnonzero(acc[i] >= max(kth - over[i], 1e-9))
             if not len(some) or lo == hi:
                 out.append([])
                 continue

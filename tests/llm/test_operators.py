@@ -6,8 +6,10 @@ import itertools
 import math
 import pickle
 import random
+import re
 import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -485,6 +487,45 @@ def test_whole_is_made_without_copies_of_its_parts():
     assert (again.own_term == made.own_term).all() and (again.own_tf == made.own_tf).all() and (again.sizes == made.sizes).all()
 
 
+def test_whole_is_built_in_little_more_than_it_holds(monkeypatch):
+    """Workers build the index beside the JVM: postings are put in their places block by block."""
+    monkeypatch.setattr(toxicity, "WHOLE_BLOCK", 64)
+    rng = np.random.default_rng(4)
+    terms = [np.sort(rng.choice(60_000, 400, replace=False)).astype(np.int32) for _ in range(3000)]
+    whole = pickle.loads(pickle.dumps(toxicity.Whole(np.ones(60_000), terms, [np.ones(400, np.int32)] * 3000, np.zeros(3000, int), np.arange(3000))))
+    tracemalloc.start()
+    whole._build()
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 1.6 * held
+
+
+def test_terms_equal_brute_force(monkeypatch):
+    """Words, and beginnings of longer ones, counted text by text, however texts are dealt to runs."""
+    texts = ["Abcd abcde ABCDEF, abcdxyz!", "", None, "  ", "é中文 ß abc", "abcd abcd x" * 40, "\x00\x7fabcde\x7f", "z" * 5000 + " zzzzz zzzz"]
+
+    def naive(text):
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+        return Counter(t for w in words for t in [(w, 0), *((w[:k], k) for k in toxicity.PREFIXES if len(w) > k)])
+
+    want = [naive(t) for t in texts]
+    for run in (1, 16, 1 << 18):
+        monkeypatch.setattr(toxicity, "RUN", run)
+        text, term, _ = toxicity.Terms()(texts)
+        assert np.bincount(text, minlength=len(texts)).tolist() == [len(w) for w in want]
+        vocabulary = np.unique(term)
+        assert len(vocabulary) == len(set().union(*want))
+        text, term, n = toxicity.Terms(vocabulary)(texts)
+        assert (np.diff(text * len(vocabulary) + term) > 0).all()
+        for i, w in enumerate(want):
+            assert sorted(n[text == i].tolist()) == sorted(w.values())
+        # terms of one word are those of the same word in other texts
+        alone = [set(toxicity.Terms(vocabulary)([x])[1].tolist()) for x in ("abcd", "abcde", "abcdef")]
+        assert [len(a) for a in alone] == [1, 2, 3] and len(set().union(*alone)) == 5
+        assert set(term[text == 0].tolist()) >= set().union(*alone)
+    assert all(len(x) == 0 for x in toxicity.Terms(vocabulary)([])) and all(len(x) == 0 for x in toxicity.Terms(np.zeros(0, np.uint64))(texts))
+
+
 def test_toxicity_keeps_clashing_columns_apart(odd_docs, spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (6, 0), (9, 1)], "doc_id long, toxic int")
     got = toxicity.score(odd_docs, labels, ("p", "near", "sim"))
