@@ -374,7 +374,8 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 def gathered(rows: DataFrame, coder: Callable, bits_of: Callable[[Iterable[pa.RecordBatch]], Iterator[Bits]]) -> np.ndarray:
     """Counts (predictor, slot, bit) over the Bits of all rows: partial tables of each task are
-    summed part by part, and the sums, of a fixed size, go to the driver."""
+    summed part by part, and the sums, of a fixed size, go to the driver. Each core takes its rows
+    in one task, so there are as many partial tables as cores, however many files the rows lie in."""
     shape = (coder.predictors, 1 << coder.bits, 2)
     chunk = shape[1] * 2 // CHUNKS
 
@@ -408,6 +409,7 @@ def gathered(rows: DataFrame, coder: Callable, bits_of: Callable[[Iterable[pa.Re
 
     schema = "part int, task int, blob binary"
     # whole numbers in double precision are exact in any order; runs of TASKS tasks are summed first
+    rows = rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, 1))
     sums = rows.mapInArrow(tally, schema).groupBy("part", "task").applyInPandas(total(np.uint32, np.float64), schema)
     sums = sums.groupBy("part").applyInPandas(total(np.float64, np.float32), schema)
     out = np.zeros((shape[0], shape[1] * 2), np.float32)

@@ -281,6 +281,21 @@ def test_lm_weights_come_from_all_texts(spark):
     assert seen.sum() == len(bits) and m.apm == pytest.approx((even * lm.SEEN + seen[:, :, 1]) / (lm.SEEN + seen.sum(2)), abs=2e-3)
 
 
+def test_lm_tables_go_by_cores_and_not_by_files(spark):
+    """Partial tables of a fixed size are made once a core: many small files make no more of them."""
+    tokens = spark.createDataFrame([(f"word{i}".encode(),) for i in range(300)], "token binary")
+    began = spark.sparkContext.accumulator(0)
+
+    def bits(batches):
+        began.add(1)
+        for b in batches:
+            yield lm.SpellCoder()(b.column(0).to_pylist())
+
+    many = lm.gathered(tokens.repartition(50), lm.SpellCoder, bits)
+    assert 0 < began.value <= spark.sparkContext.defaultParallelism
+    assert (many == lm.gathered(tokens.repartition(1), lm.SpellCoder, bits)).all() and many.sum() > 0
+
+
 def test_lm_order_matters_and_partitions_do_not(spark, small_model):
     rows, df, model, _ = small_model
     reader = lm.Reader(model.coder.symbol)
