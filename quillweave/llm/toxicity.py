@@ -3,15 +3,13 @@
 A bounded sample of labelled documents (TOXIC and CLEAN rows, by the order of a hash, of
 the training folds) are the examples. All their words and word beginnings are indexed, with
 document frequencies counted over all documents, and every text's whole vector is searched
-in a block-max inverted index of all of them. Terms that no example has match none and are
-left out of a text's length. The nearest examples are the evidence.
+in an inverted index of all of them, common terms by products. Terms that no example has
+match none and are left out of a text's length. The nearest examples are the evidence.
 
 As a further feature, a second search runs over the lexicon alone: the terms whose rate of
 label 1 is highest above the sample's, in standard deviations, and at least halfway from it
-to 1. Its inverted index has postings cut into blocks of BLOCK examples with each term's
-greatest weight per block; blocks are read from the largest upper bound on until no bound
-exceeds the K-th similarity, so this search is exact too. In both, the neighbours' votes,
-weighted by 1 / (distance + 0.1), and the best similarity are calibrated by logistic
+to 1. Both searches sum all postings of a text's terms and are exact. In both, the neighbours'
+votes, weighted by 1 / (distance + 0.1), and the best similarity are calibrated by logistic
 regression on the examples themselves (each left out of its own search), weighted so that
 the classes have the shares they have among all training labels.
 
@@ -45,7 +43,6 @@ LEAST_Z = 4.0
 LEAST_ROWS = 4
 PREFIXES = (4, 5)
 K = 15
-BLOCK = 64
 FLUSH = 400_000
 TEXTS = 256  # compared at once
 RUN = 1 << 18  # bytes of texts hashed at once
@@ -147,26 +144,16 @@ class Terms:
 
 
 class Index:
-    """Block-max inverted index over unit vectors of (1 + log tf) * idf."""
+    """Inverted index over unit vectors of (1 + log tf) * idf."""
 
     def __init__(self, idf: np.ndarray, examples: list[dict[int, int]], labels: np.ndarray, ids: np.ndarray):
-        self.idf = idf
-        # examples with the same strongest term stand together, which keeps bounds tight
-        first = [max(e, key=lambda t: idf[t] * (1 + np.log(e[t]))) if e else -1 for e in examples]
-        order = self.order = np.argsort(first, kind="stable")
-        self.labels, self.ids = labels[order], ids[order]
-        self.n_blocks = -(-len(order) // BLOCK) if len(order) else 0
+        self.idf, self.labels, self.ids = idf, labels, ids
         post: dict[int, list[tuple[int, float]]] = {}
-        for k, e in enumerate(order):
-            t, w = self.vector(examples[e])
+        for k, e in enumerate(examples):
+            t, w = self.vector(e)
             for a, b in zip(t.tolist(), w.tolist(), strict=True):
                 post.setdefault(a, []).append((k, b))
-        self.docs, self.weights, self.cuts, self.most = {}, {}, {}, np.zeros((len(idf), self.n_blocks))
-        for t, rows in post.items():
-            d, w = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-            self.docs[t], self.weights[t] = d, w
-            self.cuts[t] = np.searchsorted(d, np.arange(self.n_blocks + 1) * BLOCK)
-            np.maximum.at(self.most[t], d // BLOCK, w)
+        self.posts = {t: (np.array([r[0] for r in rows]), np.array([r[1] for r in rows])) for t, rows in post.items()}
 
     def vector(self, tf: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         t = np.array(sorted(tf), np.int64)
@@ -175,25 +162,19 @@ class Index:
 
     def nearest(self, tf: dict[int, int], skip: int | None = None) -> list[tuple[float, int]]:
         """(similarity, example) of the K nearest with a similarity above 0, nearest first."""
-        t, w = self.vector(tf)
-        own = [(int(a), b) for a, b in zip(t, w, strict=True) if int(a) in self.docs]
-        if not own:
-            return []
-        bound = sum(b * self.most[a] for a, b in own)
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable").tolist():
-            if bound[block] <= 0 or (len(best) == K and bound[block] < best[-1][0]):
-                break
-            acc = np.zeros(BLOCK)
-            for a, b in own:
-                lo, hi = self.cuts[a][block], self.cuts[a][block + 1]
-                if hi > lo:
-                    acc[self.docs[a][lo:hi] - block * BLOCK] += b * self.weights[a][lo:hi]
-            for i in np.flatnonzero(acc > (best[-1][0] if len(best) == K else 0)).tolist():
-                if block * BLOCK + i != skip:
-                    best.append((float(acc[i]), block * BLOCK + i))
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:K]
-        return best
+        acc = np.zeros(len(self.ids))
+        for t, w in zip(*self.vector(tf), strict=True):
+            if int(t) in self.posts:
+                doc, weight = self.posts[int(t)]
+                acc[doc] += w * weight
+        if skip is not None:
+            acc[skip] = 0
+        some = np.flatnonzero(acc > 0)
+        if len(some) > K:
+            here = acc[some]
+            some = some[here >= np.partition(here, -K)[-K]]
+        by = some[np.lexsort((some, -acc[some]))[:K]]
+        return list(zip(acc[by].tolist(), by.tolist(), strict=True))
 
     def vote(self, near: list[tuple[float, int]]) -> list[float]:
         if not near:
@@ -261,6 +242,7 @@ class Whole(Index):
             at = np.arange(len(own)) + np.repeat(free[own[first]] - first, size)
             docs[at], weights[at] = doc[by] + e, w[by]
             free[own[first]] += size
+        trim()
         self.spot, self.asked = np.zeros(len(idf)), np.zeros(len(idf), bool)
         self.logs = 1 + np.log(np.maximum(np.arange(min(int(self.own_tf.max(initial=0)), LEVELS) + 1), 1))
 
@@ -340,18 +322,18 @@ class Examples:
     def __init__(self, lexicon: Index, of_lexicon: np.ndarray, whole: Whole):
         self.lexicon, self.of_lexicon, self.whole, self.votes = lexicon, of_lexicon, whole, {}
 
-    def features(self, texts: int, text: np.ndarray, t: np.ndarray, tf: np.ndarray, skip: tuple[list[int], list[int]] | None = None) -> tuple[np.ndarray, list[list[tuple[float, int]]]]:
-        near = self.whole.search(texts, text, t, tf, skip and skip[1])
+    def features(self, texts: int, text: np.ndarray, t: np.ndarray, tf: np.ndarray, skip: list[int] | None = None) -> tuple[np.ndarray, list[list[tuple[float, int]]]]:
+        near = self.whole.search(texts, text, t, tf, skip)
         few: list[dict[int, int]] = [{} for _ in range(texts)]
         own = np.flatnonzero(self.of_lexicon[t] >= 0)
         for i, k, c in zip(text[own].tolist(), self.of_lexicon[t[own]].tolist(), tf[own].tolist(), strict=True):
             few[i][k] = int(c)
         x = []
         for i in range(texts):
-            key = None if skip else tuple(few[i].items())
+            key = None if skip is not None else tuple(few[i].items())
             vote = self.votes.get(key) if key is not None else None
             if vote is None:
-                vote = self.lexicon.vote(self.lexicon.nearest(few[i], skip and skip[0][i]))
+                vote = self.lexicon.vote(self.lexicon.nearest(few[i], None if skip is None else skip[i]))
                 if key is not None and len(self.votes) < 50_000:
                     self.votes[key] = vote
             x.append([*vote, *self.whole.vote(near[i])[1:]])
@@ -361,8 +343,7 @@ class Examples:
         """Features of the examples at places i to k, each left out of its own searches."""
         w = self.whole
         at = slice(w.own_cuts[i], w.own_cuts[k])
-        seats = np.argsort(self.lexicon.order, kind="stable")
-        skip = seats[i:k].tolist(), list(range(i, k))
+        skip = list(range(i, k))
         return self.features(k - i, np.repeat(np.arange(k - i), w.sizes[i:k]), w.own_term[at].astype(np.int64), w.own_tf[at], skip)[0]
 
 
