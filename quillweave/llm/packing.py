@@ -14,7 +14,6 @@ packed one by one; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
@@ -101,7 +100,7 @@ class ChunkTokenizer:
         self.fast = WordPieces(spec) if WordPieces.fits(spec) else None
 
     def forget(self) -> None:
-        """Lets go of the chunks, so that a worker that goes on to other work doesn't hold them."""
+        """Lets go of the chunks."""
         self.known = {"": b""}
 
     def learn(self, chunks: list[str]) -> None:
@@ -134,19 +133,13 @@ class ChunkTokenizer:
                     del known[c]
 
 
-@functools.cache
-def tokenizer_of(path: str) -> ChunkTokenizer:
-    """One tokenizer for all tasks of a worker."""
-    return ChunkTokenizer(path)
-
-
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END) -> DataFrame:
     """docs (doc_id, text) -> doc_id, piece, start, length, ids_crc32."""
     tail = np.array([end], "<u4").tobytes()
 
     @frugal
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer_of(tokenizer)
+        tok = ChunkTokenizer(tokenizer)  # a task's own, as a worker would hold it in all that comes after
         for batch in (b for whole in batches for b in slices(whole)):
             out: list[list[int | None]] = [[], [], [], [], []]
             for doc_id, ids in zip(batch.column(0).to_pylist(), tok.ids(batch.column(1).to_pylist()), strict=True):
@@ -157,7 +150,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END
                         column.append(v)
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        tok.forget()
+        del tok
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -301,6 +294,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH) -> DataFrame:
     size, first, seq, off = (np.array(x, np.int64) for x in zip(*slots, strict=True)) if slots else (np.zeros(0, np.int64),) * 4
     keys = (size << 44) + first
 
+    @frugal
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = pa.Table.from_batches([b])

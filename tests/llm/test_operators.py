@@ -740,6 +740,21 @@ def test_packing_odd_inputs(odd_docs, no_docs):
     assert packing.pack(no_docs, VOCABULARY).count() == 0
 
 
+def test_idle_workers_hold_no_tokenizer(spark):
+    docs = spark.range(200).selectExpr("id AS doc_id", "concat('some words ', id) AS text").repartition(4)
+    assert packing.pieces(docs, VOCABULARY).count() == 200
+
+    def held(batches):
+        import gc
+
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ == "ChunkTokenizer" for x in gc.get_objects())], pa.int64())], ["n"])
+
+    assert sum(r["n"] for r in spark.range(0, 8, 1, 8).mapInArrow(held, "n long").collect()) == 0
+
+
 # 10. Decontamination
 
 
