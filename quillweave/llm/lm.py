@@ -14,6 +14,8 @@ training tokens with its exact share, from the table of all token counts. A new
 spelled byte by byte, bits mixed from hashed contexts of its bytes before. The log10
 probability of a text is the sum, so total bits are -score / log10(2).
 
+Texts are read once: their symbols are stored in 16 bits each, which all later passes take.
+
 What is gathered: the exact counts of all training tokens, a table that grows with the
 corpus and is joined; and counts of hashed contexts over all places of all training texts,
 in tables of 2 ** SLOT_BITS slots a predictor, of a fixed size as each worker holds them
@@ -92,6 +94,10 @@ def _slot(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
     return context
 
 
+def _kind(token: bytes) -> int:
+    return OWN_KIND + xxhash.xxh32_intdigest(token[-2:]) % (KINDS - OWN_KIND)
+
+
 class Bits:
     """Bits of texts: a slot for each predictor, bit, place (a small number that selects weights),
     and the item (token or text) and block that each belongs to. An item's bits are in order
@@ -136,11 +142,15 @@ class TokenCoder:
 
     def __init__(self, tree: Tree, names: list[bytes]):
         self.tree, self.symbol = tree, {t: k for k, t in enumerate(names) if k != ESCAPE}
+        self.kinds = np.array([k if k < OWN_KIND else _kind(t) for k, t in enumerate(names)], np.int64)
 
     def __call__(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> Bits:
         n = np.array([len(s) for s, _ in texts])
-        symbol, kind = (np.concatenate([t[k] for t in texts]) for k in (0, 1))
-        text = np.repeat(np.arange(len(texts), dtype=np.int32), n)
+        return self.joined(n, *(np.concatenate([t[k] for t in texts]) for k in (0, 1)))
+
+    def joined(self, n: np.ndarray, symbol: np.ndarray, kind: np.ndarray) -> Bits:
+        """Of texts that stand one after another; n: their numbers of tokens."""
+        text = np.repeat(np.arange(len(n), dtype=np.int32), n)
         first = np.repeat(np.cumsum(n) - n, n)
         at = np.arange(len(symbol))
         # the last common token before each place, the one before that, and the next
@@ -435,7 +445,7 @@ class Reader:
         self.known.update(zip(new, range(len(self.names), len(self.names) + len(new)), strict=True))
         self.names += new
         self.symbols = np.concatenate([self.symbols, np.array([self.symbol.get(t, ESCAPE) for t in new], np.int64)])
-        self.kinds = np.concatenate([self.kinds, np.where(self.symbols[len(self.kinds):] < OWN_KIND, self.symbols[len(self.kinds):], [OWN_KIND + xxhash.xxh32_intdigest(t[-2:]) % (KINDS - OWN_KIND) for t in new])])
+        self.kinds = np.concatenate([self.kinds, np.where(self.symbols[len(self.kinds):] < OWN_KIND, self.symbols[len(self.kinds):], [_kind(t) for t in new])])
         return [np.fromiter(map(self.known.__getitem__, t), np.int64, len(t)) for t in tokens]
 
 
@@ -455,6 +465,67 @@ def _groups(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str
         yield begin, texts
 
 
+class _Symbols(dict):
+    def __missing__(self, token: bytes) -> int:
+        return ESCAPE
+
+
+def read(docs: DataFrame, coder: TokenCoder) -> DataFrame:
+    """docs (doc_id, text, held_out) -> a stored table with a row for each text, numbered by rid, with
+    its symbols but the end's, which is the last of each (so the others fit 16 bits); and a row for
+    each of its different tokens behind the escape, with their count n."""
+    sent = docs.sparkSession.sparkContext.broadcast(coder.symbol)  # FREQUENT tokens
+
+    @frugal
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        rid, symbol_of = TaskContext.get().partitionId() << 36, _Symbols(sent.value).__getitem__
+        for b in batches:
+            for begin, texts in _groups(b, 1):
+                codes, size, rare = [], [], ([], [], [])
+                for k, t in enumerate(texts):
+                    raw = (t or "").encode()
+                    tokens = raw.lower().split()
+                    symbols = np.fromiter(map(symbol_of, tokens), np.int32, len(tokens))
+                    codes.append((symbols - 1).astype("<u2").tobytes())
+                    size.append(len(raw))
+                    escaped = Counter(map(tokens.__getitem__, np.flatnonzero(symbols == ESCAPE).tolist()))
+                    for column, v in zip(rare, ([rid + k] * len(escaped), escaped.keys(), escaped.values()), strict=True):
+                        column.extend(v)
+                part, none, e = b.slice(begin, len(texts)), len(texts), len(rare[0])
+                own = [pa.array(np.arange(rid, rid + none)), part.column(0), part.column(2), pa.array(size, pa.int64()), pa.array(codes, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*own, pa.nulls(none, pa.binary()), pa.nulls(none, pa.int64())], READ)
+                if e:
+                    nulls = [pa.nulls(e, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([pa.array(rare[0], pa.int64()), *nulls, pa.array(rare[1], pa.binary()), pa.array(rare[2], pa.int64())], READ)
+                rid += none
+        let_go(sent)
+
+    schema = "rid long, doc_id long, held_out boolean, n_bytes long, codes binary, token binary, n long"
+    return stored(docs.select("doc_id", "text", "held_out").mapInArrow(run, schema), "read")
+
+
+READ = ["rid", "doc_id", "held_out", "n_bytes", "codes", "token", "n"]
+
+
+def _symbols(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Runs of texts of about BATCH_TOKENS tokens: where each begins, and the texts' numbers of tokens
+    and all their symbols, from their codes."""
+    codes = batch.column(column).to_pylist()
+    ends = np.cumsum([len(c) // 2 + 1 for c in codes])
+    last = 0
+    while last < len(codes):
+        i, done = last, ends[last - 1] if last else 0
+        last = int(np.searchsorted(ends, done + BATCH_TOKENS)) + 1
+        n = np.diff(np.r_[done, ends[i:last]])
+        symbol = np.zeros(n.sum(), np.int64)  # the end's is 0
+        word = np.ones(len(symbol), bool)
+        word[np.cumsum(n) - 1] = False
+        symbol[word] = np.frombuffer(b"".join(codes[i:last]), "<u2").astype(np.int64) + 1
+        yield i, n, symbol
+
+
 def _runs(tokens: Iterable[bytes], size: int = 40_000) -> Iterator[list[bytes]]:
     """Runs of tokens of about size bytes."""
     run, n = [], 0
@@ -507,8 +578,8 @@ class Model:
         return float(np.log10(self.new) + self.speller.log10(SpellCoder()([token]), 1)[0])
 
 
-def fit(docs: DataFrame, counts: DataFrame) -> Model:
-    """docs (doc_id, text) of the training texts and their token counts."""
+def symbols_of(counts: DataFrame) -> tuple[TokenCoder, np.ndarray, int, int]:
+    """The coder of the token counts, its symbols' counts, that of all other tokens, and how many of those occur once."""
     top = counts.where(F.col("token") != F.lit(END)).orderBy(F.desc("c"), "token").limit(FREQUENT).collect()
     n, single = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if((F.col("c") == 1) & (F.col("token") != F.lit(END)))).first()
     ends = counts.where(F.col("token") == F.lit(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
@@ -516,14 +587,17 @@ def fit(docs: DataFrame, counts: DataFrame) -> Model:
     single -= sum(r["c"] == 1 for r in top)
     names = [END, b"", *(bytes(r["token"]) for r in top)]
     coder = TokenCoder(Tree([max(ends, 1), max(rare, 1), *(r["c"] for r in top)]), names)
-    sent = docs.sparkSession.sparkContext.broadcast(coder)
+    return coder, np.array([ends, 0, *(r["c"] for r in top)], np.int64), rare, single
+
+
+def learned(texts: DataFrame, counts: DataFrame, coder: TokenCoder, frequent: np.ndarray, rare: int, single: int) -> Model:
+    """texts: a table of read()."""
+    sent = texts.sparkSession.sparkContext.broadcast(coder)
 
     def token_bits(batches: Iterable[pa.RecordBatch]) -> Iterator[Bits]:
-        reader = Reader(sent.value.symbol)
         for b in batches:
-            for _, texts in _groups(b, 0):
-                codes = reader(texts)
-                yield sent.value([(reader.symbols[c], reader.kinds[c]) for c in codes])
+            for _, n, symbol in _symbols(b, 0):
+                yield sent.value.joined(n, symbol, sent.value.kinds[symbol])
         let_go(sent)
 
     def spell_bits(batches: Iterable[pa.RecordBatch]) -> Iterator[Bits]:
@@ -531,57 +605,47 @@ def fit(docs: DataFrame, counts: DataFrame) -> Model:
             yield SpellCoder()(run)
 
     types = counts.where(F.col("token") != F.lit(END)).select("token")
-    mixer, speller = _trained(docs.select("text"), coder, token_bits), _trained(types, SpellCoder, spell_bits)
-    frequent = np.array([ends, 0, *(r["c"] for r in top)], np.int64)
+    train = texts.where("codes IS NOT NULL AND NOT held_out").select("codes")
+    mixer, speller = _trained(train, coder, token_bits), _trained(types, SpellCoder, spell_bits)
     return Model(coder, mixer, speller, frequent, rare, single)
 
 
+def fit(docs: DataFrame, counts: DataFrame) -> Model:
+    """docs (doc_id, text) of the training texts and their token counts."""
+    found = symbols_of(counts)
+    return learned(read(docs.withColumn("held_out", F.lit(False)), found[0]), counts, *found)
+
+
 def score(docs: DataFrame, folds: int = 10, held_out: int = 0) -> DataFrame:
     """docs (doc_id, text): learns from those whose fold isn't held out, scores all."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(id_fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"))
-    train = docs.where("NOT held_out").select("doc_id", "text")
-    counts = token_counts(train)
+    counts = token_counts(docs.where("NOT held_out").select("doc_id", "text"))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     below = n + 0.1 * (v + 1)
-    model = fit(train, counts)
+    found = symbols_of(counts)
+    texts = read(docs, found[0])
+    model = learned(texts, counts, *found)
     sent = spark.sparkContext.broadcast((model, np.log10((model.frequent + 0.1) / below), model.frequent > 0))  # FREQUENT tokens and tables of a fixed size
 
     @frugal
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         model, base_of, known_of = sent.value
-        rid, reader = TaskContext.get().partitionId() << 36, Reader(model.coder.symbol)
         for b in batches:
-            for begin, texts in _groups(b, 1):
-                codes = reader(texts)
-                symbols = [reader.symbols[c] for c in codes]
-                lp = model.mixer.log10(model.coder([(s, reader.kinds[c]) for s, c in zip(symbols, codes, strict=True)]), len(texts))
-                text = np.repeat(np.arange(len(texts)), [len(c) for c in codes])
-                symbol, code = np.concatenate(symbols), np.concatenate(codes)
-                rare = symbol == ESCAPE
-                sums = lambda x: np.bincount(text[~rare], weights=x[symbol[~rare]], minlength=len(texts))  # noqa: B023, E731
-                part = b.slice(begin, len(texts))
-                none = len(texts)
-                size = [len((t or "").encode()) for t in texts]
+            for begin, n, symbol in _symbols(b, 4):
+                lp = model.mixer.log10(model.coder.joined(n, symbol, model.coder.kinds[symbol]), len(n))
+                text, own = np.repeat(np.arange(len(n)), n), symbol != ESCAPE
+                sums = lambda x: np.bincount(text[own], weights=x[symbol[own]], minlength=len(n))  # noqa: B023, E731
+                part = b.slice(begin, len(n))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(rid, rid + none)), part.column(0), part.column(2), pa.array([len(c) for c in codes], pa.int64()), pa.array(sums(known_of).astype(np.int64)),
-                     pa.array(sums(base_of)), pa.array(lp), pa.array(size, pa.int64()), pa.nulls(none, pa.binary()), pa.nulls(none, pa.int64())], NAMES,
+                    [*part.columns[:4], pa.array(n, pa.int64()), pa.array(sums(known_of).astype(np.int64)), pa.array(sums(base_of)), pa.array(lp)], NAMES
                 )
-                if rare.any():
-                    pair, m = np.unique(text[rare] * np.int64(len(reader.names)) + code[rare], return_counts=True)
-                    i, u = pair // len(reader.names), pair % len(reader.names)
-                    e = len(i)
-                    nulls = [pa.nulls(e, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(i + rid), *nulls, pa.array([reader.names[x] for x in u], pa.binary()), pa.array(m)], NAMES)
-                rid += none
-        del model, reader
+        del model
         let_go(sent)
 
-    schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long, token binary, n long"
-    out = stored(docs.select("doc_id", "text", "held_out").mapInArrow(run, schema), "scored")
-    rare = out.where("token IS NOT NULL").select("rid", "token", "n").join(counts, "token", "left")
+    schema = "rid long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base double, score double"
+    out = stored(texts.where("codes IS NOT NULL").select(*READ[:5]).mapInArrow(run, schema), "scored")
+    rare = texts.where("token IS NOT NULL").select("rid", "token", "n").join(counts, "token", "left")
 
     @frugal
     def escaped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -603,13 +667,13 @@ def score(docs: DataFrame, folds: int = 10, held_out: int = 0) -> DataFrame:
     rare = rare.select("rid", "token", "n", "c").mapInArrow(escaped, "rid long, base double, known long, lp double")
     rare = rare.groupBy("rid").agg(F.sum("base").alias("rare_base"), F.sum("known").alias("rare_known"), F.sum("lp").alias("rare_lp"))
     both = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    return out.where("token IS NULL").join(rare, "rid", "left").select(
+    return out.join(rare, "rid", "left").select(
         "doc_id", "held_out", "n_tokens", both("n_known", "rare_known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         both("base", "rare_base").alias("base_score"), both("score", "rare_lp").alias("score"), "n_bytes",
     )
 
 
-NAMES = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "n_bytes", "token", "n"]
+NAMES = ["rid", "doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "base", "score"]
 
 
 def bits_per_byte(scored: DataFrame) -> DataFrame:

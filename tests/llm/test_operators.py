@@ -311,6 +311,42 @@ def test_lm_order_matters_and_partitions_do_not(spark, small_model):
     assert a.keys() == b.keys() and all(a[d] == pytest.approx(b[d], rel=1e-9) for d in a)
 
 
+def test_lm_reads_texts_once_for_counts_and_once_for_codes(spark):
+    passed = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            passed.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame([(i, f"some words {i} " * 3) for i in range(50)], "doc_id long, text string").mapInArrow(seen, "doc_id long, text string")
+    assert lm.score(docs).count() == 50 and passed.value == 2 * 50
+
+
+def test_lm_codes_give_back_the_symbols(spark, monkeypatch):
+    """Of the largest tree too, whose last symbol is the most that 16 bits hold."""
+    import types
+
+    import pyarrow as pa
+
+    last = lm.FREQUENT + 1
+    coder = types.SimpleNamespace(symbol={b"\n": 0, b"a": 2, b"z": last})
+    rows = [(1, "A z new new other a"), (2, None), (3, ""), (4, "z"), (5, "\u00e9 a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id = 4 AS held_out").coalesce(1)
+    got = lm.read(docs, coder)
+    own = got.where("codes IS NOT NULL").orderBy("rid").collect()
+    assert [(r["doc_id"], r["held_out"], r["n_bytes"]) for r in own] == [(1, False, 19), (2, False, 0), (3, False, 0), (4, True, 1), (5, False, 4)]
+    batch = pa.RecordBatch.from_arrays([pa.array([bytes(r["codes"]) for r in own], pa.binary())], ["codes"])
+    want = [[2, last, 1, 1, 1, 2, 0], [0], [0], [last, 0], [1, 2, 0]]
+    for size in (30_000, 1, 9):
+        monkeypatch.setattr(lm, "BATCH_TOKENS", size)
+        parts = [(at, k, x.tolist()) for at, n, symbol in lm._symbols(batch, 0) for k, x in enumerate(np.split(symbol, np.cumsum(n)[:-1]))]
+        assert [at + k for at, k, _ in parts] == list(range(5)) and [x for _, _, x in parts] == want
+    name = {r["rid"]: r["doc_id"] for r in own}
+    rare = {(name[r["rid"]], bytes(r["token"])): r["n"] for r in got.where("token IS NOT NULL").collect()}
+    assert rare == {(1, b"new"): 2, (1, b"other"): 1, (5, "\u00e9".encode()): 1}
+
+
 def test_lm_odd_inputs(spark, odd_docs, no_docs):
     got = {r["doc_id"]: r for r in lm.score(odd_docs).collect()}
     assert got[3]["n_tokens"] == got[4]["n_tokens"] == got[5]["n_tokens"] == 1 and got[3]["score"] == got[4]["score"]
