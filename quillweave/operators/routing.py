@@ -101,29 +101,45 @@ LEAST = {"recall": 0.95, "error": 0.02, "cross": 0.90}
 
 
 def policy_grid(observations: DataFrame) -> DataFrame:
-    """observations (required, relation, ranked: structs id, p by falling p) -> the measures of each policy
-    of the grid. An observation meets the grid's 1,875 rows, which are broadcast, and is summed up at once."""
+    """observations (required, relation, ranked: structs id, p by falling p) -> the measures of each policy of the grid.
+
+    Of an observation a policy sees only how many of the grid's thresholds its probabilities reach, and what each
+    low threshold and maximum would select. Observations that are alike in that are counted, and each
+    kind meets the grid's 1,875 rows, which are broadcast, once; the kinds are as many as outcomes, not rows."""
     spark = observations.sparkSession
-    grid = spark.range(1)
+    grid = spark.range(1).drop("id")
     for name, values in GRID.items():
-        grid = grid.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+        grid = grid.select("*", F.posexplode(F.array(*map(F.lit, values))).alias(f"_{name}", name))
     names = list(GRID)
-    grid = grid.where("t_high >= t_low").drop("id")
+    grid = grid.where("t_high >= t_low")
     r, cross = F.col("ranked"), F.col("relation") == "cross_context"
     p1, p2 = F.coalesce(F.get(r, F.lit(0))["p"], F.lit(0.0)), F.coalesce(F.get(r, F.lit(1))["p"], F.lit(0.0))
     ids = lambda a: F.transform(a, lambda x: x["id"])
-    one = (F.size(r) > 0) & (p1 >= F.col("t_high")) & (p1 - p2 >= F.col("margin")) & ~cross
-    chosen = F.when(one, F.slice(r, 1, 1)).otherwise(F.slice(F.filter(r, lambda x: x["p"] >= F.col("t_low")), F.lit(1), F.col("maximum")))
-    both = observations.join(F.broadcast(grid)).withColumn("first", p1).withColumn("chosen", ids(chosen))
-    forced = ids(F.slice(r, F.lit(1), F.least(F.lit(2), F.col("maximum"))))
-    both = both.withColumn("chosen", F.when(cross, F.array_union("chosen", forced)).otherwise(F.col("chosen")))
-    hit, need = F.size(F.array_intersect("required", "chosen")), F.size("required")
-    recall = F.when(need == 0, (F.size("chosen") == 0).cast("double")).otherwise(hit / need)
-    sure = F.col("first") >= F.col("sure")
+    reached = lambda p, name: sum((F.when(p >= v, 1).otherwise(0) for v in GRID[name]), F.lit(0))
+    outcome = lambda c: F.struct(F.size(F.array_intersect("required", c)).alias("hit"), F.size(c).alias("n"))
+
+    def many(low: float, maximum: int) -> Column:
+        some = ids(F.slice(F.filter(r, lambda x: x["p"] >= low), 1, maximum))
+        return outcome(F.when(cross, F.array_union(some, ids(F.slice(r, 1, min(2, maximum))))).otherwise(some))
+
+    kinds = observations.select(
+        F.size("required").alias("need"), (F.coalesce(~cross, F.lit(False)) & (F.size(r) > 0)).alias("may_be_one"),
+        reached(p1, "t_high").alias("high"), reached(p1 - p2, "margin").alias("apart"), reached(p1, "sure").alias("certain"),
+        outcome(ids(F.slice(r, 1, 1))).alias("one"), F.array(*(many(low, m) for low in GRID["t_low"] for m in GRID["maximum"])).alias("many"),
+    )
+    kinds = kinds.groupBy(*kinds.columns).agg(F.count("*").alias("_n"))
+    both = kinds.join(F.broadcast(grid))
+    one = F.col("may_be_one") & (F.col("high") > F.col("_t_high")) & (F.col("apart") > F.col("_margin"))
+    chosen = F.when(one, F.col("one")).otherwise(F.get("many", F.col("_t_low") * len(GRID["maximum"]) + F.col("_maximum")))
+    both = both.withColumn("chosen", chosen)
+    hit, need, size = F.col("chosen.hit"), F.col("need"), F.col("chosen.n")
+    recall = F.when(need == 0, (size == 0).cast("double")).otherwise(hit / need)
+    sure = F.col("certain") > F.col("_sure")
+    mean = lambda v: F.sum(v * F.col("_n")) / F.nullif(F.sum(F.when(v.isNotNull(), F.col("_n"))), F.lit(0))
     # whole numbers and few digits, so sums in any order rank policies alike
     return both.groupBy(*names).agg(
-        F.round(F.avg(recall), 9).alias("recall"), F.round(F.coalesce(F.avg(F.when(sure, (hit < need).cast("double"))), F.lit(0.0)), 9).alias("error"),
-        F.round(F.coalesce(F.avg(F.when(need >= 2, recall)), F.lit(1.0)), 9).alias("cross"), F.round(F.avg(F.size("chosen")), 9).alias("selected"),
+        F.round(mean(recall), 9).alias("recall"), F.round(F.coalesce(mean(F.when(sure, (hit < need).cast("double"))), F.lit(0.0)), 9).alias("error"),
+        F.round(F.coalesce(mean(F.when(need >= 2, recall)), F.lit(1.0)), 9).alias("cross"), F.round(mean(size), 9).alias("selected"),
     )
 
 

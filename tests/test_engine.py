@@ -369,3 +369,42 @@ def test_nearest_in_blocks_and_ties(spark):
         assert {(x["query_id"], x["id"], x["rank"]) for x in got.collect()} == want
     plan = search.nearest(asked, df, "id", "v", 4)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def _policy_by_hand(rows, low, high, margin, maximum, sure):
+    recalls, errors, crosses, sizes = [], [], [], []
+    for required, relation, ranked in rows:
+        p = [x[1] for x in ranked] + [0.0, 0.0]
+        if ranked and p[0] >= high and p[0] - p[1] >= margin and relation != "cross_context":
+            chosen = [ranked[0][0]]
+        else:
+            chosen = [i for i, q in ranked if q >= low][:maximum]
+        if relation == "cross_context":
+            chosen = list(dict.fromkeys(chosen + [i for i, _ in ranked[: min(2, maximum)]]))
+        hit = len(set(required) & set(chosen))
+        recall = hit / len(required) if required else float(not chosen)
+        recalls.append(recall)
+        sizes.append(len(chosen))
+        errors += [hit < len(required)] if p[0] >= sure else []
+        crosses += [recall] if len(required) >= 2 else []
+    mean = lambda v, default: sum(v) / len(v) if v else default
+    return tuple(round(x, 6) for x in (mean(recalls, None), mean(errors, 0.0), mean(crosses, 1.0), mean(sizes, None)))
+
+
+def test_policy_grid_counts_kinds(spark):
+    """The grid by hand on random observations, and kinds, not observations, meet its rows."""
+    r = random.Random(2)
+    rows = []
+    for _ in range(60):
+        ranked = sorted(((c, r.choice((r.random(), 0.9, 0.5, 0.2))) for c in "abcd"[: r.randrange(5)]), key=lambda x: -x[1])
+        rows.append((r.sample("abcd", r.randrange(4)), r.choice(("cross_context", "continue")), ranked))
+    df = spark.createDataFrame(rows, "required array<string>, relation string, ranked array<struct<id:string,p:double>>")
+    grid = routing.policy_grid(df)
+    got = grid.collect()
+    assert len(got) == sum(h >= low for h in routing.GRID["t_high"] for low in routing.GRID["t_low"]) * 75
+    for x in got:
+        assert tuple(round(x[k], 6) for k in ("recall", "error", "cross", "selected")) == pytest.approx(_policy_by_hand(rows, *(x[k] for k in routing.GRID)), abs=2e-6)
+    plan = grid._jdf.queryExecution().sparkPlan().toString()
+    assert "HashAggregate" in plan[plan.index("NestedLoopJoin"):]
+    odd = spark.createDataFrame([(None, None, None), (["a"], "continue", None), (["a"], None, [("a", 0.95)])], df.schema)
+    assert {x["recall"] for x in routing.policy_grid(odd).collect()} == {1.0}
