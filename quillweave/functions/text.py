@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +47,34 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.array_distinct(parts), expand)))
 
 
+class TokenSets:
+    """The same tokens of a text as a set, for tasks in Python; keeps the expansions of `most` parts."""
+
+    part = re.compile(f"{IDENTIFIER}|[{CJK}]+|{NUMBER}", re.ASCII)
+    mark, case, cut, han = re.compile(r"[_./:\\-]|[a-z0-9][A-Z]"), re.compile("([a-z0-9])([A-Z])"), re.compile(r"[\s_./:\\-]+", re.ASCII), re.compile(f"[{CJK}]")
+
+    def __init__(self, most: int = 1 << 16):
+        self.most, self.known = most, {}
+
+    def expand(self, p: str) -> tuple[str, ...]:
+        if self.han.match(p):
+            more = [p[i : i + 2] for i in range(max(len(p) - 1, 1))]
+        elif self.mark.search(p):
+            more = [x for x in self.cut.split(self.case.sub(r"\1 \2", p).lower()) if x]
+        else:
+            more = []
+        out = (p.lower(), *more)
+        if len(self.known) < self.most:
+            self.known[p] = out
+        return out
+
+    def __call__(self, text: str | None) -> set[str]:
+        out: set[str] = set()
+        for p in set(self.part.findall(text or "")):
+            out.update(self.known.get(p) or self.expand(p))
+        return out
+
+
 def token_count(text: Column) -> Column:
     """CJK characters, identifiers, numbers and other non-space characters."""
     return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?U)[{CJK}]|{IDENTIFIER}|{NUMBER}|\\S"), F.lit(0))).cast("long")

@@ -244,7 +244,7 @@ def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    return search.top(_bm25(spark, sf_dir), "item_id", "doc_id", k)
+    return search.bm25_top(_t(spark, sf_dir, "benchmark").select("item_id", "text"), _t(spark, sf_dir, "documents").select("doc_id", "text"), "item_id", "doc_id", k)
 
 
 @query(f"WITH {_BM25} SELECT item_id, count(*) AS n_docs, round(max(score), 6) AS best FROM s GROUP BY item_id")

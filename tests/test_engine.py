@@ -408,3 +408,47 @@ def test_policy_grid_counts_kinds(spark):
     assert "HashAggregate" in plan[plan.index("NestedLoopJoin"):]
     odd = spark.createDataFrame([(None, None, None), (["a"], "continue", None), (["a"], None, [("a", 0.95)])], df.schema)
     assert {x["recall"] for x in routing.policy_grid(odd).collect()} == {1.0}
+
+
+def test_token_sets_are_the_tokens(spark, sf):
+    """Tokens of Python tasks are those of the column expression, on documents and on odd texts."""
+    odd = ["", " ", None, "a.b-C:d\\e/f_g", "camelCaseX9Y z9Z", "__ _a -- ..", "1.2.3. 4..5 ٣٤ 12a", "汉 汉字串a汉字b", "é Éa ñandú straße K ſ", "A B c\x0bd\x1ce", "x" * 5000 + "." * 5000, "㐀䶿一鿿\U00020000", "\0a\0b"]
+    df = spark.createDataFrame([(x,) for x in odd], "text string").union(spark.read.parquet(f"{sf}/documents.parquet").select("text"))
+    sets = T.TokenSets(5)
+    for text, want in df.select("text", T.tokens(F.col("text"))).collect():
+        assert sets(text) == set(want)
+
+
+def _scored_by_hand(items, docs):
+    sets = T.TokenSets()
+    held = [(i, sets(t)) for i, t in docs]
+    mean, out = max(sum(len(s) for _, s in held) / len(held), 1), {}
+    df = {t: sum(t in s for _, s in held) for _, x in items for t in sets(x)}
+    for q, x in items:
+        for i, s in held:
+            for t in sets(x) & s:
+                out[q, i] = out.get((q, i), 0) + math.log1p((len(held) - df[t] + 0.5) / (df[t] + 0.5)) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(s) / mean))
+    return out
+
+
+def test_bm25_stays_with_the_documents(spark, monkeypatch):
+    """One corpus with ties, odd texts, keys that occur twice and keys of texts: as by hand, and pairs are not shuffled."""
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(12)]
+    docs = [(f"d{i:03d}", " ".join(r.sample(words, r.randrange(8)))) for i in range(300)] + [("same", "w1 w2 w3")] * 3 + [(f"t{i}", "w1 w2") for i in range(40)] + [("none", None), ("odd", "汉字 x_y")]
+    items = [(i, " ".join(r.sample(words, 3))) for i in range(20)] + [(7, "w1"), (30, ""), (31, "汉字"), (32, "nowhere")]
+    a, b = spark.createDataFrame(items, "item_id int, text string"), spark.createDataFrame(docs, "doc_id string, text string").repartition(6)
+    want = _scored_by_hand(items, docs)
+    got = {(x["item_id"], x["doc_id"]): x["score"] for x in search.bm25(a, b, "item_id", "doc_id").collect()}
+    assert set(got) == set(want) and all(got[p] == pytest.approx(want[p]) for p in want)
+    best = search.bm25_top(a, b, "item_id", "doc_id", 5)
+    order = {q: sorted((-round(s, 9), i) for (p, i), s in want.items() if p == q)[:5] for q in {p for p, _ in want}}
+    assert {(x["item_id"], x["doc_id"], x["rank"]) for x in best.collect()} == {(q, i, n) for q, rows in order.items() for n, (_, i) in enumerate(rows, 1)}
+    # blocks of few queries give the same, and no exchange is under the scores of documents whose keys are unique
+    scores = search._scores
+    monkeypatch.setattr(search, "_scores", lambda *x: scores(*x, block=3))
+    few = {(x["item_id"], x["doc_id"]): x["score"] for x in search.bm25(a, b, "item_id", "doc_id").collect()}
+    assert few == pytest.approx(got)
+    plan = search.bm25(a, b.dropDuplicates(["doc_id"]), "item_id", "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert search.bm25(a.where("item_id < 0"), b, "item_id", "doc_id").count() == 0 and search.bm25_top(a, b.where("doc_id = 'none'"), "item_id", "doc_id", 2).count() == 0
