@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import arms, assembly, material, rank, routing, search, windows
 from ..sources import generator, log
-from ..sources.durable import stored
+from ..sources.durable import dealt, stored
 from .catalog import _COUNT, _sql_tokens, _t, query
 
 SESSIONS = 2
@@ -264,7 +264,9 @@ h AS (SELECT 'price' AS "order", o_orderkey AS question_id, arg_max(l_discount >
 SELECT "order", count(*) AS questions, round(avg(hit), 6) AS recall FROM h GROUP BY 1""")
 def ordering_report(spark, sf_dir):
     """An order's lines as candidates, those with a discount over 4 % being right, ordered by price and by quantity."""
-    c = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")
+    lines = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_extendedprice", "l_quantity")
+    lines, orders = dealt("l_orderkey", lines, _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")))
+    c = lines.join(orders, "l_orderkey")
     c = c.select(F.col("l_orderkey").alias("question_id"), F.col("l_linenumber").alias("id"), (F.col("l_discount") > 0.04).alias("right"), F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("quantity"))
     return windows.ordering_report(windows.ordering_hits(c, {"price": True, "quantity": True})).select("order", "questions", F.round("recall", 6).alias("recall"))
 

@@ -29,3 +29,10 @@ def spread(df: DataFrame) -> DataFrame:
     they are, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def dealt(key: str, *tables: DataFrame) -> list[DataFrame]:
+    """Tables by a key they share, over four partitions for each that the largest is read in and as many as shuffles
+    have at least, so that what one task sorts keeps its size as inputs grow."""
+    n = max(int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * max(t.rdd.getNumPartitions() for t in tables))
+    return [t.repartition(n, key) for t in tables]

@@ -15,7 +15,7 @@ from quillweave.functions import scrub as S
 from quillweave.functions import text as T
 from quillweave.operators import arms, assembly, labels, metrics, rank, routing, search, windows
 from quillweave.sources import generator, log, transcripts
-from quillweave.sources.durable import spread, stored
+from quillweave.sources.durable import dealt, spread, stored
 from quillweave.streaming import ingest
 
 
@@ -452,3 +452,14 @@ def test_bm25_stays_with_the_documents(spark, monkeypatch):
     plan = search.bm25(a, b.dropDuplicates(["doc_id"]), "item_id", "doc_id")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
     assert search.bm25(a.where("item_id < 0"), b, "item_id", "doc_id").count() == 0 and search.bm25_top(a, b.where("doc_id = 'none'"), "item_id", "doc_id", 2).count() == 0
+
+
+def test_orders_are_dealt_by_their_size(spark, sf, tmp_path, matches):
+    """More input partitions make more and not larger sorts, and the report is the SQL's."""
+    a, b = dealt("id", spark.range(0, 100, 1, 50), spark.range(0, 10, 1, 2))
+    assert a.rdd.getNumPartitions() == b.rdd.getNumPartitions() == 200
+    few, _ = dealt("id", spark.range(0, 10, 1, 1), spark.range(0, 10, 1, 1))
+    assert few.rdd.getNumPartitions() == 8
+    report = plans.QUERIES["ordering_report"](spark, sf)
+    assert "REPARTITION_BY_NUM" in report._jdf.queryExecution().executedPlan().toString()
+    matches(report, plans.ORACLES["ordering_report"], sf)
